@@ -78,3 +78,16 @@ def blobs(data: bytes, sizes: np.ndarray) -> pa.Array:
     if len(sizes) and offsets[-1] < 2**31 - 1:
         return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
     return pa.array([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], type=pa.binary())
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like cut, as a compressed table in the shared folder."""
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstone.llm import decontaminate, licenses, packing, quality, secrets, sharding
+from inkstone.llm import decontaminate, licenses, packing, quality, secrets, sharding, suffixes
 from inkstone.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_secret_ledger(spark, sf_dir):
     return secrets.findings(table(spark, sf_dir, "documents"))
 
 
+def op7_lyndon_grouping_dedup(spark, sf_dir):
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op8_license_sentences(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hash_tree_sharding, op3_differencing_packing, op4_quality_classifier, op6_secret_ledger, op8_license_sentences, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_hash_tree_sharding, op3_differencing_packing, op4_quality_classifier, op6_secret_ledger, op7_lyndon_grouping_dedup, op8_license_sentences, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
