@@ -1,4 +1,8 @@
 """All registered queries and their oracle SQL (the llm package registers its own)."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from inkstone.functions import text  # noqa: F401  registers relations
+from inkstone.operators import dedup, distance, evaluate, hygiene, keyness, lexical, relational, sequence  # noqa: F401
+from inkstone.plans import catalogue
+
+QUERIES = catalogue.queries()
+ORACLES = catalogue.oracles()
