@@ -63,12 +63,11 @@ x AS (SELECT doc_id, snum, @COUNT(t;;[a-z']+)@ AS w, @COUNT(t;;[aeiouy]+)@ + @CO
 SELECT doc_id, snum, 0.39 * w + 11.8 * s / w - 15.59 AS grade FROM x WHERE w > 0""")
 relation("fkgl_stats", "SELECT doc_id, avg(grade) AS mean, stddev_samp(grade) AS sd, min(grade) AS least, max(grade) AS most FROM {fkgl} GROUP BY doc_id")
 query("fkgl_stats", "SELECT doc_id, round(CAST(mean AS DOUBLE), 5) AS mean, round(CAST(sd AS DOUBLE), 5) AS sd, round(CAST(least AS DOUBLE), 5) AS least, round(CAST(most AS DOUBLE), 5) AS most FROM {fkgl_stats}")
-# a marker counts where neither neighbour is a word character
+# a marker counts where its words follow each other as tokens; only its first word is joined on
 relation("connective_hits", """
-SELECT d.doc_id, c.marker, CAST((length(t) - length(replace(t, concat(' ', c.marker, ' '), ''))) / (length(c.marker) + 2) AS BIGINT) AS hits
-FROM (SELECT doc_id, concat(' ', @SUB(@SUB(lower(text);;[^a-z0-9_]+;; )@;; ;;  )@, ' ') AS t FROM {documents}) d
-CROSS JOIN (SELECT replace(marker, ' ', '  ') AS marker FROM {connectives}) c""")
-relation("connective", "SELECT h.doc_id, sum(hits) AS hits, 1000.0 * sum(hits) / max(n) AS density FROM {connective_hits} h JOIN {doc_totals} d ON d.doc_id = h.doc_id GROUP BY h.doc_id")
+WITH t AS (SELECT doc_id, word, concat_ws(' ', word, lead(word) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w, lead(word, 5) OVER w, '') AS ahead FROM {tokens} WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT t.doc_id, c.marker, count(*) AS hits FROM t JOIN (SELECT marker, split_part(marker, ' ', 1) AS head FROM {connectives}) c ON c.head = t.word AND substr(t.ahead, 1, length(c.marker) + 1) = concat(c.marker, ' ') GROUP BY t.doc_id, c.marker""")
+relation("connective", "SELECT d.doc_id, coalesce(sum(h.hits), 0) AS hits, 1000.0 * coalesce(sum(h.hits), 0) / max(d.n) AS density FROM {doc_totals} d LEFT JOIN {connective_hits} h ON h.doc_id = d.doc_id GROUP BY d.doc_id")
 query("connective_density", "SELECT doc_id, CAST(hits AS BIGINT) AS hits, round(CAST(density AS DOUBLE), 6) AS per_1000 FROM {connective}")
 query("function_word_ratio", """
 SELECT w.doc_id, round(sum(CASE WHEN f.word IS NOT NULL THEN c ELSE 0 END) * 1.0 / sum(c), 6) AS ratio, count(f.word) AS kinds FROM {doc_words} w LEFT JOIN {function_words} f ON f.word = w.word GROUP BY w.doc_id""")
