@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import cut_table, partitions, text_groups
+from inkstone.llm.common import blobs, cut_table, partitions, text_groups
 from inkstone.llm.grouping import suffix_array
 from inkstone.llm.kernels import U, spread
 
@@ -119,33 +119,37 @@ def _first_copies(c: dict[str, np.ndarray]):
     return c, new_key, new_copy, c["doc"] > smallest
 
 
-def _by_document(c: dict[str, np.ndarray]):
-    """Rows of one document together, as packed rows."""
-    order = np.lexsort((c["at"], c["th"], c["doc"]))
-    c = {k: v[order] for k, v in c.items()}
-    new = np.append(True, (c["doc"][1:] != c["doc"][:-1]) | (c["th"][1:] != c["th"][:-1])) if len(c["doc"]) else np.zeros(0, bool)
-    return c, np.flatnonzero(new)
+PER_DOC = "doc long, th long, spans binary"
+_PER_DOC = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("spans", pa.binary())])
+_SPANS = np.dtype([("at", "<u4"), ("size", "<u2"), ("key", "<u8")])
+SETTLED, OPEN = 1, 0
 
 
-PER_DOC = "doc long, th long, settled binary, open binary"
-_PER_DOC = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("settled", pa.binary()), ("open", pa.binary())])
-_SETTLED = np.dtype([("at", "<u4"), ("size", "<u2")])
-_OPEN = np.dtype([("at", "<u4"), ("size", "<u2"), ("key", "<u8")])
+def _deal(c: dict[str, np.ndarray], kind: int, buckets: int):
+    """Rows packed by document: all rows of one document get one bucket."""
+    bucket = (spread(c["doc"].astype(np.int64).view(U)) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, c = bucket[order], {k: v[order] for k, v in c.items()} | {"told": np.zeros(0, U)}
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        yield _pack(int(bucket[x]), kind, {k: v[x:y] for k, v in c.items()})
 
 
-def _doc_rows(c: dict[str, np.ndarray], is_open: bool):
-    """PER_DOC batches: a row per document, with its spans as one blob."""
+def _per_document(batches):
+    """Whole buckets of documents: a row per document, with its spans as one blob."""
+    c = _unpack(batches)
     if not len(c["doc"]):
         return
-    c, first = _by_document(c)
-    kind = _OPEN if is_open else _SETTLED
-    flat = np.empty(len(c["doc"]), kind)
-    for f in kind.names:
-        flat[f] = c[f]
-    raw, edges = flat.tobytes(), np.append(first, len(flat)).tolist()
-    values = pa.array([raw[a * kind.itemsize : b * kind.itemsize] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-    empty = pa.nulls(len(first), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(c["doc"][first]), pa.array(c["th"][first]), *((empty, values) if is_open else (values, empty))], schema=_PER_DOC)
+    order = np.lexsort((c["at"], c["th"], c["doc"]))
+    doc, th = c["doc"][order], c["th"][order]
+    flat = np.empty(len(order), _SPANS)
+    for f in _SPANS.names:
+        flat[f] = c[f][order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
+    for part in np.array_split(first, max(1, len(first) // 5000)):
+        end = first[np.searchsorted(first, part[-1], side="right")] if part[-1] != first[-1] else len(flat)
+        sizes = np.diff(np.append(part, end)) * _SPANS.itemsize
+        yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(th[part]), blobs(flat[part[0] : end].tobytes(), sizes)], schema=_PER_DOC)
 
 
 def _segmenter(buckets: int, span: int):
@@ -154,14 +158,13 @@ def _segmenter(buckets: int, span: int):
     def deal(parts):
         c, _, _, settled = _first_copies({k: np.concatenate([p[k] for p in parts]) for k in _KINDS})
         if settled.any():  # a copy with a smaller id is in this very task
-            own = {k: v[settled] for k, v in c.items()}
-            yield _pack(int(own["doc"][0]) % buckets, 1, own)
+            yield from _deal({k: v[settled] for k, v in c.items()}, SETTLED, buckets)
         c = {k: v[~settled] for k, v in c.items()}
         bucket = (c["key"] >> shift).astype(np.int64)
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in range(buckets):
             if edges[b] < edges[b + 1]:
-                yield _pack(b, 0, {k: v[edges[b] : edges[b + 1]] for k, v in c.items()})
+                yield _pack(b, OPEN, {k: v[edges[b] : edges[b + 1]] for k, v in c.items()})
 
     def run(batches):
         parts, held = [], 0
@@ -180,25 +183,29 @@ def _segmenter(buckets: int, span: int):
     return run
 
 
-def _settle(batches):
-    """Packed segments of whole keys: what is settled and what is open, by document."""
-    waiting = []
-    for batch in batches:
-        local = np.array([k.as_py() for k in batch.column(1)]) == 1
-        if local.any():  # settled where they were cut
-            yield from _doc_rows(_unpack([batch.filter(pa.array(local))]), False)
-        waiting.append(batch.filter(pa.array(~local)))
-    c = _unpack(waiting)
-    if not len(c["key"]):
-        return
-    c, new_key, new_copy, settled = _first_copies(c)
-    yield from _doc_rows({k: v[settled] for k, v in c.items()}, False)
-    heads = np.flatnonzero(new_key)
-    key = np.cumsum(new_key) - 1
-    shared = np.minimum.reduceat(c["doc"], heads) < np.maximum.reduceat(c["doc"], heads)
-    different = np.add.reduceat(new_copy.astype(np.int64), heads) > 1
-    is_open = (shared & different)[key] & ~settled
-    yield from _doc_rows({k: v[is_open] for k, v in c.items()}, True)
+def _settle(buckets: int):
+    """Packed segments of whole keys: what is settled and what is open, packed by document."""
+
+    def run(batches):
+        waiting = []
+        for batch in batches:
+            local = np.array(batch.column(1).to_pylist()) == SETTLED
+            if local.any():  # settled where they were cut, and packed by document already
+                yield batch.filter(pa.array(local))
+            waiting.append(batch.filter(pa.array(~local)))
+        c = _unpack(waiting)
+        if not len(c["key"]):
+            return
+        c, new_key, new_copy, settled = _first_copies(c)
+        yield from _deal({k: v[settled] for k, v in c.items()}, SETTLED, buckets)
+        heads = np.flatnonzero(new_key)
+        key = np.cumsum(new_key) - 1
+        shared = np.minimum.reduceat(c["doc"], heads) < np.maximum.reduceat(c["doc"], heads)
+        different = np.add.reduceat(new_copy.astype(np.int64), heads) > 1
+        is_open = (shared & different)[key] & ~settled
+        yield from _deal({k: v[is_open] for k, v in c.items()}, OPEN, buckets)
+
+    return run
 
 
 CONTEXTS = "bucket int, doc long, th long, at long, size int, key long, bytes binary"
@@ -210,7 +217,7 @@ def _fetch(buckets: int, span: int):
             out = {c: [] for c in ("bucket", "doc", "th", "at", "size", "key", "bytes")}
             for doc, th, text, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode()
-                own = np.frombuffer(b"".join(blob), _OPEN)
+                own = np.frombuffer(blob, _SPANS)
                 n = len(own)
                 out["doc"] += [doc] * n
                 out["th"] += [th] * n
@@ -289,7 +296,7 @@ def shared_strings(raws: list[bytes], docs: list[int], key: int, span: int = SPA
     return out
 
 
-def _group(span: int):
+def _group(span: int, buckets: int):
     def run(batches):
         rows = [b for b in batches if b.num_rows]
         if not rows:
@@ -315,8 +322,8 @@ def _group(span: int):
         first = np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1))  # consecutive strings as one span
         heads = np.flatnonzero(first)
         size = np.diff(np.append(heads, len(r)))
-        c = {"doc": docs[r[heads]], "th": ths[r[heads]], "at": ats[r[heads]] + o[heads], "size": size, "key": np.zeros(len(heads)), "told": np.zeros(len(heads))}
-        yield from _doc_rows(c, False)
+        c = {"doc": docs[r[heads]], "th": ths[r[heads]], "at": ats[r[heads]] + o[heads], "size": size, "key": np.zeros(len(heads), U)}
+        yield from _deal(c, SETTLED, buckets)
 
     return run
 
@@ -325,12 +332,12 @@ def _finish(span: int):
     def run(batches):
         for texts in text_groups(batches):
             n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
-            blobs = texts.rows.column("settled").to_pylist()
-            for i, blob in enumerate(blobs):
+            spans = texts.rows.column("spans").to_pylist()
+            for i, blob in enumerate(spans):
                 raw = texts.data[texts.starts[i] : texts.ends[i]]
                 n_bytes.append(len(raw))
                 if blob:
-                    own = np.frombuffer(b"".join(blob), _SETTLED)
+                    own = np.frombuffer(blob, _SPANS)
                     edge = np.zeros(len(raw) + 1, np.int64)
                     np.add.at(edge, own["at"], 1)
                     np.subtract.at(edge, own["at"].astype(np.int64) + own["size"] + span - 1, 1)
@@ -357,13 +364,14 @@ def deduplicate(docs: DataFrame, span: int = SPAN) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     packed = base.where("doc_id is not null").mapInArrow(_segmenter(buckets, span), PACKED)
-    per_doc = cut_table(packed.repartition(n, "bucket").mapInArrow(_settle, PER_DOC))
-    opened = per_doc.where("open is not null").groupBy("doc", "th").agg(F.collect_list("open").alias("open"))
-    with_open = base.join(opened, (F.col("doc_id") == F.col("doc")) & (base["th"] == opened["th"])).select("doc_id", base["th"], "text", "open")
+    dealt = cut_table(packed.repartition(n, "bucket").mapInArrow(_settle(buckets), PACKED))
+    of_doc = lambda rows: rows.repartition(n, "bucket").mapInArrow(_per_document, PER_DOC)
+    opened = of_doc(dealt.where(F.col("kind") == OPEN))
+    with_open = base.join(opened, (F.col("doc_id") == F.col("doc")) & (base["th"] == opened["th"])).select("doc_id", base["th"], "text", "spans")
     contexts = with_open.mapInArrow(_fetch(buckets, span), CONTEXTS)
-    found = contexts.repartition(n, "bucket").mapInArrow(_group(span), PER_DOC)
-    gone = per_doc.where("settled is not null").unionByName(found).groupBy("doc", "th").agg(F.collect_list("settled").alias("settled"))
-    last = base.join(gone, (F.col("doc_id") == F.col("doc")) & (base["th"] == gone["th"]), "left").select("doc_id", "text", "settled")
+    found = contexts.repartition(n, "bucket").mapInArrow(_group(span, buckets), PACKED)
+    gone = of_doc(dealt.where(F.col("kind") == SETTLED).unionByName(found))
+    last = base.join(gone, (F.col("doc_id") == F.col("doc")) & (base["th"] == gone["th"]), "left").select("doc_id", "text", "spans")
     return last.mapInArrow(_finish(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
