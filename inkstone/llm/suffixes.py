@@ -88,25 +88,65 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int =
             own = np.flatnonzero(length > k)
             told[own] = (told[own] ^ (eight[at[own] + k] & _MASKS[np.minimum(length[own] - k, 8)])) * U(0xFF51AFD7ED558CCD)
             told[own] ^= told[own] >> U(32)
-    return least[at], spread(told), at, size
+    return spread(least[at]), spread(told), at, size
 
 
-#: Packed segments: a row holds many of them.
-PACKED = "bucket int, kind int, doc binary, th binary, key binary, told binary, at binary, size binary"
-_KINDS = {"doc": "<i8", "th": "<i8", "key": "<u8", "told": "<u8", "at": "<u4", "size": "<u2"}
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in _KINDS]])
+_KINDS = {"doc": "<i8", "th": "<u4", "key": "<u8", "told": "<u8", "at": "<u4", "size": "u1"}
+SEGMENT, OPEN, SETTLED = tuple(_KINDS), ("doc", "th", "key", "at", "size"), ("doc", "th", "at", "size")
+#: A row holds all that a task has for one bucket (a partition): open and settled segments, each packed into one blob.
+PACKED = "bucket int, open binary, settled binary"
+SPANS = "bucket int, spans binary"
 
 
-def _pack(bucket: int, kind: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), *[pa.array([columns[c].astype(t).tobytes()], pa.binary()) for c, t in _KINDS.items()]], schema=_SCHEMA)
+def encode(c: dict[str, np.ndarray], names: tuple[str, ...]) -> bytes:
+    """Columns as byte planes (all first bytes, all second bytes, ...): the planes of high bytes compress away."""
+    return b"".join(c[x].astype(_KINDS[x]).view(np.uint8).reshape(-1, np.dtype(_KINDS[x]).itemsize).T.tobytes() for x in names)
 
 
-def _unpack(batches):
-    got: dict[str, list] = {c: [] for c in _KINDS}
+def decode(packs: list[bytes], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    widths = [np.dtype(_KINDS[x]).itemsize for x in names]
+    got: dict[str, list] = {x: [np.zeros(0, _KINDS[x])] for x in names}
+    for pack in packs:
+        n, at = len(pack) // sum(widths), 0
+        for x, w in zip(names, widths, strict=True):
+            planes = np.frombuffer(pack, np.uint8, n * w, at).reshape(w, n)
+            got[x].append(np.ascontiguousarray(planes.T).view(_KINDS[x]).ravel())
+            at += n * w
+    return {x: np.concatenate(v) for x, v in got.items()}
+
+
+def _bucket(mixed: np.ndarray, buckets: int) -> np.ndarray:
+    """Even ranges of mixed 64-bit values."""
+    return ((mixed >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def _of_doc(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return _bucket(spread(doc.astype(np.int64).view(U)), buckets)
+
+
+def _dealt(buckets: int, schema: pa.Schema, **kinds):
+    """One batch: a row per bucket that has anything; kinds: name=(bucket of each row, columns, names of columns)."""
+    packs: dict[str, list] = {}
+    for kind, (bucket, c, names) in kinds.items():
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        c = {x: c[x][order] for x in names}
+        packs[kind] = [encode({x: v[i:j] for x, v in c.items()}, names) if i < j else None for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    used = [b for b in range(buckets) if any(p[b] for p in packs.values())]
+    if used:
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array([packs[f][b] for b in used], pa.binary()) for f in schema.names[1:]]], schema=schema)
+
+
+_PACKED = pa.schema([("bucket", pa.int32()), ("open", pa.binary()), ("settled", pa.binary())])
+_SPAN_ROWS = pa.schema([("bucket", pa.int32()), ("spans", pa.binary())])
+
+
+def _blobs(batches, *names: str) -> list[list[bytes]]:
+    out: list[list[bytes]] = [[] for _ in names]
     for batch in batches:
-        for c, t in _KINDS.items():
-            got[c] += [np.frombuffer(x.as_py(), t) for x in batch.column(batch.schema.get_field_index(c))]
-    return {c: np.concatenate(x) if x else np.zeros(0, _KINDS[c]) for c, x in got.items()}
+        for own, name in zip(out, names, strict=True):
+            own += batch.column(batch.schema.get_field_index(name)).drop_null().to_pylist()
+    return out
 
 
 def _first_copies(c: dict[str, np.ndarray]):
@@ -122,49 +162,36 @@ def _first_copies(c: dict[str, np.ndarray]):
 PER_DOC = "doc long, th long, spans binary"
 _PER_DOC = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("spans", pa.binary())])
 _SPANS = np.dtype([("at", "<u4"), ("size", "<u2"), ("key", "<u8")])
-SETTLED, OPEN = 1, 0
 
 
-def _deal(c: dict[str, np.ndarray], kind: int, buckets: int):
-    """Rows packed by document: all rows of one document get one bucket."""
-    bucket = (spread(c["doc"].astype(np.int64).view(U)) % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, c = bucket[order], {k: v[order] for k, v in c.items()} | {"told": np.zeros(0, U)}
-    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
-    for x, y in zip(edges[:-1], edges[1:], strict=True):
-        yield _pack(int(bucket[x]), kind, {k: v[x:y] for k, v in c.items()})
+def _per_document(names: tuple[str, ...]):
+    """Whole buckets of documents: a row per document, with its spans as one blob."""
 
+    def run(batches):
+        c = decode(_blobs(batches, "spans")[0], names)
+        if not len(c["doc"]):
+            return
+        order = np.lexsort((c["at"], c["th"], c["doc"]))
+        doc, th = c["doc"][order], c["th"][order].astype(np.int64)
+        flat = np.zeros(len(order), _SPANS)
+        for f in _SPANS.names:
+            if f in c:
+                flat[f] = c[f][order]
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
+        for part in np.array_split(first, max(1, len(first) // 5000)):
+            end = first[np.searchsorted(first, part[-1], side="right")] if part[-1] != first[-1] else len(flat)
+            sizes = np.diff(np.append(part, end)) * _SPANS.itemsize
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(th[part]), blobs(flat[part[0] : end].tobytes(), sizes)], schema=_PER_DOC)
 
-def _per_document(batches):
-    """Whole buckets of documents: a row per document, with its spans as one blob."""
-    c = _unpack(batches)
-    if not len(c["doc"]):
-        return
-    order = np.lexsort((c["at"], c["th"], c["doc"]))
-    doc, th = c["doc"][order], c["th"][order]
-    flat = np.empty(len(order), _SPANS)
-    for f in _SPANS.names:
-        flat[f] = c[f][order]
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
-    for part in np.array_split(first, max(1, len(first) // 5000)):
-        end = first[np.searchsorted(first, part[-1], side="right")] if part[-1] != first[-1] else len(flat)
-        sizes = np.diff(np.append(part, end)) * _SPANS.itemsize
-        yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(th[part]), blobs(flat[part[0] : end].tobytes(), sizes)], schema=_PER_DOC)
+    return run
 
 
 def _segmenter(buckets: int, span: int):
-    shift = U(64 - (buckets - 1).bit_length())
-
     def deal(parts):
         c, _, _, settled = _first_copies({k: np.concatenate([p[k] for p in parts]) for k in _KINDS})
-        if settled.any():  # a copy with a smaller id is in this very task
-            yield from _deal({k: v[settled] for k, v in c.items()}, SETTLED, buckets)
+        gone = {k: v[settled] for k, v in c.items()}  # a copy with a smaller id is in this very task
         c = {k: v[~settled] for k, v in c.items()}
-        bucket = (c["key"] >> shift).astype(np.int64)
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in range(buckets):
-            if edges[b] < edges[b + 1]:
-                yield _pack(b, OPEN, {k: v[edges[b] : edges[b + 1]] for k, v in c.items()})
+        yield from _dealt(buckets, _PACKED, open=(_bucket(c["key"], buckets), c, SEGMENT), settled=(_of_doc(gone["doc"], buckets), gone, SETTLED))
 
     def run(batches):
         parts, held = [], 0
@@ -172,7 +199,7 @@ def _segmenter(buckets: int, span: int):
             docs, ths = texts.rows.column("doc_id").to_numpy(), texts.rows.column("th").to_numpy()
             key, told, at, size = segments(texts.data, texts.starts, texts.ends, span)
             of = np.searchsorted(texts.ends, at, side="right")
-            parts.append({"doc": docs[of], "th": ths[of], "key": key, "told": told, "at": (at - texts.starts[of]).astype(np.uint32), "size": size.astype(np.uint16)})
+            parts.append({"doc": docs[of], "th": ths[of], "key": key, "told": told, "at": (at - texts.starts[of]).astype(np.uint32), "size": size.astype(np.uint8)})
             held += len(key)
             if held > FLUSH:
                 yield from deal(parts)
@@ -187,23 +214,19 @@ def _settle(buckets: int):
     """Packed segments of whole keys: what is settled and what is open, packed by document."""
 
     def run(batches):
-        waiting = []
-        for batch in batches:
-            local = np.array(batch.column(1).to_pylist()) == SETTLED
-            if local.any():  # settled where they were cut, and packed by document already
-                yield batch.filter(pa.array(local))
-            waiting.append(batch.filter(pa.array(~local)))
-        c = _unpack(waiting)
-        if not len(c["key"]):
-            return
-        c, new_key, new_copy, settled = _first_copies(c)
-        yield from _deal({k: v[settled] for k, v in c.items()}, SETTLED, buckets)
-        heads = np.flatnonzero(new_key)
-        key = np.cumsum(new_key) - 1
-        shared = np.minimum.reduceat(c["doc"], heads) < np.maximum.reduceat(c["doc"], heads)
-        different = np.add.reduceat(new_copy.astype(np.int64), heads) > 1
-        is_open = (shared & different)[key] & ~settled
-        yield from _deal({k: v[is_open] for k, v in c.items()}, OPEN, buckets)
+        segs, early = _blobs(batches, "open", "settled")
+        gone, c = decode(early, SETTLED), decode(segs, SEGMENT)
+        left = {k: v[:0] for k, v in c.items()}
+        if len(c["key"]):
+            c, new_key, new_copy, settled = _first_copies(c)
+            heads = np.flatnonzero(new_key)
+            key = np.cumsum(new_key) - 1
+            shared = np.minimum.reduceat(c["doc"], heads) < np.maximum.reduceat(c["doc"], heads)
+            different = np.add.reduceat(new_copy.astype(np.int64), heads) > 1
+            is_open = (shared & different)[key] & ~settled
+            gone = {k: np.concatenate((gone[k], c[k][settled])) for k in SETTLED}
+            left = {k: v[is_open] for k, v in c.items()}
+        yield from _dealt(buckets, _PACKED, open=(_of_doc(left["doc"], buckets), left, OPEN), settled=(_of_doc(gone["doc"], buckets), gone, SETTLED))
 
     return run
 
@@ -225,7 +248,7 @@ def _fetch(buckets: int, span: int):
                 out["size"] += own["size"].tolist()
                 out["key"] += own["key"].astype(np.int64).tolist()
                 out["bytes"] += [raw[a : a + s + span - 1] for a, s in zip(own["at"].tolist(), own["size"].tolist(), strict=True)]
-            out["bucket"] = (np.array(out["key"], np.int64).view(U) % U(buckets)).astype(np.int32)
+            out["bucket"] = _bucket(np.array(out["key"], np.int64).view(U), buckets).astype(np.int32)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("bytes", pa.binary())]))
 
     return run
@@ -243,7 +266,7 @@ def trim(raws: list[bytes], key: int, span: int) -> list[tuple[int, int]]:
     begin = np.cumsum(sizes) - sizes
     eight = np.ndarray((len(flat) - 7,), "<u8", flat, 0, (1,))
     total = int(sizes.sum())
-    equal = gram_hash(eight, total) == U(key & 0xFFFFFFFFFFFFFFFF)
+    equal = spread(gram_hash(eight, total)) == U(key & 0xFFFFFFFFFFFFFFFF)
     where = np.flatnonzero(equal)
     of = np.searchsorted(begin, where, side="right") - 1
     where, of = where[where + GRAM <= begin[of] + sizes[of]], of[where + GRAM <= begin[of] + sizes[of]]
@@ -322,8 +345,8 @@ def _group(span: int, buckets: int):
         first = np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1))  # consecutive strings as one span
         heads = np.flatnonzero(first)
         size = np.diff(np.append(heads, len(r)))
-        c = {"doc": docs[r[heads]], "th": ths[r[heads]], "at": ats[r[heads]] + o[heads], "size": size, "key": np.zeros(len(heads), U)}
-        yield from _deal(c, SETTLED, buckets)
+        c = {"doc": docs[r[heads]], "th": ths[r[heads]], "at": ats[r[heads]] + o[heads], "size": size}
+        yield from _dealt(buckets, _SPAN_ROWS, spans=(_of_doc(c["doc"], buckets), c, SETTLED))
 
     return run
 
@@ -359,18 +382,17 @@ def _finish(span: int):
 def deduplicate(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     spark = docs.sparkSession
-    n = partitions(spark)
-    buckets = 1 << (8 * n - 1).bit_length()  # several for each partition, so that they fill evenly
+    n = partitions(spark)  # also the number of buckets: keys and documents are dealt evenly, by partition number
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("th", F.xxhash64("text"))
-    packed = base.where("doc_id is not null").mapInArrow(_segmenter(buckets, span), PACKED)
-    dealt = cut_table(packed.repartition(n, "bucket").mapInArrow(_settle(buckets), PACKED))
-    of_doc = lambda rows: rows.repartition(n, "bucket").mapInArrow(_per_document, PER_DOC)
-    opened = of_doc(dealt.where(F.col("kind") == OPEN))
+    base = base.withColumn("th", F.xxhash64("text").bitwiseAND(0xFFFFFFFF))  # tells rows of one doc_id apart
+    packed = base.where("doc_id is not null").mapInArrow(_segmenter(n, span), PACKED)
+    dealt = cut_table(packed.repartitionById(n, F.col("bucket")).mapInArrow(_settle(n), PACKED))
+    of_doc = lambda rows, names: rows.repartitionById(n, F.col("bucket")).mapInArrow(_per_document(names), PER_DOC)
+    opened = of_doc(dealt.where("open is not null").select("bucket", F.col("open").alias("spans")), OPEN)
     with_open = base.join(opened, (F.col("doc_id") == F.col("doc")) & (base["th"] == opened["th"])).select("doc_id", base["th"], "text", "spans")
-    contexts = with_open.mapInArrow(_fetch(buckets, span), CONTEXTS)
-    found = contexts.repartition(n, "bucket").mapInArrow(_group(span, buckets), PACKED)
-    gone = of_doc(dealt.where(F.col("kind") == SETTLED).unionByName(found))
+    contexts = with_open.mapInArrow(_fetch(n, span), CONTEXTS)
+    found = contexts.repartitionById(n, F.col("bucket")).mapInArrow(_group(span, n), SPANS)
+    gone = of_doc(dealt.where("settled is not null").select("bucket", F.col("settled").alias("spans")).unionByName(found), SETTLED)
     last = base.join(gone, (F.col("doc_id") == F.col("doc")) & (base["th"] == gone["th"]), "left").select("doc_id", "text", "spans")
     return last.mapInArrow(_finish(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
