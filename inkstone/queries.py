@@ -1,8 +1,9 @@
 """All registered queries and their oracle SQL (the llm package registers its own)."""
 
 from inkstone.functions import text  # noqa: F401  registers relations
-from inkstone.operators import dedup, distance, evaluate, hygiene, keyness, lexical, relational, sequence  # noqa: F401
+from inkstone.operators import components, custom, dedup, distance, evaluate, hygiene, keyness, lexical, relational, resampling, sequence  # noqa: F401
 from inkstone.plans import catalogue
+from inkstone.streaming import events
 
-QUERIES = catalogue.queries()
-ORACLES = catalogue.oracles()
+QUERIES = catalogue.queries() | components.QUERIES | custom.QUERIES | events.QUERIES
+ORACLES = catalogue.oracles() | components.oracles() | events.ORACLES
