@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkstone.functions.text import words
+from inkstone.operators import keyness  # noqa: F401  registers relations
 from inkstone.plans import catalogue
 from inkstone.sources.tables import table
 
