@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -9,6 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  only glibc has it
+except (OSError, AttributeError):
+    _LIBC = None
+
 #: Texts are handled in groups of about so many bytes; numpy temporaries take some 40 times that.
 CHUNK_BYTES = 1 << 21
 
@@ -47,6 +54,13 @@ class Texts:
         return len(self.ends)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers are reused, and idle ones would hold it beside the JVM's tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[Texts]:
     """Arrow batches as Texts of about `most` bytes (one text at least); a null text counts as an empty one."""
     for batch in batches:
@@ -64,6 +78,8 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
             yield Texts(data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i], batch.slice(i, j - i))
             i = j
+        del batch, text, raw, data
+    give_back()
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -107,14 +108,21 @@ class Encoder:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(json_path)
-        self.whole.encode_special_tokens = True
+        self.json_path = json_path
         self._clear()
 
+    @cached_property
+    def whole(self):
+        """The library's tokenizer, which workers hold from the first text on that needs it."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.json_path)
+        whole.encode_special_tokens = True
+        return whole
+
     def _clear(self) -> None:
         self.sorted, self.slots, self.n = np.zeros(0, U), np.zeros(0, np.int32), 0
         self.near = np.zeros(1 << 22, np.int32)  # by the key's upper bits: a slot that may be the key's
