@@ -1,5 +1,6 @@
 """Operators without oracle SQL against brute force and by hand."""
 
+import lzma
 import math
 import random
 
@@ -84,3 +85,11 @@ def test_queries_run(spark):
         assert f(spark, SF).count() > 0, name
     pairs = spark.createDataFrame([(1, 2, ["a", "b"], ["a", "b"]), (1, 3, ["a"], ["b"])], "a long, b long, symbols_a array<string>, symbols_b array<string>")
     assert [r.overlap for r in custom.sequence_overlap(pairs).orderBy(F.col("b")).collect()] == [1.0, 0.0]
+
+
+def test_packed_size_is_that_of_the_full_dictionary():
+    rng = random.Random(1)
+    for n in (0, 1, 500, 70_000, 200_000):
+        data = bytes(rng.choice(b"abcdefgh ") for _ in range(n)) * 2
+        full = lzma.compress(data, format=lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 9 | lzma.PRESET_EXTREME}])
+        assert custom.packed_size(data) == len(full)
