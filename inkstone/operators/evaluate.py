@@ -5,25 +5,36 @@ from inkstone.plans.catalogue import query, relation
 relation("scored", "SELECT s.doc_id, s.signal, round(s.value, 9) AS score, l.quality AS label, l.toxic, d.lang, d.source, CASE WHEN t.n < 200 THEN 's' WHEN t.n < 1000 THEN 'm' ELSE 'l' END AS bucket FROM {signals} s JOIN {labels} l ON l.doc_id = s.doc_id JOIN {documents} d ON d.doc_id = s.doc_id JOIN {doc_totals} t ON t.doc_id = s.doc_id WHERE s.value IS NOT NULL")
 
 
-def auc(keys: str, where: str = "1 = 1") -> str:
-    """AUC by average ranks for each group of keys; NULL for one class."""
+def score_bin(x: str) -> str:
+    """A bin that grows with x, some thousands over all doubles: orders are taken within bins, offsets over bins, so that no task sorts a whole signal."""
+    return f"CAST(floor(sign({x}) * ln(1 + abs({x}) * 1000) * 100) AS BIGINT)"
+
+
+def auc(keys: str) -> str:
+    """AUC for each group of keys, ties counted half; NULL for one class."""
     return f"""
-SELECT {keys}, p, n, (rs - p * (p + 1) / 2.0) / nullif(p * n, 0) AS auc FROM (
-  SELECT {keys}, count_if(label = 1) AS p, count_if(label = 0) AS n, sum(CASE WHEN label = 1 THEN rk ELSE 0 END) AS rs FROM (
-    SELECT {keys}, label, rank() OVER (PARTITION BY {keys} ORDER BY score) + (count(*) OVER (PARTITION BY {keys}, score) - 1) / 2.0 AS rk FROM {{scored}} WHERE {where}) r GROUP BY {keys}) g"""
+WITH c AS (SELECT {keys}, {score_bin("score")} AS bin, score, count_if(label = 1) AS p, count_if(label = 0) AS n FROM {{scored}} GROUP BY {keys}, score),
+w AS (SELECT {keys}, bin, p, n, sum(n) OVER (PARTITION BY {keys}, bin ORDER BY score) - n AS under FROM c),
+b AS (SELECT {keys}, bin, sum(p) AS p, sum(n) AS n, sum(CAST(p AS DOUBLE) * (under + n / 2.0)) AS won FROM w GROUP BY {keys}, bin),
+o AS (SELECT {keys}, p, n, won + CAST(p AS DOUBLE) * (sum(n) OVER (PARTITION BY {keys} ORDER BY bin) - n) AS won FROM b)
+SELECT {keys}, CAST(sum(p) AS BIGINT) AS p, CAST(sum(n) AS BIGINT) AS n, CAST(sum(won) / nullif(CAST(sum(p) AS DOUBLE) * sum(n), 0) AS DOUBLE) AS auc FROM o GROUP BY {keys}"""
 
 
 relation("auc_by_signal", auc("signal"))
 query("roc_auc_by_signal", "SELECT signal, p, n, round(CAST(auc AS DOUBLE), 6) AS auc, round(CAST(greatest(auc, 1 - auc) AS DOUBLE), 6) AS oriented FROM {auc_by_signal}")
+relation("scored_bins", f"SELECT signal, doc_id, score, label, {score_bin('score')} AS bin FROM {{scored}}")
+relation("bin_counts", """
+WITH b AS (SELECT signal, bin, count(*) AS n, sum(label) AS p FROM {scored_bins} GROUP BY signal, bin)
+SELECT signal, bin, sum(n) OVER (w) - n AS n_above, sum(p) OVER (w) - p AS p_above, sum(n) OVER (PARTITION BY signal) AS n_all, sum(p) OVER (PARTITION BY signal) AS p_all FROM b WINDOW w AS (PARTITION BY signal ORDER BY bin DESC)""")
 query("average_precision", """
-WITH r AS (SELECT signal, label, doc_id, row_number() OVER (PARTITION BY signal ORDER BY score DESC, doc_id) AS k, sum(label) OVER (PARTITION BY signal ORDER BY score DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits FROM {scored})
-SELECT signal, round(sum(CASE WHEN label = 1 THEN hits * 1.0 / k ELSE 0 END) / nullif(sum(label), 0), 6) AS ap FROM r GROUP BY signal""")
+WITH r AS (SELECT signal, bin, label, row_number() OVER w AS k, sum(label) OVER (PARTITION BY signal, bin ORDER BY score DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits FROM {scored_bins} WINDOW w AS (PARTITION BY signal, bin ORDER BY score DESC, doc_id))
+SELECT r.signal, round(sum(CASE WHEN label = 1 THEN CAST(p_above + hits AS DOUBLE) / (n_above + k) ELSE 0 END) / nullif(sum(label), 0), 6) AS ap FROM r JOIN {bin_counts} b ON b.signal = r.signal AND b.bin = r.bin GROUP BY r.signal""")
 relation("operating_points", """
-WITH c AS (SELECT signal, score, sum(label) AS p, sum(1 - label) AS n FROM {scored} GROUP BY signal, score)
-SELECT signal, score, CAST(sum(p) OVER w AS DOUBLE) / sum(p) OVER (PARTITION BY signal) AS tpr, CAST(sum(n) OVER w AS DOUBLE) / sum(n) OVER (PARTITION BY signal) AS fpr FROM c WINDOW w AS (PARTITION BY signal ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+WITH c AS (SELECT signal, bin, score, sum(label) AS p, sum(1 - label) AS n FROM {scored_bins} GROUP BY signal, bin, score),
+s AS (SELECT signal, bin, score, sum(p) OVER w AS p, sum(n) OVER w AS n FROM c WINDOW w AS (PARTITION BY signal, bin ORDER BY score DESC))
+SELECT s.signal, s.score, CAST(p_above + p AS DOUBLE) / p_all AS tpr, CAST(n_above - p_above + n AS DOUBLE) / (n_all - p_all) AS fpr FROM s JOIN {bin_counts} b ON b.signal = s.signal AND b.bin = s.bin""")
 query("threshold_at_fpr", """
-WITH r AS (SELECT signal, score, tpr, fpr, row_number() OVER (PARTITION BY signal ORDER BY tpr DESC, fpr, score) AS k FROM {operating_points} WHERE fpr <= 0.1)
-SELECT signal, round(score, 4) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM r WHERE k = 1""")
+SELECT signal, round(min_by(score, k), 4) AS threshold, round(min_by(tpr, k), 6) AS tpr, round(min_by(fpr, k), 6) AS fpr FROM (SELECT signal, score, tpr, fpr, @ARR(-tpr;;fpr;;score)@ AS k FROM {operating_points} WHERE fpr <= 0.1) x GROUP BY signal""")
 query("confusion_counts", "SELECT s.signal, count_if(flagged AND label = 1) AS tp, count_if(flagged AND label = 0) AS fp, count_if(NOT flagged AND label = 1) AS fn, count_if(NOT flagged AND label = 0) AS tn FROM (SELECT x.signal, label, score > threshold AS flagged FROM {scored} x JOIN {thresholds} t ON t.signal = x.signal) s GROUP BY s.signal")
 _WILSON = "round(({p} + 1.9208 / n {s} 1.96 * sqrt({p} * (1 - {p}) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6)"
 query("wilson_rates_by_lang", f"""
@@ -49,12 +60,17 @@ e AS (SELECT n, agree / n AS po, (q / n) * (t / n) + (1 - q / n) * (1 - t / n) A
 SELECT round(po, 6) AS observed, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa, round(2 * po - 1, 6) AS pabak FROM e""")
 query("signal_correlations", """
 SELECT a.signal AS a, b.signal AS b, round(covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0), 4) AS pearson FROM {signals} a JOIN {signals} b ON a.doc_id = b.doc_id AND a.signal < b.signal WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.signal, b.signal""")
+relation("value_ranks", f"""
+WITH x AS (SELECT doc_id, signal, v, {score_bin("v")} AS bin FROM (SELECT doc_id, signal, round(value, 9) AS v FROM {{signals}} WHERE value IS NOT NULL) y),
+b AS (SELECT signal, bin, count(*) AS n FROM x GROUP BY signal, bin),
+o AS (SELECT signal, bin, sum(n) OVER (PARTITION BY signal ORDER BY bin) - n AS under, sum(n) OVER (PARTITION BY signal) AS n FROM b)
+SELECT x.doc_id, x.signal, CAST(o.under + rank() OVER (PARTITION BY x.signal, x.bin ORDER BY x.v) AS BIGINT) AS rk, count(*) OVER (PARTITION BY x.signal, x.bin, x.v) AS ties, CAST(o.n AS BIGINT) AS n FROM x JOIN o ON o.signal = x.signal AND o.bin = x.bin""")
 query("spearman", """
-WITH r AS (SELECT doc_id, signal, CAST(rank() OVER (PARTITION BY signal ORDER BY round(value, 9)) + (count(*) OVER (PARTITION BY signal, round(value, 9)) - 1) / 2.0 AS DOUBLE) AS rk FROM {signals} WHERE value IS NOT NULL)
+WITH r AS (SELECT doc_id, signal, CAST(rk + (ties - 1) / 2.0 AS DOUBLE) AS rk FROM {value_ranks})
 SELECT a.signal AS a, b.signal AS b, round(covar_pop(a.rk, b.rk) / nullif(stddev_pop(a.rk) * stddev_pop(b.rk), 0), 4) AS spearman FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.signal < b.signal GROUP BY a.signal, b.signal""")
 query("conformal_p", """
-WITH c AS (SELECT score FROM {scored} WHERE signal = 'shannon_entropy' AND label = 1), n AS (SELECT count(*) AS n FROM c), t AS (SELECT doc_id, score FROM {scored} WHERE signal = 'shannon_entropy' AND label = 0)
-SELECT t.doc_id, round((1 + count_if(c.score >= t.score)) * 1.0 / (max(n.n) + 1), 6) AS p FROM t CROSS JOIN c CROSS JOIN n GROUP BY t.doc_id""")
+WITH r AS (SELECT doc_id, bin, label, sum(label) OVER (PARTITION BY bin ORDER BY score DESC) AS own FROM {scored_bins} WHERE signal = 'shannon_entropy')
+SELECT r.doc_id, round(CAST(1 + b.p_above + r.own AS DOUBLE) / (b.p_all + 1), 6) AS p FROM r JOIN {bin_counts} b ON b.bin = r.bin AND b.signal = 'shannon_entropy' WHERE r.label = 0""")
 query("calibration_gates", "SELECT signal, p, n, auc > 0.5 AS polarity_ok, n >= 10 AS negatives_ok, CAST(auc AS DOUBLE) > 0.55 AND n >= 10 AS passed FROM {auc_by_signal}")
 query("score_summary", "SELECT signal, label, count(*) AS n, round(avg(score), 4) AS mean, round(median(score), 4) AS middle, round(stddev_samp(score), 4) AS sd, round(@PCT(score;;0.1)@, 4) AS p10, round(@PCT(score;;0.9)@, 4) AS p90 FROM {scored} GROUP BY signal, label")
 query("calibration_drift", """
@@ -72,9 +88,7 @@ query("stratified_subsample", "SELECT doc_id, quality FROM (SELECT doc_id, quali
 query("length_stratified", """
 WITH q AS (SELECT @PCT(n_chars;;0.25)@ AS a, @PCT(n_chars;;0.5)@ AS b, @PCT(n_chars;;0.75)@ AS c FROM {documents})
 SELECT CASE WHEN n_chars < a THEN 0 WHEN n_chars < b THEN 1 WHEN n_chars < c THEN 2 ELSE 3 END AS stratum, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most FROM {documents} CROSS JOIN q GROUP BY CASE WHEN n_chars < a THEN 0 WHEN n_chars < b THEN 1 WHEN n_chars < c THEN 2 ELSE 3 END""")
-query("midrank_percentile", """
-WITH x AS (SELECT doc_id, signal, round(value, 9) AS v FROM {signals} WHERE value IS NOT NULL)
-SELECT doc_id, signal, round((rank() OVER (PARTITION BY signal ORDER BY v) - 1 + 0.5 * count(*) OVER (PARTITION BY signal, v)) / count(*) OVER (PARTITION BY signal), 6) AS percentile FROM x""")
+query("midrank_percentile", "SELECT doc_id, signal, round((rk - 1 + 0.5 * ties) / n, 6) AS percentile FROM {value_ranks}")
 query("derived_seeds", "SELECT doc_id, @MOD32(concat('seed:', CAST(doc_id AS STRING));;1000003)@ AS seed FROM {documents}")
 query("imposters", """
 WITH f AS (SELECT word, row_number() OVER (ORDER BY word) AS fid FROM {function_words}), g AS (SELECT DISTINCT pos AS rnd FROM {tokens} WHERE pos < 10),

@@ -39,6 +39,7 @@ _SPARK = {
     "MATCH": lambda e, p: f"({e} RLIKE {_spark_text(p)})",
     "FIRST": lambda e, p: f"regexp_extract({e}, {_spark_text(p)}, 0)",
     "PCT": lambda x, q: f"percentile({x}, {q})",
+    "ARR": lambda *xs: f"array({', '.join(xs)})",
     "SHA": lambda x: f"sha2({x}, 256)",
     "DAYS": lambda x: f"CAST(to_date({x}) AS STRING)",
     "MONTH": lambda x: f"date_format({x}, 'yyyy-MM')",
@@ -52,6 +53,7 @@ _DUCK = {
     "MATCH": lambda e, p: f"regexp_matches({e}, {_duck_text(p)})",
     "FIRST": lambda e, p: f"regexp_extract({e}, {_duck_text(p)})",
     "PCT": lambda x, q: f"quantile_cont({x}, {q})",
+    "ARR": lambda *xs: f"[{', '.join(xs)}]",
     "SHA": lambda x: f"sha256({x})",
     "DAYS": lambda x: f"CAST(CAST({x} AS DATE) AS VARCHAR)",
     "MONTH": lambda x: f"strftime({x}, '%Y-%m')",
