@@ -83,7 +83,10 @@ query("slices", "SELECT lang, bucket, label, count(*) AS n, round(avg(score), 4)
 query("fairness_slice", "SELECT lang, count_if(quality = 1) AS pos, count_if(quality = 0) AS neg, CASE WHEN count_if(quality = 1) >= 5 AND count_if(quality = 0) >= 5 THEN round(avg(CAST(toxic AS DOUBLE)), 6) END AS rate FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id GROUP BY lang")
 query("stratum_balance", "SELECT source, lang, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM {documents} GROUP BY source, lang")
 query("stratified_shards", """
-SELECT doc_id, CAST((row_number() OVER (PARTITION BY source, lang ORDER BY md5(concat('7:', CAST(doc_id AS STRING))), doc_id) - 1) % 4 AS BIGINT) AS shard FROM {documents}""")
+WITH x AS (SELECT doc_id, source, lang, md5(concat('7:', CAST(doc_id AS STRING))) AS h FROM {documents}),
+b AS (SELECT source, lang, substr(h, 1, 3) AS bin, count(*) AS n FROM x GROUP BY source, lang, substr(h, 1, 3)),
+o AS (SELECT source, lang, bin, sum(n) OVER (PARTITION BY source, lang ORDER BY bin) - n AS under FROM b)
+SELECT x.doc_id, CAST((o.under + row_number() OVER (PARTITION BY x.source, x.lang, o.bin ORDER BY x.h, x.doc_id) - 1) % 4 AS BIGINT) AS shard FROM x JOIN o ON o.source IS NOT DISTINCT FROM x.source AND o.lang IS NOT DISTINCT FROM x.lang AND o.bin = substr(x.h, 1, 3)""")
 query("stratified_subsample", "SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(concat('s:', CAST(doc_id AS STRING))), doc_id) AS k FROM {labels}) x WHERE k <= 20")
 query("length_stratified", """
 WITH q AS (SELECT @PCT(n_chars;;0.25)@ AS a, @PCT(n_chars;;0.5)@ AS b, @PCT(n_chars;;0.75)@ AS c FROM {documents})

@@ -51,7 +51,34 @@ def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def new_texts(docs: DataFrame, out: str | None = None, progress: str | None = None) -> DataFrame:
+    """Drains a stream of documents into a table of first copies (by SHA-256 of the text), batch by batch.
+
+    A batch keeps the least doc_id of each text that no earlier batch has; null texts count as one text. A batch that is
+    run again writes its own folder anew and does not see itself, so the table is the same. With out and progress given,
+    a later call goes on from there.
+    """
+    spark = docs.sparkSession
+    out, progress = out or new_path(spark, "texts"), progress or new_path(spark, "progress")
+    hashed = docs.select("doc_id", F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")), 256).alias("text_sha"))
+    kinds = ", ".join(f"{n} {t}" for n, t in hashed.dtypes)
+
+    def seen() -> DataFrame:
+        return spark.read.schema(f"{kinds}, batch long").parquet(out)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy("text_sha").agg(F.min("doc_id").alias("doc_id"))
+        if number > 0:
+            first = first.join(seen().where(F.col("batch") < number), "text_sha", "left_anti")
+        first.select("doc_id", "text_sha").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    spark.createDataFrame([], kinds).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    hashed.writeStream.foreachBatch(keep).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return seen().select("doc_id", "text_sha")
+
+
 QUERIES = {
+    "stream_new_texts": lambda spark, sf_dir: new_texts(stream(spark, sf_dir, "documents")),
     "stream_daily_counts": lambda spark, sf_dir: drain(tumbling_counts(stream(spark, sf_dir))),
     "stream_sliding_counts": lambda spark, sf_dir: drain(tumbling_counts(stream(spark, sf_dir), "2 days", "1 day")),
     "stream_user_sessions": lambda spark, sf_dir: drain(user_sessions(stream(spark, sf_dir))),
@@ -59,6 +86,7 @@ QUERIES = {
 }
 _DAY = 86_400_000_000
 ORACLES = {
+    "stream_new_texts": "SELECT min(doc_id) AS doc_id, text_sha FROM (SELECT doc_id, sha256(coalesce('t' || text, '')) AS text_sha FROM documents) GROUP BY text_sha",
     "stream_daily_counts": f"SELECT CAST(epoch_us(ts) // {_DAY} * {_DAY} AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "stream_sliding_counts": f"SELECT CAST(epoch_us(ts) // {_DAY} * {_DAY} - b * {_DAY} AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events, (VALUES (0), (1)) AS v(b) GROUP BY 1, 2",
     "stream_user_sessions": """WITH g AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 21600000000, TRUE) AS fresh FROM events),

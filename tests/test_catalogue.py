@@ -9,7 +9,7 @@ from inkstone.queries import ORACLES, QUERIES
 from inkstone.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["yules_k", "mattr50", "fkgl_stats", "connective_density", "compression_verdict", "near_dup_pairs", "benchmark_contamination", "rank_turbulence", "keyness_g2", "roc_auc_by_signal", "embedding_homogeneity", "ordinal_entropy", "transcript_screen", "strip_html", "stratified_shards", "register_inventory", "near_dup_components", "bootstrap_mean_gap", "bootstrap_fixed_threshold", "token_cohesiveness", "stream_daily_counts", "stream_sliding_counts", "stream_user_sessions", "stream_first_events"]
+SOME = ["yules_k", "mattr50", "fkgl_stats", "connective_density", "compression_verdict", "near_dup_pairs", "benchmark_contamination", "rank_turbulence", "keyness_g2", "roc_auc_by_signal", "embedding_homogeneity", "ordinal_entropy", "transcript_screen", "strip_html", "stratified_shards", "register_inventory", "near_dup_components", "bootstrap_mean_gap", "bootstrap_fixed_threshold", "token_cohesiveness", "stream_daily_counts", "stream_sliding_counts", "stream_user_sessions", "stream_first_events", "stream_new_texts", "conformal_p", "threshold_at_fpr", "midrank_percentile", "decision_bundles", "position_pairs", "green_list_z", "sampling_curvature"]
 
 
 @pytest.fixture(scope="module")
