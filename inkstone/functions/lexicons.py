@@ -50,3 +50,19 @@ THRESHOLDS = [
     ("fkgl_sd", "lt", 1.5, 1.5, 200, "syntactic_flattening"),
     ("sentence_length_sd", "lt", 5.0, 0.5, 5000, "syntactic_flattening"),
 ]
+
+# Phrases that mark a claim as hedged, boosted or stipulated.
+CLAIM_HEDGES = (
+    "may suggest", "might", "could", "perhaps", "arguably", "seems to", "it seems", "appears to", "it appears", "suggests", "in some cases",
+    "to some extent", "somewhat", "possibly", "presumably", "plausibly", "it is possible", "tends to", "on the whole", "more or less",
+    "i suspect", "i think", "we think", "probably", "likely",
+)
+CLAIM_BOOSTERS = (
+    "clearly", "obviously", "undeniably", "certainly", "definitely", "without doubt", "without question", "always", "never", "proves",
+    "establishes", "demonstrates that", "of course", "indisputably", "unquestionably", "self-evident", "no one can deny", "it is certain",
+    "must be", "cannot be denied", "every", "all",
+)
+CLAIM_STIPULATIONS = (
+    "assume", "assuming", "grant that", "granting", "let us grant", "for the sake of argument", "take as given", "taken as given",
+    "stipulate", "by stipulation", "suppose that", "posit that",
+)

@@ -4,8 +4,15 @@ Here `events` stands in for judgements: user_id is the work, event_type the sign
 in for series of log-probabilities by position (dim).
 """
 
+from inkstone.functions.lexicons import CLAIM_BOOSTERS, CLAIM_HEDGES, CLAIM_STIPULATIONS
 from inkstone.plans.catalogue import query, relation
 
+
+def phrases(words) -> str:
+    """A pattern for any of words between characters that are no letters, digits or underscores."""
+    return rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(words)})($|[^\p{{L}}\p{{N}}_])"
+
+
 relation("judged", "SELECT event_id, user_id AS work, event_type AS signal, value AS observed, ts, user_id % 2 AS side FROM {events} WHERE value IS NOT NULL")
 # reference means of both classes by signal: a row per signal
 relation("class_means", "SELECT signal, avg(CASE WHEN side = 0 THEN observed END) AS low, avg(CASE WHEN side = 1 THEN observed END) AS high FROM {judged} GROUP BY signal")
@@ -49,3 +56,26 @@ WITH p AS (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos
 e AS (SELECT DISTINCT doc_id, before, word FROM p WHERE before IS NOT NULL),
 g AS (SELECT doc_id, count(*) AS t, count_if(@MOD32(concat('key:', before, ':', word);;4)@ = 0) AS green FROM e GROUP BY doc_id)
 SELECT doc_id, t, green, round(green * 1.0 / t, 6) AS share, round((green - 0.25 * t) / sqrt(t * 0.1875), 5) AS z FROM g""")
+
+# Certainty of claims against their support. Sentences stand in for claims, their first word for the topic; a number is
+# taken as support, a giving of reasons as a gesture. A claim that overstates is defended by a stipulation of its own or by
+# another supported claim of its topic.
+relation("claims", rf"""
+WITH s AS (SELECT doc_id, snum, lower(sent) AS sent, @FIRST(lower(sent);;[a-z']+)@ AS topic FROM {{sents}})
+SELECT doc_id, snum, topic, sent,
+  CASE WHEN @MATCH(sent;;{phrases(CLAIM_HEDGES)})@ THEN CASE WHEN @MATCH(sent;;{phrases(CLAIM_BOOSTERS)})@ THEN 'measured' ELSE 'tentative' END ELSE 'assertive' END AS certainty,
+  CASE WHEN @MATCH(sent;;[0-9])@ THEN 'substantiated' WHEN @MATCH(sent;;{phrases(("because", "since", "therefore"))})@ THEN 'gestured' ELSE 'none' END AS support FROM s""")
+relation("aligned_claims", f"""
+WITH a AS (SELECT doc_id, snum, topic, certainty, support, @MATCH(sent;;{'|'.join(CLAIM_STIPULATIONS)})@ AS stipulated, max(CASE WHEN support = 'substantiated' AND topic <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, topic) AS elsewhere,
+  CASE WHEN certainty = 'assertive' AND support = 'none' THEN 'overclaim' WHEN certainty = 'tentative' AND support = 'substantiated' THEN 'underclaim' ELSE 'aligned' END AS pairing FROM {{claims}}),
+d AS (SELECT doc_id, snum, certainty, support, pairing, CASE WHEN pairing <> 'overclaim' THEN 'none' WHEN stipulated THEN 'defended_stipulated' WHEN elsewhere = 1 THEN 'defended_elsewhere' ELSE 'none' END AS defence FROM a)
+SELECT doc_id, snum, certainty, support, defence, CASE WHEN defence <> 'none' THEN 'aligned' ELSE pairing END AS alignment FROM d""")
+query("certainty_calibration", "SELECT doc_id, count(*) AS claims, count_if(alignment = 'overclaim') AS overclaims, count_if(alignment = 'underclaim') AS underclaims, count_if(defence <> 'none') AS defended FROM {aligned_claims} GROUP BY doc_id")
+query("certainty_crosstab", "SELECT certainty, support, defence, alignment, count(*) AS n FROM {aligned_claims} GROUP BY certainty, support, defence, alignment")
+
+# Rewriting invariance: words of a turn against those of the turn after it, taken as its rewrite.
+query("rewriting_overlap", """
+WITH w AS (SELECT DISTINCT conv_id, turn, word FROM {chat_tokens}),
+n AS (SELECT conv_id, turn, count(*) AS n FROM w GROUP BY conv_id, turn),
+b AS (SELECT x.conv_id, x.turn, count(*) AS both FROM w x JOIN w y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1 AND y.word = x.word GROUP BY x.conv_id, x.turn)
+SELECT p.conv_id, p.turn, round(1 - coalesce(b.both, 0) * 1.0 / (p.n + q.n - coalesce(b.both, 0)), 6) AS distance FROM n p JOIN n q ON q.conv_id = p.conv_id AND q.turn = p.turn + 1 LEFT JOIN b ON b.conv_id = p.conv_id AND b.turn = p.turn""")

@@ -57,3 +57,17 @@ def test_pairs_are_kept_in_order_up_to_their_caps(spark, judged):
             kept.append(a)
             per[q], want[a] = per.get(q, 0) + 1, "kept"
     assert got == want
+
+
+def test_certainty_by_hand(spark, tmp_path):
+    text = "Rates could fall by 3 points. Rates fall. Perhaps all of it holds. Clearly this is so. Suppose that it is so. It could fall because of that. Méall is a name."
+    spark.createDataFrame([(1, text, "en", "s", len(text)), (2, None, "en", "s", 0), (3, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.certainty, r.support, r.defence, r.alignment): r.n for r in QUERIES["certainty_crosstab"](spark, str(tmp_path)).collect()}
+    assert got == {
+        ("tentative", "substantiated", "none", "underclaim"): 1,
+        ("assertive", "none", "defended_elsewhere", "aligned"): 1,
+        ("measured", "none", "none", "aligned"): 1,
+        ("assertive", "none", "none", "overclaim"): 2,
+        ("assertive", "none", "defended_stipulated", "aligned"): 1,
+        ("tentative", "gestured", "none", "aligned"): 1,
+    }
