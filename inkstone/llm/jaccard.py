@@ -172,8 +172,8 @@ def _verifier(threshold: tuple[int, int], block_names=("comp", "i", "j")):
     return run
 
 
-def join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, class_id (the least doc_id of its class), n_links (documents that it is linked to, copies included), class_size."""
+def _classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text and node (a text's hash) per document; node, copies, rep (its least doc_id), links and root (its class) per distinct text."""
     spark = docs.sparkSession
     n = partitions(spark)
     text = F.coalesce("text", F.lit(""))
@@ -195,14 +195,26 @@ def join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.select(F.col("node").alias("a"), F.col("tied").alias("b")))
     nodes = texts.select("node", "copies", "rep").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return base, nodes
+
+
+def join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, class_id (the least doc_id of its class), n_links (documents that it is linked to, copies included), class_size."""
+    base, nodes = _classes(docs, threshold, recall, block)
     named = nodes.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     told = nodes.join(named, "root").select("node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return base.select("doc_id", "node").join(told, "node").select("doc_id", "class_id", "n_links", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: that of the least doc_id (of its repeated rows, one); all columns stay."""
-    joined = join(docs)
-    lone = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(lone, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    return kept.dropDuplicates(["doc_id"])
+    """docs with one document of each class: that of the least doc_id (of its repeated rows, one); all columns stay.
+
+    What is kept is told by text and doc_id, so that unrelated texts of one doc_id, or of none, all stay; a class in which
+    no document has an id keeps the text of the least hash.
+    """
+    _, nodes = _classes(docs)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("f")
+    kept = nodes.groupBy("root").agg(first).select(F.col("f.rep").alias("_rep"), F.col("f.node").alias("_kept"))
+    told = docs.withColumn("_node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    lone = told.join(kept, (F.col("_node") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_rep")))
+    return lone.dropDuplicates(["_node"]).select(*docs.columns)

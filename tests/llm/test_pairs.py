@@ -94,6 +94,16 @@ def test_keep_one(spark):
     assert len(ids) == len(set(ids)) and set(ids) == {c for _, c, _ in brute_join(list(enumerate(near_texts())))}
 
 
+def test_keep_one_by_text(spark):
+    r = random.Random(8)
+    clean = [" ".join(str(r.random()) for _ in range(20)) for _ in range(8)]
+    texts = [clean[0], clean[0], clean[1], *clean[2:6], clean[5], None, "", clean[6], clean[7], clean[7]]
+    ids = [3, 5, 5, None, None, None, None, None, None, None, 9, 9, 9]
+    kept = jaccard.keep_one(clashing(frame(spark, texts, ids=ids))).collect()
+    want = [(3, clean[0]), (5, clean[1]), *((None, t) for t in clean[2:6]), (None, ""), (9, clean[6]), (9, clean[7])]
+    assert sorted(((str(x.doc_id), x.text or "") for x in kept)) == sorted((str(d), t) for d, t in want)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     out = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
