@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from inkstone.llm.common import Texts, text_groups
+from inkstone.llm.common import Texts, lists, text_groups
 from inkstone.llm.kernels import U, Words, gram_hashes, within_text
 
 N = 13
@@ -127,31 +128,49 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """docs without contaminated documents; in the rest, the words of occurring windows are cut out with what lies between them.
 
-    All columns of docs stay, in order; a text that loses words is rebuilt, any other is kept byte for byte.
+    The hits of all parts of a large benchmark are united before a document is judged and cut. All columns of docs stay, in
+    order; a text that loses words is rebuilt, any other is kept byte for byte.
     """
-    spark, names = docs.sparkSession, docs.columns
-    parts = list(window_sets(benchmark, n))
-    for windows in parts:
-        docs = docs.mapInArrow(_remover(spark.sparkContext.broadcast(windows)), docs.schema)
+    spark, names, schema = docs.sparkSession, docs.columns, docs.schema
+    parts = window_sets(benchmark, n)
+    windows = next(parts)
+    while windows is not None:
+        following = next(parts, None)
+        last = following is None
+        docs = docs.mapInArrow(_remover(spark.sparkContext.broadcast(windows), last), schema if last else StructType([*schema.fields, StructField(_HITS, ArrayType(IntegerType()))]))
+        windows = following
     return docs.select(*names)
 
 
-def _remover(shared):
+_HITS = "_hits_of_parts"
+
+
+def _remover(shared, last: bool):
+    """Words that the parts up to this one hit go on in a column of their own; the last part judges and cuts by all of them."""
+
     def scan(batches):
         windows = shared.value
         for texts in text_groups(batches):
             words = Words(texts)
             hit = np.zeros(len(words.starts), bool)
+            firsts = np.cumsum(words.counts) - words.counts
+            rows, at = texts.rows, texts.rows.schema.get_field_index(_HITS)
+            if at >= 0:
+                before = rows.column(at)
+                hit[np.repeat(firsts, before.value_lengths().to_numpy()) + before.flatten().to_numpy()] = True
+                rows = rows.remove_column(at)
             for i, k, _ in windows.hits(words):
                 hit[i : i + k] = True
+            per = np.bincount(words.text[hit], minlength=len(texts))
+            if not last:
+                yield rows.append_column(_HITS, lists(np.flatnonzero(hit) - np.repeat(firsts, per), per, pa.int32()))
+                continue
             if not hit.any():
-                yield texts.rows
+                yield rows
                 continue
-            per = np.bincount(words.text[hit], minlength=len(texts))
             keep = ~((per > 0) & (SHARE * per >= words.counts))
-            at = texts.rows.schema.get_field_index("text")
-            column = texts.rows.column(at).to_pylist()
-            firsts = np.cumsum(words.counts) - words.counts
+            at = rows.schema.get_field_index("text")
+            column = rows.column(at).to_pylist()
             for d in np.flatnonzero(keep & (per > 0)).tolist():
                 raw, out, done = texts.data[texts.starts[d] : texts.ends[d]].tobytes(), [], 0
                 inside = np.flatnonzero(hit[firsts[d] : firsts[d] + words.counts[d]]) + firsts[d]
@@ -160,7 +179,7 @@ def _remover(shared):
                     out.append(raw[done:a])
                     done = b
                 column[d] = b"".join([*out, raw[done:]]).decode()
-            rows = texts.rows.set_column(at, texts.rows.schema.field(at), pa.array(column, type=texts.rows.schema.field(at).type))
+            rows = rows.set_column(at, rows.schema.field(at), pa.array(column, type=rows.schema.field(at).type))
             yield rows.filter(pa.array(keep))
 
     return scan

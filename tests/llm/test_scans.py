@@ -283,6 +283,21 @@ def test_decontamination_in_parts_and_removal(spark, monkeypatch):
             assert words_of(out[i]) == [w for k, w in enumerate(words) if k not in hit]
 
 
+def test_removal_unites_parts(spark, monkeypatch):
+    said = [" ".join(f"{c}{i}" for i in range(26)) for c in "pq"]
+    over = [f"z{i}" for i in range(20)]
+    items = [(1, said[0]), (2, said[1]), (3, " ".join(over[:14])), (4, " ".join(over[5:]))]
+    fill = lambda n: " ".join(f"f{i}" for i in range(n))
+    texts = [f"{said[0]} {fill(948)} {said[1]}", f"{said[0]} {fill(974)}", f"{' '.join(over)} {fill(980)}", "clean", None, f"{fill(980)}, {' '.join(over)}."]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    cut = lambda: {r.doc_id: r.text for r in decontaminate.remove(clashing(frame(spark, texts)), bench).collect()}
+    whole = cut()
+    monkeypatch.setattr(decontaminate.window_sets, "__defaults__", (13, 20))
+    assert len(list(decontaminate.window_sets(bench))) > 2
+    assert cut() == whole and set(whole) == {1, 2, 3, 4, 5}
+    assert whole[1].split() == whole[2].split()[:974] and words_of(whole[2]) == words_of(whole[5]) == words_of(fill(980))
+
+
 def test_decontamination_on_small_tables(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     out = queries.op10_benchmark_decontamination(spark, SF).collect()
