@@ -1,7 +1,9 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, words only) and looked up among known licence sentences;
-the identifiers found, in order, are matched against ordered licence rules, longest rule first, with at most GAP
+A text is cut into pieces at sentence ends and newlines, each is normalised (lower case, words only). A known licence
+sentence is one piece, or several in a row with no blank line between (a line of marks alone, as in comments, is blank),
+so that wrapped and commented texts are read like others; it begins and ends where pieces do, and the longest one counts.
+A line that goes on the sentence before it is not numbered anew. The identifiers found, in order, are matched against ordered licence rules, longest rule first, with at most GAP
 sentences of other content between two of a rule. A sentence is used by one match only.
 
 Each known sentence has a rare word of its own; only texts that hold one of these are cut up, which changes no result.
@@ -28,18 +30,30 @@ SENTENCES = {
     "apache-asis": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "mit-notice": "Released under the MIT License.",
     "mit-notice-licensed": "Licensed under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "mit-asis": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.',
+    "mit-asis": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "gpl3-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.",
+    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "cc-by-nc-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-notice": "Licensed under CC BY 4.0.",
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "rights-reserved": "All rights reserved.",
 }
+#: Further forms of some of them, shortened or of other versions.
+FORMS = (
+    ("apache-copy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-copy", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+    ("mit-condition", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."),
+    ("mit-asis", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.'),
+    ("gpl-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
+    ("gpl-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("gpl-hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."),
+)
 #: Ordered rules: a licence and the identifiers that state it, in this order.
 RULES = (
     ("Apache-2.0", ("apache-notice-long", "apache-copy", "apache-asis")),
@@ -60,6 +74,7 @@ RULES = (
 )
 
 _BREAK = re.compile(r"(?<=[.!?:])\s+|\n+")
+_MARK = re.compile(r"^[ \t]*(?:@?rem|dnl)[ \t]+", re.I | re.M)  # comment marks that are words
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -69,7 +84,10 @@ def normal(sentence: str) -> str:
 
 class Recogniser:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules=RULES, gap: int = GAP):
-        self.known = {normal(s): i for i, s in sentences.items()}
+        self.known = {normal(s): i for i, s in [*sentences.items(), *((i, s) for i, s in FORMS if i in sentences)]}
+        self.begun: dict[str, list[str]] = {}
+        for n in self.known:
+            self.begun.setdefault(n.split()[0], []).append(n)
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
         self.gap = gap
         self.gates = sorted({max(n.split(), key=lambda w: (len(w), w)) for n in self.known})
@@ -80,16 +98,46 @@ class Recogniser:
         low = text.lower()
         if not any(g in low for g in self.gates):
             return []
-        out, n = [], 0
-        for s in _BREAK.split(text):
-            if not s.strip():
-                continue
-            found = self.known.get(normal(s))
+        pieces = self.pieces(_MARK.sub("", text))
+        out, n, i, running = [], 0, 0, False
+        while i < len(pieces):
+            found, after = self.longest(pieces, i)
             if found:
                 out.append((n, found))
-            n += 1
+            n += not (running and pieces[i][2] and not found)
+            i, running = after, not found
+        return out
+
+    @staticmethod
+    def pieces(text: str) -> list[tuple[str, bool, bool]]:
+        """(normalised, whether no blank line is before it, whether it goes on the sentence before) of each piece."""
+        out, at, near, on = [], 0, False, False
+        for m in [*_BREAK.finditer(text), None]:
+            s = text[at : m.start() if m else len(text)]
+            said = normal(s)
+            if s.strip():
+                out.append((said, near and bool(said), on and bool(said)))
+            if m:
+                near = bool(said) and m[0].count("\n") < 2
+                on = near and text[m.start() - 1] not in ".!?:"
+                at = m.end()
         return out
 
+    def longest(self, pieces: list[tuple[str, bool, bool]], i: int) -> tuple[str | None, int]:
+        """The longest known sentence that begins with piece i, if any, and the piece after it (or after i)."""
+        said = pieces[i][0]
+        some = self.begun.get(said.split(" ", 1)[0], [])
+        found, after, j = self.known.get(said), i + 1, i + 1
+        while j < len(pieces) and pieces[j][1]:
+            some = [k for k in some if k.startswith(said + " ")]
+            if not some:
+                break
+            said += " " + pieces[j][0]
+            j += 1
+            if said in self.known:
+                found, after = self.known[said], j
+        return found, after
+
     def match(self, found: list[tuple[int, str]]) -> list[tuple[str, int, int]]:
         """(licence, first sentence, last sentence) of each rule match, by first sentence."""
         free, out = [True] * len(found), []

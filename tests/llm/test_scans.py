@@ -208,6 +208,69 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Nobody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "Apache-2.0": """Copyright 2020 A. Nobody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.""",
+}
+
+
+def test_licenses_wrapped(spark):
+    r = licenses.Recogniser()
+    said = {"MIT": ["mit-grant", "mit-condition", "mit-asis"], "Apache-2.0": ["apache-notice-long", "apache-copy", "apache-asis"], "GPL": ["gpl-free", "gpl-hope"], "BSD": ["bsd-grant"]}
+    marks = ["{}", " * {}", "# {}", "// {}", "REM {}", "{}\r"]
+    texts = [(name, "int x\n" + "\n".join(m.format(line).rstrip(" ") for line in t.split("\n"))) for name, t in WRAPPED.items() for m in marks]
+    for (name, _), x in zip(texts, sorted(licenses.scan(clashing(frame(spark, [t for _, t in texts]))).collect(), key=lambda x: x.doc_id), strict=True):
+        assert (x.sentence_ids, x.licenses) == (said[name], [name])
+    for i, s in licenses.FORMS:
+        assert [x for _, x in r.recognise(s)] == [i]
+    grant, condition, asis = (licenses.SENTENCES[i] for i in said["MIT"])
+    other = "One sentence of\nother content over\nfour lines that\nends here.\n"
+    assert [m[0] for m in r.match(r.recognise(f"{grant}\n{other}{condition}\n{asis}"))] == ["MIT"] and r.match(r.recognise(f"{grant}\n{other}{condition}\n{asis}"))[0][1:] == (0, 3)
+    assert r.recognise(WRAPPED["BSD"].replace("without\n", "without\n\n")) == []  # not over a blank line
+
+
 def test_licenses_on_small_tables(spark):
     r = licenses.Recogniser()
     gateless = licenses.Recogniser()
