@@ -163,16 +163,18 @@ SELECT doc_id, transform(array_sort(collect_list(struct(snum, concat(third, CASE
 
 
 def tree_length(points: np.ndarray) -> float:
-    """Sum of the edges of the least spanning tree (Prim, one row of distances at a time)."""
+    """Sum of the edges of the least spanning tree (Prim, one row of distances to the points outside the tree at a time)."""
     if len(points) < 2:
         return 0.0
-    near, left, total = np.full(len(points), np.inf), np.ones(len(points), bool), 0.0
-    at = 0
-    for _ in range(len(points) - 1):
-        left[at] = False
-        near = np.minimum(near, np.sqrt(((points - points[at]) ** 2).sum(axis=1)))
-        at = int(np.where(left, near, np.inf).argmin())
-        total += float(near[at])
+    at, rest = points[0], np.array(points[1:], np.float64)
+    near, apart, total = np.full(len(rest), np.inf), np.empty_like(rest), 0.0
+    for left in range(len(rest), 0, -1):
+        d = np.subtract(rest[:left], at, out=apart[:left])
+        np.minimum(near[:left], np.einsum("ij,ij->i", d, d), out=near[:left])
+        i = int(near[:left].argmin())
+        total += math.sqrt(near[i])
+        at = rest[i].copy()
+        rest[i], near[i] = rest[left - 1], near[left - 1]
     return total
 
 
@@ -193,17 +195,20 @@ def dimension(points: np.ndarray, shares=(0.25, 0.4, 0.55, 0.7, 0.85, 1.0), draw
     return 1 / (1 - slope) if slope < 1 else None
 
 
-def persistent_dimension(spark: SparkSession, sf_dir: str, most: int = 1000) -> DataFrame:
-    """Per label: dimension of its vectors. The estimator is one of a sample: `most` vectors by md5 of vec_id."""
+def persistent_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per label: dimension of all its vectors, whose subsets are drawn by their order by md5 of vec_id.
+
+    A label is one task, whose time grows with the square of its vectors.
+    """
     order = Window.partitionBy("label").orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id")
-    some = table(spark, sf_dir, "embeddings").where("embedding is not null").select("label", "embedding", F.row_number().over(order).alias("k")).where(F.col("k") <= most)
+    every = table(spark, sf_dir, "embeddings").where("embedding is not null").select("label", "embedding", F.row_number().over(order).alias("k"))
 
     def of(cloud: pd.DataFrame) -> pd.DataFrame:
         cloud = cloud.sort_values("k")
         value = dimension(np.stack(cloud["embedding"].to_list()).astype(np.float64))
         return pd.DataFrame({"label": [cloud["label"].iloc[0]], "n": [len(cloud)], "phd": [None if value is None else round(value, 6)]})
 
-    return some.groupBy("label").applyInPandas(of, "label int, n long, phd double")
+    return every.groupBy("label").applyInPandas(of, "label int, n long, phd double")
 
 
 # --- spectrum of a series -------------------------------------------------------------------------------------------

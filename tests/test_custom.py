@@ -1,5 +1,6 @@
 """Operators without oracle SQL against brute force and by hand."""
 
+import hashlib
 import lzma
 import math
 import random
@@ -73,6 +74,27 @@ def test_tree_and_dimension():
     assert custom.dimension(flat[:5]) is None and custom.dimension(np.zeros((20, 2))) is None
 
 
+def brute_tree(points):
+    inside, total = {0}, 0.0
+    while len(inside) < len(points):
+        d, j = min((math.dist(points[i], points[j]), j) for i in inside for j in range(len(points)) if j not in inside)
+        inside.add(j)
+        total += d
+    return total
+
+
+def test_dimension_takes_the_whole_cloud(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    for cloud in (rng.random((40, 3)), rng.integers(0, 3, (40, 2)).astype(float)):
+        assert math.isclose(custom.tree_length(cloud), brute_tree(cloud.tolist()))
+    assert custom.tree_length(np.full((30, 4), 0.1)) == 0.0
+    rows = [(i, int(i >= 1300), rng.random(3).tolist()) for i in range(1310)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.label: (r.n, r.phd) for r in custom.persistent_dimension(spark, str(tmp_path)).collect()}
+    order = sorted(range(1300), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert got[0] == (1300, round(custom.dimension(np.array([rows[i][2] for i in order])), 6)) and got[1][0] == 10
+
+
 def test_spectrum():
     t = np.arange(64)
     centroid, low, flat, peak = custom.spectrum(np.sin(2 * np.pi * t / 4))
