@@ -6,7 +6,8 @@ again after an edit, so their notes differ in few places (Hamming distance). A f
 steps whole, then 32 steps of each span twice as long as the one before, four bits of a hash of each note. Weighted by
 what each sample stands for, the share of equal samples estimates the share of equal notes: the likeness, 0 to 1.
 
-classes() bands the sampled bits, ties documents of equal bands to the least document and verifies each tie by likeness.
+classes() bands the sampled bits and ties prints of equal bands to the least document; components of these ties are the
+candidate groups, and all pairs of a group are verified by likeness in blocks. No registered query calls it.
 
 Documents and their followers come together by a range of doc_id: bounds are quantiles (a few numbers), and the first
 row of each range is also sent to the range before it, so the text is shuffled once. Walks of many documents go in step in numpy, and
@@ -34,6 +35,7 @@ PERIOD = 4096  # random bits recur after so many steps
 FEW = 48
 TOGETHER = 12_000_000  # characters walked in step
 ABSENT = 255
+BLOCK = 384
 
 _BITS = ((spread(np.arange(PERIOD * 256, dtype=U) + U(0x5BD1E995)) >> U(17)) & U(1)).astype(np.int64).reshape(PERIOD, 256)
 _ROWS = [bytes(r.astype(np.uint8)) for r in _BITS]
@@ -114,8 +116,9 @@ def walk(texts: list[np.ndarray]) -> np.ndarray:
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Weighted share of equal samples of two sets of notes, row by row; 1 if neither has any."""
     there = (a != ABSENT) | (b != ABSENT)
-    total = there @ WEIGHTS
-    return np.where(total > 0, ((a == b) & there) @ WEIGHTS / np.maximum(total, 1), 1.0)
+    weights = WEIGHTS[: there.shape[1]]
+    total = there @ weights
+    return np.where(total > 0, ((a == b) & there) @ weights / np.maximum(total, 1), 1.0)
 
 
 def rendered(notes: np.ndarray) -> list[str]:
@@ -238,28 +241,60 @@ def _notes_of(prints: list[str]) -> np.ndarray:
     return out
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, samples: int = 6) -> DataFrame:
+def _verifier(threshold: float):
+    def unit(rows: list[dict]):
+        """Ties of what is linked among two blocks (or one); pairs that are in one class already are not compared."""
+        i, j = rows[0]["i"], rows[0]["j"]
+        notes = _notes_of([r["fingerprint"] for r in rows])[:, : max(len(r["fingerprint"]) for r in rows)]
+        own, root = np.array([r["block"] for r in rows]), np.arange(len(rows))
+        for a in range(len(rows) - 1):
+            to = np.flatnonzero((root[a + 1 :] != root[a]) & ((i == j) | (own[a + 1 :] != own[a]))) + a + 1
+            if not len(to):
+                continue
+            near = root[to[likeness(notes[a : a + 1], notes[to]) >= threshold]]
+            root[np.isin(root, near)] = root[a]
+        return [(rows[x]["rep"], rows[r]["rep"]) for x, r in enumerate(root.tolist()) if x != r]
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                now = (row["comp"], row["i"], row["j"])
+                if now != key and held:
+                    found += unit(held)
+                    held = []
+                key = now
+                held.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+        if held and (found := unit(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return run
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, samples: int = 6, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, class_id. Band keys sample the notes of the two longest octaves before the last, so that lengths
-    near a power of two meet in one of two keys; a bucket ties its documents to the least one, and ties are verified."""
+    near a power of two meet in one of two keys; all pairs that a bucket holds are verified. Equal prints count as one."""
     rng = np.random.default_rng(5)
     picks = [sorted(rng.choice(2 * SAMPLES, samples, replace=False).tolist()) for _ in range(bands)]
     prints = cut_table(fingerprints(docs).where("doc_id is not null").dropDuplicates(["doc_id"]))
+    own = cut_table(prints.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
     octaves = F.length("fingerprint") / SAMPLES
     keys = []
     for back in (1, 2):
         top = F.greatest(octaves.cast("int") - back, F.lit(0))
         part = F.substring(F.col("fingerprint"), F.greatest((top - 2) * SAMPLES, F.lit(0)) + 1, F.lit(2 * SAMPLES))
         keys += [F.struct(F.lit(b).alias("band"), F.xxhash64(top, F.lit(b), *[F.substring(part, p + 1, 1) for p in pick]).alias("h")) for b, pick in enumerate(picks)]
-    keyed = prints.where("fingerprint <> ''").select("doc_id", F.explode(F.array_distinct(F.array(*keys))).alias("k")).select("doc_id", "k.*")
-    least = keyed.groupBy("band", "h").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = keyed.join(least, ["band", "h"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    told = ties.join(prints.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("fa")), "a").join(prints.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb")), "b")
-
-    def verify(batches):
-        for batch in batches:
-            fa, fb = (_notes_of(batch.column(i).to_pylist()) for i in (2, 3))
-            ok = pa.array(likeness(fa, fb) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
-
-    linked = components(told.select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long"))
-    return prints.join(linked, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    keyed = own.select("rep", F.explode(F.array_distinct(F.array(*keys))).alias("k")).select("rep", "k.*")
+    least = keyed.groupBy("band", "h").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    ties = keyed.join(least, ["band", "h"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    groups = components(ties).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
+    blocks = groups.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = groups.join(blocks, "comp").join(own, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    units = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "fingerprint")
+    verified = units.repartition(partitions(docs.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verifier(threshold), "a long, b long")
+    linked = components(cut_table(verified))
+    named = own.join(linked, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "rep").alias("class_id"))
+    return prints.join(named, "fingerprint", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from inkstone.llm import editprints, queries
 from tests.llm.helpers import clashing, frame, invented
@@ -88,3 +89,18 @@ def test_classes(spark):
     out = {x.doc_id: x.class_id for x in editprints.classes(clashing(frame(spark, texts))).collect()}
     assert all(out[i] == i for i in range(12)) and out[24] == 0 and out[25] == 25
     assert sum(out[i + 12] == i for i in range(12)) >= 11
+
+
+@pytest.mark.parametrize("block", [384, 3])
+def test_classes_verify_all_pairs_of_a_bucket(spark, monkeypatch, block):
+    head = "0" * 96  # all band keys are of this part; the last octave is half of the weight
+    prints = [head + "f" * 32, head + "0" * 32, head + "0" * 31 + "1", head + "f" * 32] + [head + c * (31 - k) + "9" * (k + 1) for c in "ab" for k in range(6)] + ["", ""]
+    df = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    monkeypatch.setattr(editprints, "fingerprints", lambda docs: df)
+    notes, root = editprints._notes_of(prints[:-2]), list(range(len(prints)))
+    for a in range(len(notes)):
+        for b in range(a):
+            if editprints.likeness(notes[a : a + 1], notes[b : b + 1])[0] >= 0.8:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    got = {r.doc_id: r.class_id for r in editprints.classes(df, block=block).collect()}
+    assert got == dict(enumerate(root)) and (got[0], got[1], got[2], got[3]) == (0, 1, 1, 0) and len(set(got.values())) == 6
