@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
@@ -25,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is configured (tests, local mode)."""
+    """The cluster's shared folder; one of our own only where none is configured and the master is local (tests)."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(sc, "_inkstone_checkpoints", None)
         if path is None:
             path = sc._inkstone_checkpoints = "file://" + tempfile.mkdtemp(prefix="inkstone-ckpt-")
@@ -98,8 +103,6 @@ def blobs(data: bytes, sizes: np.ndarray) -> pa.Array:
 
 def cut_table(df: DataFrame) -> DataFrame:
     """Like cut, as a compressed table in the shared folder."""
-    import uuid
-
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -107,3 +110,47 @@ def cut_table(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as no column of docs has the name (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def aside(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, text, and all other columns in one struct `row`, so that no name of the input meets one used inside."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(key, "text", F.struct(*others).alias("row"))
+
+
+def restored(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that aside() has put away, in their old order, with rows' text."""
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
+
+
+def whole_units(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Sorted Arrow batches as tables of whole units (rows of one key), with the edges of the units."""
+
+    def edges_of(rows: pa.Table) -> list[int]:
+        new = np.zeros(len(rows), bool)
+        new[:1] = True
+        for k in keys:
+            values = rows.column(k).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return [*np.flatnonzero(new).tolist(), len(rows)]
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        edges = edges_of(rows)
+        if len(edges) > 2:
+            yield rows.slice(0, edges[-2]).combine_chunks(), edges[:-1]
+        held = rows.slice(edges[-2])
+    if held is not None:
+        yield held.combine_chunks(), [0, len(held)]

@@ -1,17 +1,23 @@
-"""Line deduplication: repeated runs of lines by distributed prefix doubling over line-ID sequences.
-
-Each line becomes an ID (128 bits of its hash); a document is a sequence of IDs, and each place in it is a suffix.
-Doubling names the prefix of length 2n at a place by the pair of names of length n at that place and n further on. Names
-stand in for ranks: which of two different prefixes is the smaller matters to no result, equal prefixes have equal
-names. Places with one name at length n are the longest-common-prefix interval of depth n; an interval of one place is
-dropped, so each round works only on what is still repeated, and rounds end when nothing is. Every place of an interval
-but the first (by doc_id, then place) is a later copy, and its lines go. Runs count from `least` lines on.
-
-Only DataFrame functions are used. Hot lines meet only in aggregates with map-side combination and in joins that
-adaptive execution splits. Cases: a null text stays null and has no line; an empty text is one empty line; a document
-all of whose lines go keeps an empty text; a null doc_id has no place in the order: its document loses nothing and takes
-nothing; repeated rows (doc_id and text) count as one document and share its result; an empty table gives no row; extra
-columns stay in keep() and are ignored in report().
+"""Line deduplication: a suffix array over line-ID sequences by distributed prefix doubling.
+
+Each line has an ID (128 bits of its hash); a document is a sequence of IDs, and each place in it begins a suffix. Round
+k ranks the prefixes of 2**k lines: distinct names (a line's ID; from then on the pair of ranks of a place and of the one
+2**(k-1) lines further on) are counted, those of one place are dropped, as nothing longer from there repeats, and the
+others are sorted by ranges, so that their numbers are their ranks in the order of suffixes. Suffixes of one rank form a
+longest-common-prefix interval at least 2**k deep, and any prefix between two powers is told by the ranks of the two
+overlapping prefixes of 2**k lines that make it up. Rounds go as deep as a run has to reach.
+
+A run of lines counts from LEAST characters on, over however many lines: one long line or several short ones. In each
+stretch of repeated lines every place begins a shortest such run, and ends one; the intervals of these runs say whether
+the run also begins at a smaller (doc_id, text hash, place), its source. Such runs are later copies. Their union is that
+of all maximal repeated runs with an earlier copy, and its lines are deleted.
+
+Only DataFrame functions are used. Names are counted with map-side combination and then written, so that the joins with
+them stand alone and adaptive execution splits hot ones. Cases: a null text stays null and has no line; an empty text is
+one empty line; a document all of whose lines go keeps an empty text; a null doc_id has no place in the order: its
+document loses nothing and takes nothing; repeated rows (doc_id and text) count as one document and share its result,
+texts of one doc_id are ordered by their hashes; a text of very many lines is split whole in one row, its places are rows
+of their own; an empty table gives no row; extra columns of any name stay in keep() and are ignored in report().
 """
 
 from __future__ import annotations
@@ -19,93 +25,137 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import cut
+from inkstone.llm.common import aside, cut_table, free, partitions
 
-LEAST = 2
-_PLACE = ("did", "th", "pos")
-_NAME = ("h1", "h2")
+#: Characters from which on a run counts, over all its lines.
+LEAST = 60
+_DOC = ("did", "th")
+_PLACE = (*_DOC, "pos")
 
 
-def _named(rows: DataFrame, *columns) -> DataFrame:
-    return rows.withColumns({"n1": F.xxhash64(F.lit(1), *columns), "n2": F.xxhash64(F.lit(2), *columns)}).select(*_PLACE, F.col("n1").alias("h1"), F.col("n2").alias("h2"))
+def _ranked(names: DataFrame, *keys: str) -> DataFrame:
+    """Distinct names of more than one place (keys, n) with rank, ascending by keys over all partitions."""
+    spread = names.where("n > 1").repartitionByRange(partitions(names.sparkSession), *keys).sortWithinPartitions(*keys)
+    return cut_table(spread.select(*keys, F.monotonically_increasing_id().alias("rank")))
 
 
-def _intervals(rows: DataFrame) -> DataFrame:
-    """Places whose name is not theirs alone, with later: whether the name has an earlier place."""
-    place = F.struct(*_PLACE)
-    groups = rows.groupBy(*_NAME).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    return cut(rows.join(groups, [*_NAME]).select(*_PLACE, *_NAME, (place > F.col("first")).alias("later")))
+def _doubled(level: DataFrame, by: int) -> DataFrame:
+    """Places with their rank and that of the place `by` lines further on, where there is one."""
+    there = Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(by, by)
+    return level.withColumn("next", F.first("rank").over(there)).where("next is not null")
 
 
-def _further(rows: DataFrame, by: int) -> DataFrame:
-    """Names at each place and `by` lines further on, where there is one."""
-    there = Window.partitionBy("did", "th").orderBy("pos").rangeBetween(by, by)
-    return rows.withColumns({"g1": F.first("h1").over(there), "g2": F.first("h2").over(there)}).where("g1 is not null")
+def _shortest(level: DataFrame, least: int) -> DataFrame:
+    """did, th, pos, m: the shortest runs of `least` characters that begin or end at each place, inside stretches of repeated lines."""
+    stretch = Window.partitionBy(*_DOC).orderBy("pos")
+    whole = Window.partitionBy(*_DOC, "stretch").orderBy("pos")
+    upto = level.withColumn("stretch", F.col("pos") - F.row_number().over(stretch)).withColumn("upto", F.sum("chars").over(whole))
+    place = [*_DOC, "stretch"]
+    line = lambda key, first: F.struct(key.alias("key"), F.lit(first).alias("kind"), F.col("pos").alias("p"))
+    before = F.col("upto") - F.col("chars")
+    # from its end a run looks back for the last begin, from its begin ahead for the first end that makes it long enough
+    back = upto.select(*place, F.explode(F.array(line(before, 0), line(F.col("upto") - least, 1))).alias("x")).select(*place, "x.*")
+    last = F.max(F.when(F.col("kind") == 0, F.col("p"))).over(Window.partitionBy(*place).orderBy("key", "kind", "p").rowsBetween(Window.unboundedPreceding, 0))
+    ending = back.withColumn("pos", last).where("kind = 1 and pos is not null").select(*_DOC, "pos", (F.col("p") - F.col("pos") + 1).alias("m"))
+    ahead = upto.select(*place, F.explode(F.array(line(F.col("upto"), 0), line(before + least, 1))).alias("x")).select(*place, "x.*")
+    first = F.min(F.when(F.col("kind") == 0, F.col("p"))).over(Window.partitionBy(*place).orderBy(F.col("key").desc(), "kind", "p").rowsBetween(Window.unboundedPreceding, 0))
+    begun = ahead.withColumn("end", first).where("kind = 1 and end is not null").select(*_DOC, F.col("p").alias("pos"), (F.col("end") - F.col("p") + 1).alias("m"))
+    return begun.unionByName(ending).where("m > 0").distinct()
 
 
-def repeats(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
-    """Later copies of repeated runs: did, th, pos, length (of the prefix; `least`, twice that, and so on), and the rounds taken."""
+def later_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Shortest runs that have an earlier copy: did, th, pos, m (lines), source (the first copy's document)."""
+    line = lambda n: F.xxhash64(F.lit(n), "line")
     base = docs.where("doc_id is not null").select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = _named(base.select("did", "th", F.col("pos").cast("long").alias("pos"), "line"), "line").distinct()
-    groups = lines.groupBy(*_NAME).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    level, length, rounds = lines.join(groups, [*_NAME], "left_semi"), 1, 0
-    while length * 2 <= least:  # names of `least` lines from the two longest powers that overlap in it
-        level = _named(_further(level, length), "h1", "h2", "g1", "g2")
-        length *= 2
-    if length < least:
-        level = _named(_further(level, least - length), "h1", "h2", "g1", "g2")
-    found, length = None, least
-    while True:
-        level = _intervals(level)
-        marks = level.where("later").select(*_PLACE, F.lit(length).cast("long").alias("length"))
-        found = marks if found is None else found.unionByName(marks)
-        rounds += 1
-        if level.isEmpty():
-            return found, rounds
-        level = _named(_further(level, length), "h1", "h2", "g1", "g2")
-        length *= 2
+    lines = base.select(*_DOC, F.col("pos").cast("long").alias("pos"), line(1).alias("h1"), line(2).alias("h2"), F.length("line").cast("long").alias("chars"))
+    names = _ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")), "h1", "h2")
+    level = cut_table(lines.join(names, ["h1", "h2"]).select(*_PLACE, "rank", "chars").distinct())
+    runs = cut_table(_shortest(level, max(least, 1)))
+    deepest = runs.agg(F.max("m")).first()[0] or 0
+    level, told, k = level.drop("chars"), None, 0
+    while deepest >= 1 << k:
+        own = runs.where((F.col("m") >= 1 << k) & (F.col("m") < 2 << k))
+        if k == 0:
+            named = own.join(level, [*_PLACE]).withColumn("next", F.col("rank"))
+        else:
+            ends = own.join(level, [*_PLACE]).withColumn("last", F.col("pos") + F.col("m") - (1 << k))
+            tail = level.select(*_DOC, F.col("pos").alias("last"), F.col("rank").alias("next"))
+            named = ends.join(tail, [*_DOC, "last"])
+        named = named.select(*_PLACE, "m", "rank", "next")
+        told = named if told is None else told.unionByName(named)
+        k += 1
+        if deepest >= 1 << k:
+            pairs = _doubled(level, 1 << (k - 1))
+            names = _ranked(pairs.groupBy(F.col("rank").alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("n")), "a", "b")
+            level = cut_table(pairs.withColumnsRenamed({"rank": "a", "next": "b"}).join(names, ["a", "b"]).select(*_PLACE, "rank"))
+    if told is None:
+        return runs.withColumn("source", F.col("did"))
+    interval = ["m", "rank", "next"]
+    place = F.struct(*_PLACE)
+    firsts = cut_table(told.groupBy(*interval).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
+    return told.join(firsts, interval).where(place > F.col("first")).select(*_PLACE, "m", F.col("first.did").alias("source"))
+
+
+def deleted_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """did, th, a, z, source: maximal runs of lines that go, from line a to line z, and the document of its first piece's first copy."""
+    marks = later_copies(docs, least).select(*_DOC, F.col("pos").alias("a"), (F.col("pos") + F.col("m") - 1).alias("z"), "source")
+    order = Window.partitionBy(*_DOC).orderBy("a", "z")
+    reach = F.max("z").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = marks.withColumn("new", F.when(F.col("a") <= reach + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    return runs.groupBy(*_DOC, "run").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.min_by("source", F.struct("a", "z")).alias("source")).drop("run")
 
 
 def keep(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with later copies deleted from text, and _lines, _removed, _runs (maximal deleted runs), _longest (the deepest interval that a later copy is in)."""
-    marks, _ = repeats(docs, least)
-    gone = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (least - 1)))))
-    per_doc = marks.groupBy("did", "th").agg(F.collect_list(F.when(F.col("length") == least, F.col("pos"))).alias("at"), F.max("length").alias("_longest")).select("did", "th", gone.alias("gone"), "_longest")
-    names = docs.columns
-    split = docs.withColumns({"_split": F.split("text", "\n", -1), "_th": F.xxhash64("text")})
-    joined = split.drop("text").join(per_doc, (F.col("doc_id") == F.col("did")) & (F.col("_th") == F.col("th")), "left")
-    places = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_split").cast("long") - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.array_join("_split", "\n")).otherwise(F.array_join(F.transform(places, lambda i: F.get(F.col("_split"), i.cast("int"))), "\n"))
-    zero = F.lit(0).cast("long")
+    """docs with later copies deleted from text, and further columns (names with more underscores where docs has them):
+    _lines, _removed, _runs (maximal deleted runs), _longest (lines of the longest of them), _source (its source, as a string)."""
+    run = F.struct(F.col("a"), F.col("z"), F.col("source"))
+    per_doc = deleted_runs(docs, least).groupBy(*_DOC).agg(F.array_sort(F.collect_list(run)).alias("gone"))
+    split = aside(docs).withColumns({"split": F.split("text", "\n", -1), "own": F.xxhash64("text")}).drop("text")
+    joined = split.join(per_doc, (F.col("doc_id") == F.col("did")) & (F.col("own") == F.col("th")), "left")
+    zero, size = F.lit(0).cast("long"), F.size("split").cast("long")
+    begins = F.concat(F.array(zero), F.transform("gone", lambda r: r["z"] + 1))
+    ends = F.concat(F.transform("gone", lambda r: r["a"]), F.array(size))
+    left = F.flatten(F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda g: F.slice("split", (g["b"] + 1).cast("int"), (g["e"] - g["b"]).cast("int"))))
+    length = lambda r: r["z"] - r["a"] + 1
+    longest = F.array_max(F.transform("gone", lambda r: F.struct(length(r).alias("n"), (-r["a"]).alias("a"), r["source"].cast("string").alias("source"))))
+    none = F.col("gone").isNull()
     counts = {
-        "_lines": F.when(F.col("_split").isNull(), zero).otherwise(F.size("_split").cast("long")),
-        "_removed": F.when(F.col("gone").isNull(), zero).otherwise(F.size("gone").cast("long")),
-        "_runs": F.when(F.col("gone").isNull(), zero).otherwise(F.size(F.array_except("gone", F.transform("gone", lambda p: p + 1))).cast("long")),
-        "_longest": F.coalesce("_longest", zero),
+        "_lines": F.when(F.col("split").isNull(), zero).otherwise(size),
+        "_removed": F.when(none, zero).otherwise(F.aggregate("gone", zero, lambda n, r: n + length(r))),
+        "_runs": F.when(none, zero).otherwise(F.size("gone").cast("long")),
+        "_longest": F.coalesce(longest["n"], zero),
+        "_source": longest["source"],
     }
-    return joined.withColumns({"text": text, **counts}).select(*names, *counts)
+    told = joined.select("row", F.array_join(F.when(none, F.col("split")).otherwise(left), "\n").alias("text"), F.struct(*[v.alias(c) for c, v in counts.items()]).alias("told"))
+    old = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return told.select(*old, *[F.col(f"told.{c}").alias(free(docs, c)) for c in counts])
+
+
+def removed_name(docs: DataFrame) -> str:
+    """The name in keep(docs) of the number of lines removed."""
+    return free(docs, "_removed")
 
 
 def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per document: doc_id, text (what is left), n_lines, n_removed, n_runs."""
-    return keep(docs.select("doc_id", "text"), least).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_runs").alias("n_runs"))
+    """Per document: doc_id, text (what is left), n_lines, n_removed, n_runs, longest_run (lines)."""
+    kept = keep(docs.select("doc_id", "text"), least)
+    return kept.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_runs").alias("n_runs"), F.col("_longest").alias("longest_run"))
 
 
-#: The same by windows of two lines: a line goes if a window over it stands earlier as well.
+#: The same by lists of lines: every shortest run of 60 characters is compared as a list; doc_id tells a document.
 ORACLE = """
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
-  FROM documents
-), w AS (
-  SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next_line FROM l
-), m AS (
-  SELECT doc_id, pos, next_line IS NOT NULL AND row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, pos) > 1 AS later, line FROM w
-), g AS (
-  SELECT doc_id, pos, line, later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM m
-), r AS (
-  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM g
-)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text,
-  count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_removed, count_if(begins)::BIGINT AS n_runs
-FROM r GROUP BY doc_id
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS line FROM d),
+c AS (SELECT doc_id, pos, line, length(line) AS n, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM l),
+p AS (SELECT s.doc_id, s.pos AS a, e.pos AS z FROM c s JOIN c e ON e.doc_id = s.doc_id AND e.pos >= s.pos AND e.upto - s.upto + s.n >= 60),
+w AS (SELECT doc_id, a, min(z) AS z FROM p GROUP BY doc_id, a UNION SELECT doc_id, max(a), z FROM p GROUP BY doc_id, z),
+k AS (SELECT w.doc_id, w.a, w.z, row_number() OVER (PARTITION BY list_slice(d.a, w.a + 1, w.z + 1) ORDER BY w.doc_id, w.a) > 1 AS later FROM w JOIN d ON d.doc_id = w.doc_id),
+x AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS pos FROM k WHERE later),
+g AS (SELECT c.doc_id, c.pos, c.line, x.pos IS NOT NULL AS gone FROM c LEFT JOIN x ON x.doc_id = c.doc_id AND x.pos = c.pos),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM g),
+i AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM r),
+m AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, run, count(*) AS n FROM i WHERE gone GROUP BY doc_id, run) GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines, count_if(gone) AS n_removed, count_if(begins) AS n_runs FROM r GROUP BY doc_id)
+SELECT d.doc_id, t.text, coalesce(t.n_lines, 0)::BIGINT AS n_lines, coalesce(t.n_removed, 0)::BIGINT AS n_removed, coalesce(t.n_runs, 0)::BIGINT AS n_runs, coalesce(m.longest, 0)::BIGINT AS longest_run
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """

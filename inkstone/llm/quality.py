@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Each lowered word and each run of 3 and 4 bytes of a text is hashed to a row of a learned embedding table; a document is
+Each lowered word and each run of 3 and 4 characters of a text is hashed to a row of a learned embedding table; a document is
 the average of its rows; a softmax over two classes sits on top. Table and output weights are trained together by plain
 numpy stochastic gradient descent. Nothing but the text enters a score.
 
@@ -9,8 +9,9 @@ those whose crc32(id as text) mod 5 is not 0. Their feature counts, not their te
 layer is linear, each row of the table then stands for one number, and scoring is one gather and one mean per document:
 a single pass over the texts without a shuffle.
 
-Cases: null and empty texts have no feature and get the score of the bias alone; labels other than 0 and 1 and labels of
-unknown documents are ignored; with one class or none the score is the share of class 1 (0.5 without labels); repeated
+Cases: null and empty texts have no feature and get the score of the bias alone; a very long text is averaged whole, in
+memory of some 40 times its size; labels other than 0 and 1 and labels of unknown documents are ignored; of documents
+with one doc_id the least text trains, and of labels of one doc_id the lesser counts; with one class or none the score is the share of class 1 (0.5 without labels); repeated
 rows score alike; an empty table gives no row; extra columns are ignored.
 """
 
@@ -22,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from inkstone.llm.common import Texts, text_groups
+from inkstone.llm.common import Texts, free, text_groups
 from inkstone.llm.kernels import U, Words
 
-BITS = 17  # words and byte runs have 2**BITS rows each
+BITS = 17  # words and character runs have 2**BITS rows each
 DIM = 8
 EPOCHS = 12
 RATE = 0.6
@@ -34,21 +36,24 @@ PER_CLASS = 1200
 CUT = 0.3
 
 
-def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: Texts) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Table rows of all features of a group of texts, text by text, and how many each text has."""
     words = Words(texts)
-    rows = [(words.hash >> U(64 - BITS)).astype(np.int32)]
-    of = [words.counts]
-    n = len(texts.data)
-    padded = np.concatenate((texts.data, np.zeros(4, np.uint8)))
-    four = np.ndarray((n,), "<u4", padded, 0, (1,)) if n else np.zeros(0, np.uint32)
-    sizes = texts.ends - texts.starts
-    for k, mask, odd in ((3, 0xFFFFFF, 0x9E3779B1), (4, 0xFFFFFFFF, 0x85EBCA77)):
-        hashed = ((four & np.uint32(mask)) * np.uint32(odd)) >> np.uint32(32 - BITS)
+    rows, of = [(words.hash >> U(64 - BITS)).astype(np.int32)], [words.counts]
+    codes = np.frombuffer(texts.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begins = np.concatenate(([0], np.cumsum((texts.data & 0xC0) != 0x80)))
+    ends = begins[texts.ends]  # in characters
+    sizes = ends - begins[texts.starts]
+    n = len(codes)
+    for k, odd in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
         inside = np.ones(n, bool)
         for back in range(1, k):
-            at = texts.ends - back
-            inside[at[sizes >= back]] = False
+            inside[(ends - back)[sizes >= back]] = False
+        mixed = codes.copy()
+        for step in range(1, k):  # a polynomial of the next characters; places that lack them are not inside
+            mixed *= np.uint32(0x01000193)
+            mixed[: max(n - step, 0)] += codes[step:]
+        hashed = (mixed * np.uint32(odd)) >> np.uint32(32 - BITS)
         rows.append(hashed[inside].astype(np.int32) + (1 << BITS))
         of.append(np.maximum(sizes - k + 1, 0))
     return rows, of
@@ -124,13 +129,13 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> li
     """Feature counts of at most per_class labelled documents of each class outside the held-out fold."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").alias("label"), F.xxhash64("doc_id", F.lit("order")).alias("rank"))
     chosen = [known.where(F.col("label") == c).orderBy("rank", "doc_id").limit(per_class) for c in (0, 1)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id"]))  # 2 * per_class rows at most
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).select("label", "rank", "text")
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]).groupBy("doc_id", "rank").agg(F.min("label").alias("label")))  # 2 * per_class rows at most
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").groupBy("doc_id", "label", "rank").agg(F.min("text").alias("text")).select("label", "rank", "text")
     counted = rows.mapInArrow(_count_features, "label int, rank long, ids binary, counts binary").orderBy("rank").collect()
     return [(r[0], np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4")) for r in counted]
 
 
-def _scorer(shared):
+def _scorer(shared, name: str):
     def run(batches):
         model = shared.value
         for texts in text_groups(batches):
@@ -138,7 +143,7 @@ def _scorer(shared):
             total = sum(sums(model.rows[r].astype(np.float64), c) for r, c in zip(rows, of, strict=True))
             z = total / np.maximum(sum(of), 1) + model.bias
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*texts.rows.columns, pa.array(score)], [*texts.rows.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*texts.rows.columns, pa.array(score)], [*texts.rows.schema.names, name])
 
     return run
 
@@ -149,11 +154,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns kept, with _score."""
-    from pyspark.sql.types import DoubleType, StructType
+    """docs, all columns kept, with the score in a further column named by score_name(docs)."""
+    name = score_name(docs)
+    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), name), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
-    schema = StructType([*docs.schema.fields]).add("_score", DoubleType())
-    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), schema)
+
+def score_name(docs: DataFrame) -> str:
+    """_score, or a name like it that no column of docs has."""
+    return free(docs, "_score")
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -164,5 +172,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects; all columns stay."""
-    names = docs.columns
-    return with_score(docs, fit(docs, labels)).where(F.col("_score") >= CUT).select(*names)
+    return with_score(docs, fit(docs, labels)).where(F.col(score_name(docs)) >= CUT).drop(score_name(docs))

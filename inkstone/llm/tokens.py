@@ -1,13 +1,16 @@
 """Byte-level BPE ids of whole texts, as the tokenizers library gives them for its byte_bpe_50k.json.
 
-Distinct pieces recur a lot, so pieces are found and hashed in numpy, only pieces not seen before by this worker go
+Ids are those of the library's defaults: the string of an added token in a text is that token's id. Distinct pieces recur a lot, so pieces are found and hashed in numpy, only pieces not seen before by this worker go
 through the BPE, and ids are gathered from a bounded table. That holds for texts whose characters are all below U+0250,
-where the letter, digit and space classes are settled; any other text goes through the tokenizers library itself.
+where the letter, digit and space classes are settled, and which hold no added token; any other text goes through the
+tokenizers library itself.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import unicodedata
 from functools import cached_property
 from itertools import chain
@@ -112,6 +115,8 @@ class Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            self.added = [t["content"].encode() for t in json.load(f).get("added_tokens", [])]
         self._clear()
 
     @cached_property
@@ -119,9 +124,7 @@ class Encoder:
         """The library's tokenizer, which workers hold from the first text on that needs it."""
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(self.json_path)
-        whole.encode_special_tokens = True
-        return whole
+        return Tokenizer.from_file(self.json_path)
 
     def _clear(self) -> None:
         self.sorted, self.slots, self.n = np.zeros(0, U), np.zeros(0, np.int32), 0
@@ -161,6 +164,9 @@ class Encoder:
         begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
         kind = kinds(data)
         odd = np.flatnonzero(kind == _X)
+        raw = data.tobytes()
+        if any(t in raw for t in self.added):
+            odd = np.append(odd, [m.start() for t in self.added for m in re.finditer(re.escape(t), raw)])  # may straddle two texts, which does no harm
         if not len(odd):
             return self._latin(data, kind, begins, ends)
         other = np.zeros(len(ends), bool)

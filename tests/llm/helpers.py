@@ -11,7 +11,7 @@ def frame(spark, texts, ids=None):
 
 def clashing(docs):
     """docs with further columns that have the names of columns used inside operators."""
-    for c in ("shard", "slot", "_row", "score", "label", "rank", "items", "blob", "spans", "start", "n_words", "pos", "cls", "band", "h", "size", "len"):
+    for c in ("shard", "slot", "_row", "score", "label", "rank", "items", "blob", "spans", "start", "n_words", "pos", "cls", "band", "h", "size", "len", "did", "th", "gone", "row", "own", "split", "told", "a", "z", "m", "node", "rep", "root", "_keep", "_score", "_removed", "_node", "_kept", "_rep", "doc", "key", "bands", "copies", "next", "blob2"):
         docs = docs.selectExpr("*", f"'x' AS {c}")
     return docs
 

@@ -90,6 +90,7 @@ def test_keep_one(spark):
     docs = clashing(frame(spark, near_texts()))
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
+    assert {c for c, in set(map(tuple, kept.select("_keep").collect()))} == {"x"}
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and set(ids) == {c for _, c, _ in brute_join(list(enumerate(near_texts())))}
 
@@ -110,24 +111,28 @@ def test_components(spark):
     assert all(out[i] == 0 for i in range(41)) and out[100] == out[95] == out[90] == 90
 
 
-def brute_lines(rows, least=2):
-    """(doc_id, text) in order; what is left, lines, removed, runs."""
+def brute_lines(rows, least=lines.LEAST):
+    """(doc_id, text): what is left, lines, removed, runs, longest run; every run of lines is compared with all earlier ones."""
     seen, out = {}, {}
+    runs = lambda own: ((p, q) for p in range(len(own)) for q in range(p, len(own)) if sum(map(len, own[p : q + 1])) >= least)
     order = sorted(dict.fromkeys((d, t) for d, t in rows if d is not None and t is not None))
     for d, t in order:
         own = t.split("\n")
-        for p in range(len(own) - least + 1):
-            seen.setdefault(tuple(own[p : p + least]), (d, t, p))
+        for p, q in runs(own):
+            seen.setdefault(tuple(own[p : q + 1]), (d, t, p))
     for d, t in rows:
-        if d is None or t is None:
-            out[d, t] = (t, 0 if t is None else len(t.split("\n")), 0, 0)
-            continue
-        own = t.split("\n")
+        own = [] if t is None else t.split("\n")
         gone = set()
-        for p in range(len(own) - least + 1):
-            if seen[tuple(own[p : p + least])] != (d, t, p):
-                gone.update(range(p, p + least))
-        out[d, t] = ("\n".join(x for p, x in enumerate(own) if p not in gone), len(own), len(gone), sum(p - 1 not in gone for p in gone))
+        if d is not None:
+            for p, q in runs(own):
+                if seen[tuple(own[p : q + 1])] != (d, t, p):
+                    gone.update(range(p, q + 1))
+        sizes, n = [], 0
+        for p in range(len(own)):
+            n = n + 1 if p in gone else 0
+            sizes.append(n)
+        left = None if t is None else "\n".join(x for p, x in enumerate(own) if p not in gone)
+        out[d, t] = (left, len(own), len(gone), sum(p - 1 not in gone for p in gone), max(sizes, default=0))
     return out
 
 
@@ -139,23 +144,48 @@ def line_texts(seed=4):
     return [*texts, long, long + "\nend", "start\n" + long, "a\na\na\na\na", "", None, "one", "one", texts[3], "\n\n"]
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 5])
+@pytest.mark.parametrize("least", [1, 12, 30, 60])
 def test_lines(spark, least):
     texts = line_texts()
     want = brute_lines(list(enumerate(texts)), least)
     for r in lines.report(clashing(frame(spark, texts)), least).collect():
-        assert (r.text, r.n_lines, r.n_removed, r.n_runs) == want[r.doc_id, texts[r.doc_id]]
+        assert (r.text, r.n_lines, r.n_removed, r.n_runs, r.longest_run) == want[r.doc_id, texts[r.doc_id]]
+
+
+def test_lines_lone_paragraph_and_short_lines(spark):
+    paragraph = "a passage that is one long line between different neighbours, and repeats"
+    texts = ["x\n" + paragraph + "\ny", "p\n" + paragraph + "\nq", paragraph, "short line\nother line", "short line\nother line", "short line\n" * 9, "a\n" + "short line\n" * 9 + "b"]
+    out = {r.doc_id: (r.text, r.n_removed) for r in lines.report(frame(spark, texts)).collect()}
+    assert out[1] == ("p\nq", 1) and out[2] == ("", 1) and out[3][1] == out[4][1] == 0 and out[0][1] == 0
+    assert out[6] == ("a\nb", 9)
+
 
+def test_lines_runs_have_their_source(spark):
+    long = "\n".join(f"line number {i}" for i in range(40))
+    runs = lines.deleted_runs(frame(spark, [long, "x\n" + long + "\ny", long[:200]], ids=[7, 8, 9])).collect()
+    assert {(r.did, r.a, r.z, r.source) for r in runs} == {(8, 1, 40, 7), (9, 0, long[:200].count("\n") - 1, 7)}
 
-def test_lines_depth_nulls_repeats_empty(spark):
-    long = "\n".join(map(str, range(100)))
-    out = {r.doc_id: r for r in lines.keep(frame(spark, [long, long + "\nx"])).collect()}
-    assert (out[1]._longest, out[1]._removed, out[1].text, out[0]._removed) == (64, 100, "x", 0)
-    rows = lines.report(frame(spark, ["a\nb"] * 4, ids=[None, 2, 2, 3])).collect()
-    assert sorted((str(r.doc_id), r.text) for r in rows) == [("2", "a\nb"), ("2", "a\nb"), ("3", ""), ("None", "a\nb")]
+
+def test_lines_nulls_repeats_names_empty(spark):
+    long = "\n".join(str(i) * 3 for i in range(100))
+    docs = clashing(frame(spark, [long, long + "\nx"]))
+    kept = lines.keep(docs)
+    assert kept.columns == [*docs.columns, "_lines", "_removed_", "_runs", "_longest", "_source"]
+    out = {r.doc_id: r for r in kept.collect()}
+    assert (out[1]._longest, out[1]._removed_, out[1].text, out[0]._removed_, out[1]._source) == (100, 100, "x", 0, "0")
+    rows = lines.report(frame(spark, ["a" * 40 + "\n" + "b" * 40] * 4 + [None], ids=[None, 2, 2, 3, 4])).collect()
+    assert sorted((str(r.doc_id), len(r.text or "")) for r in rows) == [("2", 81), ("2", 81), ("3", 0), ("4", 0), ("None", 81)]
     assert lines.report(frame(spark, [])).count() == 0
 
 
+def test_lines_of_a_very_long_text(spark):
+    r = random.Random(6)
+    own = [str(r.random()) for _ in range(60_000)]
+    texts = ["\n".join(own), "\n".join(own[20_000:50_000]), "\n".join(["new"] + own[:30_000] + [""] * 3000)]
+    out = {x.doc_id: x for x in lines.report(frame(spark, texts)).collect()}
+    assert (out[0].n_removed, out[1].n_removed, out[2].n_removed, out[2].n_runs) == (0, 30_000, 30_000, 1)
+
+
 def test_lines_equal_the_oracle(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

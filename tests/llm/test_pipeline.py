@@ -33,7 +33,7 @@ def test_stages(spark, tmp_path):
 
     before, after = map(pairs, kept["line_dedup"])
     want = {d: v for (d, _), v in brute_lines(list(before.items())).items()}
-    assert after == {d: v[0] for d, v in want.items() if not v[2] or v[0].strip()}
+    assert after == {d: v[0] for d, v in want.items() if not v[2] or v[0].strip(' ')}
 
     before, after = map(pairs, kept["ngram_jaccard_join"])
     assert set(after) == {c for _, c, _ in brute_join(list(before.items()))}
