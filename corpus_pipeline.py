@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; a document that loses all it says is left out."""
-    kept = lines.keep(docs).where("_removed = 0 OR trim(text) <> ''")
+    kept = lines.keep(docs).where((F.col(lines.removed_name(docs)) == 0) | (F.trim("text") != "") | F.col("text").isNull())
     return _measured(kept, docs.columns)
 
 
