@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset (tests, local mode)."""
+    """spark.checkpoint.dir; a folder of our own only where it is unset and the master is local (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(sc, "_inkstone_shared", None) or "file://" + tempfile.mkdtemp(prefix="inkstone-")
         sc._inkstone_shared = path
     return path.rstrip("/")
