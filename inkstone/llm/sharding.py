@@ -8,7 +8,9 @@ A grown cluster gets each further shard as a subtree of its own at the top, so o
 itself: no other top-level draw changes, and no tree below one does.
 
 All in DataFrame functions. Cases: a null key is a key like any other; null text has no bytes; equal keys share a
-shard; slots are gapless per shard, in no meaningful order; an empty table gives an empty result; extra columns of the
+shard, so that a key of a third of all rows (null among them) fills its shard by the law that the key decides; equal draws
+go to the child named first; a child without weight gets no key, unless all have none: then the first gets them; slots are
+gapless per shard, in no meaningful order; an empty table gives an empty result; extra columns of the
 input are ignored, whatever their names.
 """
 
@@ -52,8 +54,15 @@ def topology(n_shards: int, base: int = 8, racks: int = 2, per_rack: int = 2) ->
     return tuple(Node(r, children=tuple(Node(f"{r}/{k}", children=tuple(leaves)) for k, leaves in by.items())) for r, by in regions.items())
 
 
+def reweighted(nodes: tuple[Node, ...], weights: dict[str, float]) -> tuple[Node, ...]:
+    """The same tree with other weights for the leaves named."""
+    return tuple(Node(n.name, weights.get(n.name, n.weight), reweighted(n.children, weights), n.shard) for n in nodes)
+
+
 def draw(key: Column, node: Node) -> Column:
-    """-ln(u) / weight; u in (0, 1] has 52 bits of the key's hash with the node's name."""
+    """-ln(u) / weight; u in (0, 1] has 52 bits of the key's hash with the node's name. Without weight no draw is less."""
+    if node.total <= 0:
+        return F.lit(float("inf"))
     u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(node.name)), 12).cast("double") + 1.0) / float(1 << 52)
     return -F.log(u) / F.lit(float(node.total))
 
@@ -75,9 +84,9 @@ def _case(pick: Column, branches: list[Column]) -> Column:
     return out
 
 
-def assign(docs: DataFrame, n_shards: int = 8, key: str = "doc_id") -> DataFrame:
-    """docs with shard and grown_shard (the shard under one more)."""
-    return docs.withColumns({"shard": descend(F.col(key), topology(n_shards)).cast("int"), "grown_shard": descend(F.col(key), topology(n_shards + 1)).cast("int")})
+def assign(docs: DataFrame, tree: tuple[Node, ...] | None = None, grown: tuple[Node, ...] | None = None, key: str = "doc_id") -> DataFrame:
+    """docs with shard (by tree) and grown_shard (by grown): eight even shards, and one more, unless other trees are given."""
+    return docs.withColumns({"shard": descend(F.col(key), tree or topology(8)).cast("int"), "grown_shard": descend(F.col(key), grown or topology(9)).cast("int")})
 
 
 def number(rows: DataFrame, part: str = "shard") -> DataFrame:
@@ -98,13 +107,13 @@ def number(rows: DataFrame, part: str = "shard") -> DataFrame:
     return joined.withColumn("slot", (F.col("_first") + F.col("_within")).cast("long")).drop("_row", "_bucket", "_within", "_part", "_b", "_first")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, moved."""
+def shard_documents(docs: DataFrame, tree: tuple[Node, ...] | None = None, grown: tuple[Node, ...] | None = None) -> DataFrame:
+    """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, moved. A text, however long, only gives its size and checksum."""
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    out = number(assign(rows, n_shards))
+    out = number(assign(rows, tree, grown))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", (F.col("shard") != F.col("grown_shard")).alias("moved"))

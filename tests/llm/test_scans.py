@@ -44,7 +44,7 @@ def test_sharding_ties_nulls_empty(spark):
 def test_sharding_growth_and_balance(spark):
     df = spark.range(40000).withColumnRenamed("id", "doc_id")
     for n in (8, 9, 10):
-        out = sharding.assign(df, n).groupBy("shard", "grown_shard").count().collect()
+        out = sharding.assign(df, sharding.topology(n), sharding.topology(n + 1)).groupBy("shard", "grown_shard").count().collect()
         assert all(r.grown_shard in (r.shard, n) for r in out)
         per = defaultdict(int)
         for r in out:
@@ -54,6 +54,25 @@ def test_sharding_growth_and_balance(spark):
         sharding.topology(5)
 
 
+def test_sharding_confines_movement_to_changed_subtrees(spark):
+    df = spark.range(60000).withColumnRenamed("id", "doc_id")
+    tree = sharding.topology(8)  # regions {0..3}, {4..7}; racks {0, 1}, {2, 3}, ...
+    moves = lambda weights: {(r.shard, r.grown_shard): r["count"] for r in sharding.assign(df, tree, sharding.reweighted(tree, weights)).groupBy("shard", "grown_shard").count().collect()}
+    # shard 1 gives to shard 0 what it loses: no total above their rack changes, so nothing outside the rack moves
+    out = moves({"shard1": 0.5, "shard0": 1.5})
+    assert {k for k in out if k[0] != k[1]} == {(1, 0)} and out[1, 0] == pytest.approx(60000 / 16, rel=0.1)
+    # a heavier shard 5 only gains, in its rack, in its region and from the other region; nothing moves among the others but within its region
+    out = moves({"shard5": 2.0})
+    moved = {k for k in out if k[0] != k[1]}
+    assert all(b in (4, 5, 6, 7) for _, b in moved) and (4, 5) in moved and not any(a in (0, 1, 2, 3) and b in (0, 1, 2, 3) for a, b in moved)
+    per = [sum(n for (_, b), n in out.items() if b == s) for s in range(8)]
+    assert per[5] == pytest.approx(60000 * 2 / 9, rel=0.06) and per[0] == pytest.approx(60000 / 9, rel=0.08)
+    # a drained shard gives up its keys and takes none
+    out = moves({"shard6": 0.0})
+    assert not any(b == 6 for _, b in out)
+    assert sharding.assign(df, sharding.reweighted(tree, {f"shard{i}": 0.0 for i in range(8)})).where("shard <> 0").count() == 0
+
+
 # 3
 
 
@@ -182,14 +201,29 @@ def test_secrets(spark):
     assert secrets.findings(frame(spark, [])).count() == 0
 
 
-def test_secrets_ledger_is_incremental(spark, tmp_path):
-    first, more = frame(spark, SECRETS[:8]), frame(spark, SECRETS)
-    secrets.ledger_rows(first).write.parquet(str(tmp_path / "ledger"))
-    ledger = spark.read.parquet(str(tmp_path / "ledger"))
-    assert secrets.ledger_rows(more, ledger).count() == len({t or "" for t in SECRETS} - {t or "" for t in SECRETS[:8]})
-    assert secrets.ledger_rows(more, ledger, "next").count() == len({t or "" for t in SECRETS})
-    key = lambda df: sorted((r.doc_id, r.spans, r.base_sha256) for r in df.collect())
-    assert key(secrets.findings(more, ledger)) == key(secrets.findings(more))
+def test_secrets_ledger_is_incremental(spark, tmp_path, monkeypatch):
+    first, more = frame(spark, SECRETS[:8]), clashing(frame(spark, SECRETS))
+    path = str(tmp_path / "ledger")
+    distinct = lambda texts: {t or "" for t in texts}
+    assert secrets.scan_into(first, path).count() == len(distinct(SECRETS[:8]))
+    pairs = secrets.unseen(more, secrets.ledger_at(more, path)).collect()
+    assert {r.text for r in pairs} == distinct(SECRETS) - distinct(SECRETS[:8]) and all(r.rules == secrets.present() for r in pairs)
+    key = lambda df: sorted((str(r.doc_id), r.spans, r.base_sha256) for r in df.collect())
+    assert key(secrets.findings(more, path)) == key(secrets.findings(more))
+    assert secrets.unseen(more, secrets.ledger_at(more, path)).count() == 0  # nothing is scanned twice
+    # a new version of one rule: that rule alone runs again, over all blobs, and only its new findings count
+    rules = secrets.RULES | {"hex": "2"}
+    again = secrets.unseen(more, secrets.ledger_at(more, path), rules).collect()
+    assert {r.text for r in again} == distinct(SECRETS) and {tuple(r.rules) for r in again} == {("hex@2",)}
+    assert key(secrets.findings(more, path, rules)) == key(secrets.findings(more))
+
+
+def test_secrets_of_all_versions(spark, tmp_path):
+    rows = [(1, 1, "token = abcdef1"), (1, 2, "nothing"), (2, 1, "token = abcdef1"), (None, 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, v int, text string")
+    out = {(r.doc_id, r.version): r.n_assign for r in secrets.findings(docs, version="v").collect()}
+    assert out == {(1, 1): 1, (1, 2): 0, (2, 1): 1, (None, 1): 0}
+    assert secrets.versions(docs, "v").select("blob").distinct().count() == 3
 
 
 # 8
@@ -384,7 +418,7 @@ def brute_hits(text, items):
         for i in range(len(words) - k + 1) if k else ():
             if tuple(words[i : i + k]) in windows:
                 hit.update(range(i, i + k))
-                found.add(str(item_id))
+                found.add("null" if item_id is None else str(item_id))
     return words, hit, sorted(found)
 
 
@@ -399,8 +433,8 @@ def check_marks(out, texts, items):
 def benchmark_fixture():
     texts = invented()
     long = " ".join(f"w{i}" for i in range(40))
-    items = [(1, None), (2, ""), (10, long), (3, "Short Item"), (4, texts[20]), (4, long), (5, "日本語")]
-    texts += [long.upper(), "a short, ITEM b", "w3 " + long + " tail " * 900, "w0 w1 w2", "short\n" * 30, " ".join(f"w{i}" for i in range(12)), "x 日本語 y"]
+    items = [(1, None), (2, ""), (10, long), (3, "Short Item"), (4, texts[20]), (4, long), (5, "日本語"), (None, texts[25]), (6, " ".join(f"v{i}" for i in range(300)))]
+    texts += ["v100 " * 3 + " ".join(f"v{i}" for i in range(20, 260)), long.upper(), "a short, ITEM b", "w3 " + long + " tail " * 900, "w0 w1 w2", "short\n" * 30, " ".join(f"w{i}" for i in range(12)), "x 日本語 y"]
     return texts, items
 
 
@@ -416,7 +450,7 @@ def test_decontamination(spark):
 def test_decontamination_in_parts_and_removal(spark, monkeypatch):
     texts, items = benchmark_fixture()
     bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
-    monkeypatch.setattr(decontaminate.window_sets, "__defaults__", (13, 20))
+    monkeypatch.setattr(decontaminate.window_sets, "__defaults__", (13, 140))
     check_marks(decontaminate.report(frame(spark, texts), bench).collect(), texts, items)
     out = {r.doc_id: r.text for r in decontaminate.remove(clashing(frame(spark, texts)), bench).collect()}
     for i, t in enumerate(texts):
@@ -429,6 +463,13 @@ def test_decontamination_in_parts_and_removal(spark, monkeypatch):
             assert words_of(out[i]) == [w for k, w in enumerate(words) if k not in hit]
 
 
+def test_long_items_are_cut_into_pieces_with_all_windows():
+    text = " ".join(f"w{i}" for i in range(500))
+    cut = list(decontaminate.pieces(text, 100))
+    windows = lambda t: {tuple(words_of(t)[i : i + 13]) for i in range(len(words_of(t)) - 12)}
+    assert len(cut) > 10 and max(map(len, cut)) < 200 and set().union(*map(windows, cut)) == windows(text)
+
+
 def test_removal_unites_parts(spark, monkeypatch):
     said = [" ".join(f"{c}{i}" for i in range(26)) for c in "pq"]
     over = [f"z{i}" for i in range(20)]
@@ -438,7 +479,7 @@ def test_removal_unites_parts(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
     cut = lambda: {r.doc_id: r.text for r in decontaminate.remove(clashing(frame(spark, texts)), bench).collect()}
     whole = cut()
-    monkeypatch.setattr(decontaminate.window_sets, "__defaults__", (13, 20))
+    monkeypatch.setattr(decontaminate.window_sets, "__defaults__", (13, 140))
     assert len(list(decontaminate.window_sets(bench))) > 2
     assert cut() == whole and set(whole) == {1, 2, 3, 4, 5}
     assert whole[1].split() == whole[2].split()[:974] and words_of(whole[2]) == words_of(whole[5]) == words_of(fill(980))
