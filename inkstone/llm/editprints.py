@@ -6,14 +6,20 @@ again after an edit, so their notes differ in few places (Hamming distance). A f
 steps whole, then 32 steps of each span twice as long as the one before, four bits of a hash of each note. Weighted by
 what each sample stands for, the share of equal samples estimates the share of equal notes: the likeness, 0 to 1.
 
-classes() bands the sampled bits and ties prints of equal bands to the least document; components of these ties are the
-candidate groups, and all pairs of a group are verified by likeness in blocks. No registered query calls it.
-
-Documents and their followers come together by a range of doc_id: bounds are quantiles (a few numbers), and the first
-row of each range is also sent to the range before it, so the text is shuffled once. Walks of many documents go in step in numpy, and
-the few longest are finished one by one. Cases: a null text is empty; an empty text has the empty fingerprint, whose
-likeness to itself is 1 and to others 0; doc_ids that repeat follow each other by a hash of their texts, and come into one
-range; null doc_ids come last; one document follows itself; an empty table gives no row; extra columns are ignored.
+Classes: sampled notes of the two octaves below a print's last make up the keys of bands; a print whose last octave has
+just begun has those of the octave before as well, as an edit may have made it longer. Prints of one key are a unit (a
+large one is dealt over blocks by salt, each pair of blocks is a unit); all pairs of a unit are verified by likeness, and
+components over the verified pairs are the classes. Equal prints count as one, so copies never become pairs.
+
+Documents and their followers come together by Spark's range partitioning on (doc_id descending, hash of the text, row),
+with compressed texts, so each text is shuffled once and a repeated id or row is dealt over several tasks. A task streams its
+rows, holds about TOGETHER characters at a time and leaves its first and last row to a small join of the ranges' edges.
+Walks of many documents go in step in numpy, and the few longest are finished one by one.
+
+Cases: a null text is empty; an empty text has the empty fingerprint, whose likeness to itself is 1 and to others 0, and
+its own class of empty texts; doc_ids that repeat follow each other by a hash of their texts; null doc_ids come last, and a
+class of them alone has no name; repeated rows follow each other; one document follows itself; a very long text is walked
+whole, a character at a time at the end; an empty table gives no row; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +28,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import cut_table, partitions
+from inkstone.llm.common import cut_table, partitions, whole_units
 from inkstone.llm.components import components
 from inkstone.llm.kernels import U, spread
 
@@ -53,7 +61,6 @@ def _steps() -> np.ndarray:
 
 STEPS = _steps()
 WEIGHTS = np.repeat([1.0] + [float(1 << (k - 1)) for k in range(1, OCTAVES)], SAMPLES)
-_HEX = np.frombuffer(b"0123456789abcdef" + b"-" * 240, np.uint8)
 
 
 def classes_of(codes: np.ndarray) -> np.ndarray:
@@ -121,14 +128,26 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(total > 0, ((a == b) & there) @ weights / np.maximum(total, 1), 1.0)
 
 
-def rendered(notes: np.ndarray) -> list[str]:
-    """Notes as text: a hexadecimal digit a sample, to the last octave that has one."""
-    octaves = ((notes != ABSENT).reshape(len(notes), OCTAVES, SAMPLES).any(axis=2) * np.arange(1, OCTAVES + 1)).max(axis=1, initial=0)
-    raw = _HEX[notes]
-    return [raw[i, : n * SAMPLES].tobytes().decode() for i, n in enumerate(octaves.tolist())]
+def packed(notes: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Notes four bits each, and how many samples there are: those of a walk come without a gap, as steps ascend."""
+    sizes = (notes != ABSENT).sum(axis=1)
+    nibbles = np.where(notes == ABSENT, 0, notes)
+    raw = (nibbles[:, ::2] << 4 | nibbles[:, 1::2]).astype(np.uint8)
+    return [raw[i, : (n + 1) // 2].tobytes() for i, n in enumerate(sizes.tolist())], sizes
 
 
-_OUT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+def unpacked(prints: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The notes of packed prints, as wide as the longest."""
+    out = np.full((len(prints), max([*sizes, 1])), ABSENT, np.uint8)
+    for i, (p, n) in enumerate(zip(prints, sizes, strict=True)):
+        raw = np.frombuffer(p, np.uint8)
+        out[i, :n] = np.stack((raw >> 4, raw & 15), axis=1).ravel()[:n]
+    return out
+
+
+def as_text(print_: str, size: str):
+    """The column of a packed print as hexadecimal digits, filled with - to the end of its last octave."""
+    return F.rpad(F.substring(F.lower(F.hex(print_)), F.lit(1), F.col(size)), (F.ceil(F.col(size) / SAMPLES) * SAMPLES).cast("int"), F.lit("-"))
 
 
 def edited(text: str, following: str) -> str:
@@ -136,165 +155,164 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranges(batches):
-    """Rows sorted by range, helper last: a range's rows, each with its follower."""
-    held: list[tuple[list, list]] = []
-    docs: list = []
-    texts: list[str] = []
-    now, size = None, 0
+_RESULT = "doc_id long, n_chars long, edited_sha256 binary, print binary, size int, edited binary, edited_size int, near_edited double, near_next double"
+_EDGE = _RESULT + ", kind int, part int, text binary"
+_RESULT_NAMES = [c.split()[0] for c in _RESULT.split(", ")]
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.float64(), pa.float64()]
+INNER, FIRST, LAST = 0, 1, 2
+
+
+def _results(ids: list, texts: list[str]) -> list[pa.Array]:
+    """Columns of _RESULT for all but the last of texts, each followed by the next."""
+    changed = [edited(t, f) for t, f in zip(texts[:-1], texts[1:], strict=True)]
+    notes = walk([character_classes(t) for t in [*texts, *changed]])
+    mine, after, new = notes[: len(ids)], notes[1 : len(ids) + 1], notes[len(texts) :]
+    (own, own_size), (other, other_size) = packed(mine), packed(new)
+    values = [ids, [len(t) for t in texts[:-1]], [hashlib.sha256(c.encode()).digest() for c in changed], own, own_size, other, other_size, likeness(mine, new), likeness(mine, after)]
+    return [pa.array(v, k) for v, k in zip(values, _KINDS, strict=True)]
+
+
+def _small(batches):
+    """Texts compressed each for itself, to travel."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack((t or "").encode()) for t in batch.column(3).to_pylist()], pa.binary())], ["doc_id", "th", "nth", "text"])
+
+
+def _whole(raw: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(raw).decode()
+
+
+def _followed(batches):
+    """The rows of one range in order: each but the last with its follower; its first and last row go on as edges."""
+    part = TaskContext.get().partitionId()
+    schema = pa.schema([*zip(_RESULT_NAMES, _KINDS, strict=True), ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.binary())])
+    ids, texts, size, begun, last = [], [], 0, False, None
+
+    def edge(kind: int, doc, raw: bytes):
+        row = {n: None for n in schema.names} | {"doc_id": doc, "kind": kind, "part": part, "text": raw}
+        return pa.RecordBatch.from_pylist([row], schema=schema)
 
     def out():
-        every, of, ids, changed, firsts = [], [], [], [], []
-        for own_ids, own_texts in held:
-            firsts.append(len(every))
-            for i, d in enumerate(own_ids):
-                of.append(len(every) + i)
-                ids.append(d)
-                changed.append(edited(own_texts[i], own_texts[i + 1]))
-            every += own_texts
-        notes = walk([character_classes(t) for t in [*every, *changed]])
-        mine, after, new = notes[of], notes[[i + 1 for i in of]], notes[len(every) :]
-        columns = [pa.array(ids, pa.int64()), pa.array([len(every[i]) for i in of], pa.int64()), pa.array([hashlib.sha256(c.encode()).hexdigest() for c in changed]), pa.array(rendered(mine)), pa.array(rendered(new)), pa.array(likeness(mine, new)), pa.array(likeness(mine, after))]
-        return pa.RecordBatch.from_arrays(columns, _OUT)
-
-    def close():
-        if docs:
-            held.append((docs[:-1], texts))
+        n = len(ids) - 1
+        return pa.RecordBatch.from_arrays([*_results(ids[:-1], texts), pa.array([INNER] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
 
     for batch in batches:
-        for r, d, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if r != now:
-                close()
-                if size > TOGETHER:
-                    yield out()
-                    held, size = [], 0
-                docs, texts, now = [], [], r
-            docs.append(d)
-            texts.append(t)
-            size += len(t)
-    close()
-    if held:
+        for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not begun:
+                begun = True
+                yield edge(FIRST, doc, raw)
+            ids.append(doc)
+            texts.append(_whole(raw))
+            last, size = raw, size + len(texts[-1])
+            if size > TOGETHER and len(ids) > 1:
+                yield out()
+                ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
+    if len(ids) > 1:
         yield out()
+    if begun:
+        yield edge(LAST, ids[-1], last)
 
 
-def with_followers(docs: DataFrame, ranges: int) -> DataFrame:
-    """range, doc_id, text, sorted in each range by descending doc_id; a range's last row is its last document's follower."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = base.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    at = F.size(F.filter(F.lit(sorted(set(bounds))) if bounds else F.array().cast("array<bigint>"), lambda b: b >= F.col("doc_id")))
-    base = base.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(at).cast("int")).withColumn("th", F.xxhash64("text"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), (-F.col("doc_id")).alias("down"), F.col("th").alias("th"))
-    first = sorted((r[0], r[1]) for r in base.groupBy("range").agg(F.min(place).alias("p")).collect())  # one row a range
-    if not first:
-        return base.select("range", "doc_id", "text", F.lit(False).alias("helper"))
-    heads = [(None if p.last else -p.down, p.th, first[k - 1][0]) for k, (_, p) in enumerate(first)]
-    heads = F.broadcast(base.sparkSession.createDataFrame(heads, "head long, head_th long, to int").distinct())
-    marked = base.join(heads, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("th") == F.col("head_th")), "left")
-    here = F.struct(F.col("range").alias("range"), F.lit(False).alias("helper"))
-    there = F.struct(F.col("to").alias("range"), F.lit(True).alias("helper"))
-    rows = marked.select(F.explode(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x"), "doc_id", "text", "th").select("x.*", "doc_id", "text", "th")
-    order = ["range", "helper", F.col("doc_id").desc_nulls_last(), "th"]
-    return rows.repartition(partitions(docs.sparkSession), "range").sortWithinPartitions(*order).select("range", "doc_id", "text", "helper")
+def _joined(batches):
+    """The last row of each range with the first of the next."""
+    for batch in batches:
+        for doc, own, following in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            yield pa.RecordBatch.from_arrays(_results([doc], [_whole(own), _whole(following)]), _RESULT_NAMES)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = with_followers(docs, 4 * partitions(docs.sparkSession))
-    return rows.mapInArrow(_single_helper, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+def followed(docs: DataFrame) -> DataFrame:
+    """The columns of _RESULT for each document and its follower, as a table."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.monotonically_increasing_id().alias("nth"), "text")
+    order = [F.col("doc_id").desc_nulls_last(), "th", "nth"]
+    rows = base.mapInArrow(_small, "doc_id long, th long, nth long, text binary").repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    every = cut_table(rows.select("doc_id", "text").mapInArrow(_followed, _EDGE))
+    lasts, firsts = every.where(F.col("kind") == LAST), every.where(F.col("kind") == FIRST)
+    ring = Window.orderBy("part")  # a row a range
+    after = firsts.select("part").select("part", F.coalesce(F.lead("part").over(ring), F.min("part").over(Window.partitionBy(F.lit(1)))).alias("next"))
+    pairs = lasts.select("doc_id", "text", "part").join(after, "part").join(firsts.select(F.col("part").alias("next"), F.col("text").alias("following")), "next")
+    return every.where(F.col("kind") == INNER).select(*_RESULT_NAMES).unionByName(pairs.select("doc_id", "text", "following").mapInArrow(_joined, _RESULT))
 
 
-def _single_helper(batches):
-    """_ranges over rows with one helper a range (repeated rows give several equal ones)."""
+def report(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id."""
+    rows = followed(docs).withColumn("node", _node())
+    told = rows.join(class_of(rows), "node", "left")
+    return told.select(
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), as_text("print", "size").alias("fingerprint"), as_text("edited", "edited_size").alias("edited_fingerprint"),
+        "near_edited", "near_next", F.when(F.col("shared"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+    )
 
-    def rows():
-        seen = None
-        for batch in batches:
-            helper, ranges = batch.column(3).to_pylist(), batch.column(0).to_pylist()
-            keep = []
-            for r, h in zip(ranges, helper, strict=True):
-                keep.append(not h or seen != r)
-                if h:
-                    seen = r
-            yield pa.RecordBatch.from_arrays(batch.columns[:3], ["range", "doc_id", "text"]).filter(pa.array(keep))
 
-    yield from _ranges(rows())
+def _node():
+    return F.unhex(F.md5(F.concat("print", F.col("size").cast("string").cast("binary"))))
 
 
 def _printer(batches):
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rendered(walk([character_classes(t) for t in texts])))], ["doc_id", "fingerprint"])
+        prints, sizes = packed(walk([character_classes(t) for t in batch.column(1).to_pylist()]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32())], ["doc_id", "print", "size"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint."""
+    """doc_id, print (packed), size (samples)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return base.mapInArrow(_printer, "doc_id long, fingerprint string")
-
-
-def _notes_of(prints: list[str]) -> np.ndarray:
-    out = np.full((len(prints), len(STEPS)), ABSENT, np.uint8)
-    value = np.full(256, ABSENT, np.uint8)
-    value[np.frombuffer(b"0123456789abcdef", np.uint8)] = np.arange(16)
-    for i, p in enumerate(prints):
-        out[i, : len(p)] = value[np.frombuffer(p.encode(), np.uint8)]
-    return out
+    return base.mapInArrow(_printer, "doc_id long, print binary, size int")
 
 
 def _verifier(threshold: float):
-    def unit(rows: list[dict]):
-        """Ties of what is linked among two blocks (or one); pairs that are in one class already are not compared."""
-        i, j = rows[0]["i"], rows[0]["j"]
-        notes = _notes_of([r["fingerprint"] for r in rows])[:, : max(len(r["fingerprint"]) for r in rows)]
-        own, root = np.array([r["block"] for r in rows]), np.arange(len(rows))
-        for a in range(len(rows) - 1):
-            to = np.flatnonzero((root[a + 1 :] != root[a]) & ((i == j) | (own[a + 1 :] != own[a]))) + a + 1
-            if not len(to):
-                continue
-            near = root[to[likeness(notes[a : a + 1], notes[to]) >= threshold]]
-            root[np.isin(root, near)] = root[a]
-        return [(rows[x]["rep"], rows[r]["rep"]) for x, r in enumerate(root.tolist()) if x != r]
-
     def run(batches):
-        held, key = [], None
-        for batch in batches:
+        for rows, edges in whole_units(batches, ("h", "i", "j")):
+            own, i, j, sizes = (rows.column(c).to_numpy() for c in ("block", "i", "j", "size"))
+            prints, nodes = rows.column("print").to_pylist(), rows.column("node").to_pylist()
             found = []
-            for row in batch.to_pylist():
-                now = (row["comp"], row["i"], row["j"])
-                if now != key and held:
-                    found += unit(held)
-                    held = []
-                key = now
-                held.append(row)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                notes, root = unpacked(prints[a:b], sizes[a:b].tolist()), np.arange(b - a)
+                for x in range(b - a - 1):  # pairs that are in one class already are not compared
+                    to = np.flatnonzero((root[x + 1 :] != root[x]) & ((i[a] == j[a]) | (own[a + x + 1 : b] != own[a + x]))) + x + 1
+                    if len(to):
+                        near = root[to[likeness(notes[x : x + 1], notes[to]) >= threshold]]
+                        root[np.isin(root, near)] = root[x]
+                found += [(nodes[a + x], nodes[a + r]) for x, r in enumerate(root.tolist()) if x != r]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
-        if held and (found := unit(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, samples: int = 6, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, class_id. Band keys sample the notes of the two longest octaves before the last, so that lengths
-    near a power of two meet in one of two keys; all pairs that a bucket holds are verified. Equal prints count as one."""
+def band_keys(bands: int, samples: int) -> list:
+    """Columns of keys of a print (hexadecimal digits in `digits`): level, band and sampled notes of two octaves below the level."""
     rng = np.random.default_rng(5)
     picks = [sorted(rng.choice(2 * SAMPLES, samples, replace=False).tolist()) for _ in range(bands)]
-    prints = cut_table(fingerprints(docs).where("doc_id is not null").dropDuplicates(["doc_id"]))
-    own = cut_table(prints.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
-    octaves = F.length("fingerprint") / SAMPLES
+    octaves = F.ceil(F.col("size") / SAMPLES).cast("int")
+    filled = F.col("size") - (octaves - 1) * SAMPLES  # samples of the last octave
     keys = []
     for back in (1, 2):
-        top = F.greatest(octaves.cast("int") - back, F.lit(0))
-        part = F.substring(F.col("fingerprint"), F.greatest((top - 2) * SAMPLES, F.lit(0)) + 1, F.lit(2 * SAMPLES))
-        keys += [F.struct(F.lit(b).alias("band"), F.xxhash64(top, F.lit(b), *[F.substring(part, p + 1, 1) for p in pick]).alias("h")) for b, pick in enumerate(picks)]
-    keyed = own.select("rep", F.explode(F.array_distinct(F.array(*keys))).alias("k")).select("rep", "k.*")
-    least = keyed.groupBy("band", "h").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = keyed.join(least, ["band", "h"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    groups = components(ties).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-    blocks = groups.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = groups.join(blocks, "comp").join(own, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    units = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "fingerprint")
-    verified = units.repartition(partitions(docs.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verifier(threshold), "a long, b long")
-    linked = components(cut_table(verified))
-    named = own.join(linked, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "rep").alias("class_id"))
-    return prints.join(named, "fingerprint", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        level = F.greatest(octaves - back, F.lit(0))
+        part = F.substring(F.col("digits"), F.greatest((level - 2) * SAMPLES, F.lit(0)) + 1, F.lit(2 * SAMPLES))
+        own = [F.xxhash64(level, F.lit(b), *[F.substring(part, p + 1, 1) for p in pick]) for b, pick in enumerate(picks)]
+        keys += own if back == 1 else [F.when(filled <= SAMPLES * 0.4, k) for k in own]
+    return keys
+
+
+def class_of(prints: DataFrame, threshold: float = 0.8, bands: int = 16, samples: int = 6, block: int = BLOCK) -> DataFrame:
+    """node, class_id (the least doc_id of the class), shared, for prints (node, doc_id, print, size) that are not alone."""
+    n = partitions(prints.sparkSession)
+    own = cut_table(prints.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("print").alias("print"), F.first("size").alias("size")))
+    keys = F.array_distinct(F.array_compact(F.array(*band_keys(bands, samples))))
+    keyed = own.where("size > 0").withColumn("digits", F.lower(F.hex("print"))).select("node", F.explode(keys).alias("h"))
+    buckets = cut_table(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    dealt = keyed.join(buckets, "h").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
+    with_prints = units.join(own.select("node", "print", "size"), "node")
+    ties = cut_table(with_prints.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_verifier(threshold), "a binary, b binary"))
+    rooted = own.select("node", "copies", "rep").join(components(ties), "node", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
+    return rooted.join(named, "root").select("node", "class_id", F.lit(True).alias("shared"))
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, samples: int = 6, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, class_id (the least doc_id of its class)."""
+    prints = cut_table(fingerprints(docs)).withColumn("node", _node())
+    told = prints.join(class_of(prints, threshold, bands, samples, block), "node", "left")
+    return told.select("doc_id", F.when(F.col("shared"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
