@@ -105,7 +105,17 @@ def cut_table(df: DataFrame) -> DataFrame:
     """Like cut, as a compressed table in the shared folder."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._inkstone_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of cut_table that nothing reads any more: what was made of them is written itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._inkstone_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -22,10 +22,12 @@ of their own; an empty table gives no row; extra columns of any name stay in kee
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import aside, cut_table, free, partitions
+from inkstone.llm.common import aside, cut_table, discard, free, partitions
 
 #: Characters from which on a run counts, over all its lines.
 LEAST = 60
@@ -70,28 +72,22 @@ def later_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
     lines = base.select(*_DOC, F.col("pos").cast("long").alias("pos"), line(1).alias("h1"), line(2).alias("h2"), F.length("line").cast("long").alias("chars"))
     names = _ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")), "h1", "h2")
     level = cut_table(lines.join(names, ["h1", "h2"]).select(*_PLACE, "rank", "chars").distinct())
+    discard(names)
     runs = cut_table(_shortest(level, max(least, 1)))
     deepest = runs.agg(F.max("m")).first()[0] or 0
-    level, told, k = level.drop("chars"), None, 0
-    while deepest >= 1 << k:
-        own = runs.where((F.col("m") >= 1 << k) & (F.col("m") < 2 << k))
-        if k == 0:
-            named = own.join(level, [*_PLACE]).withColumn("next", F.col("rank"))
-        else:
-            ends = own.join(level, [*_PLACE]).withColumn("last", F.col("pos") + F.col("m") - (1 << k))
-            tail = level.select(*_DOC, F.col("pos").alias("last"), F.col("rank").alias("next"))
-            named = ends.join(tail, [*_DOC, "last"])
-        named = named.select(*_PLACE, "m", "rank", "next")
-        told = named if told is None else told.unionByName(named)
-        k += 1
-        if deepest >= 1 << k:
-            pairs = _doubled(level, 1 << (k - 1))
-            names = _ranked(pairs.groupBy(F.col("rank").alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("n")), "a", "b")
-            level = cut_table(pairs.withColumnsRenamed({"rank": "a", "next": "b"}).join(names, ["a", "b"]).select(*_PLACE, "rank"))
-    if told is None:
-        return runs.withColumn("source", F.col("did"))
-    interval = ["m", "rank", "next"]
-    place = F.struct(*_PLACE)
+    levels = [level]
+    while deepest >= 1 << len(levels):
+        pairs = _doubled(levels[-1].select(*_PLACE, "rank"), 1 << (len(levels) - 1))
+        names = _ranked(pairs.groupBy(F.col("rank").alias("a"), F.col("next").alias("b")).agg(F.count("*").alias("n")), "a", "b")
+        levels.append(cut_table(pairs.withColumnsRenamed({"rank": "a", "next": "b"}).join(names, ["a", "b"]).select(*_PLACE, "rank")))
+        discard(names)
+    ranks = reduce(DataFrame.unionByName, [t.select(*_PLACE, F.lit(k).alias("k"), "rank") for k, t in enumerate(levels)])
+    power = F.length(F.bin("m")) - 1  # the greatest of two that m lines hold
+    asked = runs.withColumn("k", power).withColumn("last", F.col("pos") + F.col("m") - F.expr("shiftleft(1L, length(bin(m)) - 1)"))
+    tail = ranks.select(*_DOC, F.col("pos").alias("last"), "k", F.col("rank").alias("next"))
+    told = cut_table(asked.join(ranks, [*_PLACE, "k"]).join(tail, [*_DOC, "last", "k"]).select(*_PLACE, "m", "rank", "next"))
+    discard(runs, *levels)
+    interval, place = ["m", "rank", "next"], F.struct(*_PLACE)
     firsts = cut_table(told.groupBy(*interval).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
     return told.join(firsts, interval).where(place > F.col("first")).select(*_PLACE, "m", F.col("first.did").alias("source"))
 
