@@ -122,5 +122,5 @@ _lexicon("clusters", [(s, w) for s, ws in CLUSTERS.items() for w in ws], "cluste
 _lexicon("thresholds", THRESHOLDS, "signal, direction, threshold, weight, floor_words, family")
 
 relation("doc_words", "SELECT doc_id, source, lang, word, count(*) AS c FROM {tokens} GROUP BY doc_id, source, lang, word")
-relation("doc_totals", "SELECT doc_id, source, lang, sum(c) AS n, count(*) AS v FROM {doc_words} GROUP BY doc_id, source, lang")
+relation("doc_totals", "SELECT doc_id, source, lang, sum(c) AS n, count(*) AS v FROM {doc_words} GROUP BY doc_id, source, lang", spark="SELECT doc_id, source, lang, n, v FROM {measures} WHERE n > 0")
 relation("sent_words", "SELECT doc_id, snum, @COUNT(lower(sent);;[a-z']+)@ AS w FROM {sents}")

@@ -1,9 +1,15 @@
 """Joins, pairings, set operations and deduplication."""
 
-from inkstone.plans.catalogue import query, relation
+from pyspark.sql import functions as F
+
+from inkstone.functions.text import WIDE_WORD, words
+from inkstone.plans import catalogue
+from inkstone.plans.catalogue import builder, query, relation
+from inkstone.plans.shared import written
+from inkstone.sources.tables import table
 
 query("exact_duplicates", "SELECT @SHA(text)@ AS content, count(*) AS copies, min(doc_id) AS keeper FROM {documents} GROUP BY @SHA(text)@ HAVING count(*) > 1")
-query("exact_dedup_keep", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY @SHA(text)@ ORDER BY doc_id) AS k FROM {documents}) x WHERE k = 1")
+query("exact_dedup_keep", "SELECT min(doc_id) AS doc_id FROM {documents} GROUP BY @SHA(text)@")
 query("short_passage_groups", """
 WITH p AS (SELECT trim(@SUB(lower(line);;[^\\p{L}\\p{N}_]+;; )@) AS said FROM {lines})
 SELECT said, count(*) AS n FROM p WHERE @COUNT(said;;[^ ]+)@ BETWEEN 1 AND 9 GROUP BY said HAVING count(*) > 1""")
@@ -15,28 +21,53 @@ query("benchmark_contamination", """
 WITH hit AS (SELECT DISTINCT g.doc_id, g.pos FROM {grams8} g JOIN (SELECT DISTINCT gram FROM {benchmark8}) b ON b.gram = g.gram),
 t AS (SELECT w.doc_id, w.pos, max(h.pos) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS near FROM {wide_tokens} w LEFT JOIN hit h ON h.doc_id = w.doc_id AND h.pos = w.pos)
 SELECT doc_id, count(*) AS n_tokens, count_if(near IS NOT NULL AND pos - near < 8) AS covered FROM t GROUP BY doc_id""")
-# prefix filter: two sets that reach the threshold share a shingle among their rarest ones
+# copies stand behind one text each: pairs are of different texts, told by their least doc_id
+relation("text_groups", "SELECT md5(text) AS h, min(doc_id) AS rep, count(*) AS copies FROM {documents} WHERE text IS NOT NULL GROUP BY md5(text)")
+relation("rep_shingles", "SELECT s.doc_id, s.gram FROM {shingles5} s JOIN {text_groups} g ON g.rep = s.doc_id")
+
+
+@builder("rep_sets", "")
+def rep_sets(spark, sf_dir):
+    """doc_id, grams (distinct 64-bit hashes of five-word runs, sorted), n: of one document per text; a table, as the join reads it several times."""
+    groups = catalogue.run(spark, sf_dir, "SELECT rep FROM {text_groups}")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(groups, F.col("doc_id") == F.col("rep"))
+    words_of = docs.select("doc_id", words(F.col("text"), WIDE_WORD).alias("a")).where(F.size("a") >= 5)
+    grams = F.transform(F.sequence(F.lit(1), F.size("a") - 4), lambda i: F.xxhash64(F.slice("a", i, 5)))
+    return written(words_of.select("doc_id", F.array_distinct(grams).alias("grams")).withColumn("n", F.size("grams").cast("long")))
+
+
+# prefix filter: two sets that reach the threshold share a shingle among their rarest ones; those of one text alone come first
+# in that order, are in no pair, and only count
 relation("near_pairs", """
-WITH f AS (SELECT gram, count(*) AS df FROM {shingles5} GROUP BY gram),
-s AS (SELECT x.doc_id, x.gram, count(*) OVER (PARTITION BY x.doc_id) AS n, row_number() OVER (PARTITION BY x.doc_id ORDER BY df, x.gram) AS k FROM {shingles5} x JOIN f ON f.gram = x.gram),
+WITH f AS (SELECT gram, count(*) AS df FROM {rep_shingles} GROUP BY gram),
+s AS (SELECT x.doc_id, x.gram, count(*) OVER (PARTITION BY x.doc_id) AS n, row_number() OVER (PARTITION BY x.doc_id ORDER BY df, x.gram) AS k FROM {rep_shingles} x JOIN f ON f.gram = x.gram),
 p AS (SELECT doc_id, gram, n FROM s WHERE k <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1),
 c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.gram = b.gram AND a.doc_id < b.doc_id AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4),
-j AS (SELECT c.a, c.b, na, nb, count(*) AS shared FROM c JOIN {shingles5} x ON x.doc_id = c.a JOIN {shingles5} y ON y.doc_id = c.b AND y.gram = x.gram GROUP BY c.a, c.b, na, nb)
+j AS (SELECT c.a, c.b, na, nb, count(*) AS shared FROM c JOIN {rep_shingles} x ON x.doc_id = c.a JOIN {rep_shingles} y ON y.doc_id = c.b AND y.gram = x.gram GROUP BY c.a, c.b, na, nb)
+SELECT a, b, shared, na + nb - shared AS in_all FROM j WHERE shared * 5 >= 4 * (na + nb - shared)""", spark="""
+WITH g AS (SELECT doc_id, n, explode(grams) AS gram FROM {rep_sets}),
+f AS (SELECT gram, count(*) AS df FROM g GROUP BY gram HAVING count(*) > 1),
+s AS (SELECT g.doc_id, g.gram, g.n, row_number() OVER (PARTITION BY g.doc_id ORDER BY df, g.gram) AS k, count(*) OVER (PARTITION BY g.doc_id) AS m FROM g JOIN f ON f.gram = g.gram),
+p AS (SELECT doc_id, gram, n FROM s WHERE n - m + k <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.gram = b.gram AND a.doc_id < b.doc_id AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4),
+j AS (SELECT c.a, c.b, x.n AS na, y.n AS nb, CAST(size(array_intersect(x.grams, y.grams)) AS BIGINT) AS shared FROM c JOIN {rep_sets} x ON x.doc_id = c.a JOIN {rep_sets} y ON y.doc_id = c.b)
 SELECT a, b, shared, na + nb - shared AS in_all FROM j WHERE shared * 5 >= 4 * (na + nb - shared)""")
 query("near_dup_pairs", "SELECT a, b, shared, in_all, round(shared * 1.0 / in_all, 6) AS jaccard FROM {near_pairs}")
-query("near_dup_degrees", "SELECT doc, count(*) AS partners FROM (SELECT a AS doc FROM {near_pairs} UNION ALL SELECT b FROM {near_pairs}) x GROUP BY doc")
-query("dedup_keepers", """
-WITH e AS (SELECT a, b FROM {near_pairs} UNION ALL SELECT b, a FROM {near_pairs}),
-m AS (SELECT d.doc_id, d.n_chars, max(x.n_chars) AS longest, min(CASE WHEN x.n_chars >= d.n_chars THEN x.doc_id END) AS rival FROM {documents} d JOIN e ON e.a = d.doc_id JOIN {documents} x ON x.doc_id = e.b GROUP BY d.doc_id, d.n_chars)
-SELECT doc_id, n_chars, n_chars > longest OR (n_chars = longest AND doc_id < coalesce(rival, doc_id + 1)) AS local_keeper FROM m""")
+query("text_membership", "SELECT d.doc_id, g.rep, g.copies FROM {documents} d JOIN {text_groups} g ON g.h = md5(d.text)")
+query("near_dup_degrees", """
+WITH e AS (SELECT a AS rep, b AS other FROM {near_pairs} UNION ALL SELECT b, a FROM {near_pairs}),
+l AS (SELECT e.rep, sum(g.copies) AS near FROM e JOIN {text_groups} g ON g.rep = e.other GROUP BY e.rep)
+SELECT d.doc_id AS doc, CAST(g.copies - 1 + coalesce(l.near, 0) AS BIGINT) AS partners FROM {documents} d JOIN {text_groups} g ON g.h = md5(d.text) LEFT JOIN l ON l.rep = g.rep WHERE g.copies > 1 OR l.near > 0""")
+# 64-bit hashes travel in place of eight words; equal grams are counted with map-side combination, not in a window
+relation("repeated8", """
+WITH g AS (SELECT md5(gram) AS h FROM {grams8} GROUP BY md5(gram) HAVING count(*) >= 2) SELECT x.doc_id, x.pos FROM {grams8} x JOIN g ON g.h = md5(x.gram)""", spark="""
+WITH x AS (SELECT doc_id, pos, xxhash64(gram) AS h FROM {grams8}), g AS (SELECT h FROM x GROUP BY h HAVING count(*) >= 2) SELECT x.doc_id, x.pos FROM x LEFT SEMI JOIN g ON g.h = x.h""")
 query("repeated_spans", """
-WITH r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY gram) AS n FROM {grams8}),
-h AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM r WHERE n >= 2),
+WITH h AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM {repeated8}),
 s AS (SELECT doc_id, island, min(pos) AS start_token, max(pos) + 8 AS end_token FROM h GROUP BY doc_id, island)
 SELECT doc_id, start_token, end_token FROM s WHERE end_token - start_token >= 20""")
 query("span_masks", """
-WITH r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY gram) AS n FROM {grams8}),
-h AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM r WHERE n >= 2),
+WITH h AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM {repeated8}),
 s AS (SELECT doc_id, island, max(pos) + 8 - min(pos) AS len FROM h GROUP BY doc_id, island)
 SELECT doc_id, count(*) AS spans, CAST(sum(len) AS BIGINT) AS tokens, max(len) AS longest FROM s WHERE len >= 20 GROUP BY doc_id""")
 query("leave_one_out_vocabulary", """
@@ -52,12 +83,15 @@ query("multiset_diff", """
 WITH a AS (SELECT word, count(*) AS n FROM {tokens} WHERE lang = 'en' GROUP BY word), b AS (SELECT word, count(*) AS n FROM {tokens} WHERE lang = 'fr' GROUP BY word)
 SELECT coalesce(a.word, b.word) AS word, coalesce(a.n, 0) AS before_n, coalesce(b.n, 0) AS after_n, coalesce(b.n, 0) - coalesce(a.n, 0) AS diff FROM a FULL OUTER JOIN b ON a.word = b.word""")
 query("remediation_decisions", """
-WITH c AS (SELECT doc_id, lnum, line, count(*) OVER (PARTITION BY line) AS n, row_number() OVER (PARTITION BY line ORDER BY doc_id, lnum) AS k FROM {lines} WHERE length(line) >= 20)
-SELECT doc_id, lnum, CASE WHEN k = 1 THEN 'representative' ELSE 'masked' END AS decision FROM c WHERE n > 1""")
+WITH g AS (SELECT md5(line) AS h, count(*) AS n, min(struct(doc_id, lnum)) AS first FROM {lines} WHERE length(line) >= 20 GROUP BY md5(line) HAVING count(*) > 1)
+SELECT x.doc_id, x.lnum, CASE WHEN x.doc_id = g.first.doc_id AND x.lnum = g.first.lnum THEN 'representative' ELSE 'masked' END AS decision FROM {lines} x JOIN g ON g.h = md5(x.line) WHERE length(x.line) >= 20""".replace("min(struct(doc_id, lnum))", "min(@PAIR(doc_id;;lnum)@)"))
 query("cluster_balance", """
 WITH c AS (SELECT line, count(*) AS n FROM {lines} WHERE length(line) >= 20 GROUP BY line HAVING count(*) > 1)
 SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS members, CAST(sum(n - 1) AS BIGINT) AS masked FROM c""")
-query("topic_pairing", "SELECT a.doc_id AS focal, count(*) AS others FROM {documents} a JOIN {documents} b ON a.source = b.source AND a.lang = b.lang AND a.doc_id <> b.doc_id WHERE a.source <> 'src0' GROUP BY a.doc_id")
+# each focal document with the others of its topic; rows of one doc_id are not its others
+query("topic_pairing", """
+WITH g AS (SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang), own AS (SELECT doc_id, source, lang, count(*) AS n FROM {documents} GROUP BY doc_id, source, lang)
+SELECT own.doc_id AS focal, CAST(own.n * (g.n - own.n) AS BIGINT) AS others FROM own JOIN g ON g.source IS NOT DISTINCT FROM own.source AND g.lang IS NOT DISTINCT FROM own.lang WHERE g.n > own.n""")
 query("cosine_pairs", """
 WITH n AS (SELECT vec_id, label, sqrt(sum(x * x)) AS norm FROM {vector_values} GROUP BY vec_id, label),
 v AS (SELECT v.vec_id, v.label, v.dim, v.x / n.norm AS x FROM {vector_values} v JOIN n ON n.vec_id = v.vec_id WHERE v.vec_id < 200),

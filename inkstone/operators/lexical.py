@@ -41,33 +41,35 @@ r AS (SELECT doc_id, island, count(*) AS n FROM g WHERE content = 0 GROUP BY doc
 SELECT doc_id, count(*) AS runs, max(n) AS longest FROM r WHERE n >= 2 GROUP BY doc_id""")
 
 relation("sentence_stats", """
-SELECT doc_id, count(*) AS n, avg(w) AS mean, coalesce(stddev_samp(w), 0) AS sd, coalesce(var_samp(w), 0) AS variance, min(w) AS least, max(w) AS most FROM {sent_words} WHERE w > 0 GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n, avg(w) AS mean, coalesce(stddev_samp(w), 0) AS sd, coalesce(var_samp(w), 0) AS variance, min(w) AS least, max(w) AS most FROM {sent_words} WHERE w > 0 GROUP BY doc_id""",
+    spark="SELECT doc_id, s_n AS n, s_mean AS mean, coalesce(sqrt(s_var), 0) AS sd, coalesce(s_var, 0) AS variance, s_min AS least, s_max AS most FROM {measures} WHERE s_n > 0")
 query("sentence_length_stats", """
 SELECT doc_id, n AS n_sentences, round(mean, 6) AS mean, round(sd, 6) AS sd, round(variance, 6) AS variance, least AS min_words, most AS max_words, round((sd - mean) / nullif(sd + mean, 0), 6) AS burstiness_b FROM {sentence_stats}""")
 
 relation("mattr", """
 WITH p AS (SELECT doc_id, pos, coalesce(lag(pos) OVER (PARTITION BY doc_id, word ORDER BY pos), -1) AS prev FROM {tokens}),
 q AS (SELECT p.doc_id, n, least(pos, n - 50) - greatest(prev + 1, pos - 49, 0) + 1 AS starts, prev FROM p JOIN {doc_totals} d ON d.doc_id = p.doc_id)
-SELECT doc_id, max(n) AS n, CASE WHEN max(n) >= 50 THEN sum(CASE WHEN starts > 0 THEN starts ELSE 0 END) / (50.0 * (max(n) - 49)) ELSE sum(CASE WHEN prev < 0 THEN 1 ELSE 0 END) * 1.0 / max(n) END AS mattr FROM q GROUP BY doc_id""")
+SELECT doc_id, max(n) AS n, CASE WHEN max(n) >= 50 THEN sum(CASE WHEN starts > 0 THEN starts ELSE 0 END) / (50.0 * (max(n) - 49)) ELSE sum(CASE WHEN prev < 0 THEN 1 ELSE 0 END) * 1.0 / max(n) END AS mattr FROM q GROUP BY doc_id""", spark="SELECT doc_id, n, mattr FROM {measures} WHERE n > 0")
 query("mattr50", "SELECT doc_id, round(CAST(mattr AS DOUBLE), 6) AS mattr FROM {mattr}")
-relation("yule", "SELECT doc_id, sum(c) AS n, 10000.0 * (sum(c * c) - sum(c)) / (sum(c) * sum(c)) AS k FROM {doc_words} GROUP BY doc_id")
+relation("yule", "SELECT doc_id, sum(c) AS n, 10000.0 * (sum(c * c) - sum(c)) / (sum(c) * sum(c)) AS k FROM {doc_words} GROUP BY doc_id", spark="SELECT doc_id, n, 10000.0 * (squares - n) / (n * n) AS k FROM {measures} WHERE n > 0")
 query("yules_k", "SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, round(CAST(k AS DOUBLE), 6) AS yules_k FROM {yule}")
-relation("entropy", "SELECT w.doc_id, 0.0 - sum(c / n * log2(c / n)) AS bits FROM {doc_words} w JOIN {doc_totals} d ON d.doc_id = w.doc_id GROUP BY w.doc_id")
+relation("entropy", "SELECT w.doc_id, 0.0 - sum(c / n * log2(c / n)) AS bits FROM {doc_words} w JOIN {doc_totals} d ON d.doc_id = w.doc_id GROUP BY w.doc_id", spark="SELECT doc_id, bits FROM {measures} WHERE n > 0")
 query("shannon_entropy", "SELECT doc_id, round(bits + 0.0, 6) AS bits FROM {entropy}")
 query("syllables_per_word", """
 SELECT doc_id, round(avg(CAST(greatest(1, @COUNT(word;;[aeiouy]+)@ - CASE WHEN @MATCH(word;;e$)@ AND @COUNT(word;;[aeiouy]+)@ > 1 THEN 1 ELSE 0 END) AS DOUBLE)), 6) AS syllables FROM {tokens} GROUP BY doc_id""")
-# syllables of a sentence: vowel groups and words without one, less a silent e after another group
-relation("fkgl", """
-WITH s AS (SELECT doc_id, snum, lower(sent) AS t FROM {sents}),
-x AS (SELECT doc_id, snum, @COUNT(t;;[a-z']+)@ AS w, @COUNT(t;;[aeiouy]+)@ + @COUNT(@SUB(@SUB(t;;[a-z']*[aeiouy][a-z']*;; )@;;[^a-z' ];; )@;;[a-z']+)@ - @COUNT(@SUB(t;;[a-z']*[aeiouy][b-df-hj-np-tv-xz']+e([^a-z']|$);;#)@;;#)@ AS s FROM s)
-SELECT doc_id, snum, 0.39 * w + 11.8 * s / w - 15.59 AS grade FROM x WHERE w > 0""")
-relation("fkgl_stats", "SELECT doc_id, avg(grade) AS mean, stddev_samp(grade) AS sd, min(grade) AS least, max(grade) AS most FROM {fkgl} GROUP BY doc_id")
+# a word has as many syllables as vowel groups, less a final e that is one of several, but one at least
+relation("fkgl_stats", """
+WITH s AS (SELECT doc_id, snum, regexp_extract_all(lower(sent), '[a-z'']+') AS ws FROM {sents}),
+x AS (SELECT doc_id, snum, len(ws) AS w, list_sum(list_transform(ws, lambda v: greatest(1, len(regexp_extract_all(v, '[aeiouy]+')) - CASE WHEN right(v, 1) = 'e' AND len(regexp_extract_all(v, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END))) AS s FROM s),
+g AS (SELECT doc_id, 0.39 * w + 11.8 * s / w - 15.59 AS grade FROM x WHERE w > 0)
+SELECT doc_id, avg(grade) AS mean, stddev_samp(grade) AS sd, min(grade) AS least, max(grade) AS most FROM g GROUP BY doc_id""",
+    spark="SELECT doc_id, g_mean AS mean, sqrt(g_var) AS sd, g_min AS least, g_max AS most FROM {measures} WHERE s_n > 0")
 query("fkgl_stats", "SELECT doc_id, round(CAST(mean AS DOUBLE), 5) AS mean, round(CAST(sd AS DOUBLE), 5) AS sd, round(CAST(least AS DOUBLE), 5) AS least, round(CAST(most AS DOUBLE), 5) AS most FROM {fkgl_stats}")
 # a marker counts where its words follow each other as tokens; only its first word is joined on
 relation("connective_hits", """
 WITH t AS (SELECT doc_id, word, concat_ws(' ', word, lead(word) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w, lead(word, 5) OVER w, '') AS ahead FROM {tokens} WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
 SELECT t.doc_id, c.marker, count(*) AS hits FROM t JOIN (SELECT marker, split_part(marker, ' ', 1) AS head FROM {connectives}) c ON c.head = t.word AND substr(t.ahead, 1, length(c.marker) + 1) = concat(c.marker, ' ') GROUP BY t.doc_id, c.marker""")
-relation("connective", "SELECT d.doc_id, coalesce(sum(h.hits), 0) AS hits, 1000.0 * coalesce(sum(h.hits), 0) / max(d.n) AS density FROM {doc_totals} d LEFT JOIN {connective_hits} h ON h.doc_id = d.doc_id GROUP BY d.doc_id")
+relation("connective", "SELECT d.doc_id, coalesce(sum(h.hits), 0) AS hits, 1000.0 * coalesce(sum(h.hits), 0) / max(d.n) AS density FROM {doc_totals} d LEFT JOIN {connective_hits} h ON h.doc_id = d.doc_id GROUP BY d.doc_id", spark="SELECT doc_id, hits, 1000.0 * hits / n AS density FROM {measures} WHERE n > 0")
 query("connective_density", "SELECT doc_id, CAST(hits AS BIGINT) AS hits, round(CAST(density AS DOUBLE), 6) AS per_1000 FROM {connective}")
 query("function_word_ratio", """
 SELECT w.doc_id, round(sum(CASE WHEN f.word IS NOT NULL THEN c ELSE 0 END) * 1.0 / sum(c), 6) AS ratio, count(f.word) AS kinds FROM {doc_words} w LEFT JOIN {function_words} f ON f.word = w.word GROUP BY w.doc_id""")
@@ -127,7 +129,9 @@ UNION ALL SELECT doc_id, 'connective_density', CAST(density AS DOUBLE) FROM {con
 UNION ALL SELECT doc_id, 'mattr', CAST(mattr AS DOUBLE) FROM {mattr}
 UNION ALL SELECT doc_id, 'yules_k', CAST(k AS DOUBLE) FROM {yule}
 UNION ALL SELECT doc_id, 'shannon_entropy', CAST(bits AS DOUBLE) FROM {entropy}
-UNION ALL SELECT doc_id, 'fkgl_sd', CAST(sd AS DOUBLE) FROM {fkgl_stats}""")
+UNION ALL SELECT doc_id, 'fkgl_sd', CAST(sd AS DOUBLE) FROM {fkgl_stats}""", spark="""
+SELECT doc_id, stack(7, 'burstiness_B', (coalesce(sqrt(s_var), 0) - s_mean) / nullif(coalesce(sqrt(s_var), 0) + s_mean, 0), 'sentence_length_sd', CASE WHEN s_n > 0 THEN coalesce(sqrt(s_var), 0.0) END,
+  'connective_density', 1000.0 * hits / n, 'mattr', mattr, 'yules_k', 10000.0 * (squares - n) / (n * n), 'shannon_entropy', bits, 'fkgl_sd', sqrt(g_var)) AS (signal, value) FROM {measures} WHERE n > 0""")
 relation("flags", """
 SELECT s.doc_id, s.signal, t.family, t.weight, CASE WHEN (t.direction = 'lt' AND round(s.value, 6) < t.threshold) OR (t.direction = 'gt' AND round(s.value, 6) > t.threshold) THEN 1 ELSE 0 END AS flagged
 FROM {signals} s JOIN {thresholds} t ON t.signal = s.signal JOIN {doc_totals} d ON d.doc_id = s.doc_id WHERE s.value IS NOT NULL AND d.n >= t.floor_words""")

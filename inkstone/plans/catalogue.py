@@ -19,6 +19,7 @@ from inkstone.sources.tables import TABLES, table
 
 BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 RELATIONS: dict[str, str] = {}
+PLANNED: dict[str, str] = {}  # bodies that Spark plans in place of a relation's SQL
 BODIES: dict[str, str] = {}
 _NAMES = itertools.count()
 _READS = re.compile(r"\{([a-z]\w*)\}")
@@ -40,6 +41,7 @@ _SPARK = {
     "FIRST": lambda e, p: f"regexp_extract({e}, {_spark_text(p)}, 0)",
     "PCT": lambda x, q: f"percentile({x}, {q})",
     "ARR": lambda *xs: f"array({', '.join(xs)})",
+    "PAIR": lambda a, b: f"struct({a}, {b})",
     "SHA": lambda x: f"sha2({x}, 256)",
     "DAYS": lambda x: f"CAST(to_date({x}) AS STRING)",
     "MONTH": lambda x: f"date_format({x}, 'yyyy-MM')",
@@ -54,6 +56,7 @@ _DUCK = {
     "FIRST": lambda e, p: f"regexp_extract({e}, {_duck_text(p)})",
     "PCT": lambda x, q: f"quantile_cont({x}, {q})",
     "ARR": lambda *xs: f"[{', '.join(xs)}]",
+    "PAIR": lambda a, b: f"{{{repr(a)}: {a}, {repr(b)}: {b}}}",
     "SHA": lambda x: f"sha256({x})",
     "DAYS": lambda x: f"CAST(CAST({x} AS DATE) AS VARCHAR)",
     "MONTH": lambda x: f"strftime({x}, '%Y-%m')",
@@ -104,8 +107,11 @@ def builder(name: str, duck: str):
     return keep
 
 
-def relation(name: str, body: str) -> None:
+def relation(name: str, body: str, spark: str | None = None) -> None:
+    """spark: another body for the same rows, where Spark has a better plan; the oracle keeps the SQL, so that each checks the other."""
     RELATIONS[name] = body
+    if spark is not None:
+        PLANNED[name] = spark
 
 
 def query(name: str, body: str) -> None:
@@ -116,7 +122,7 @@ def _frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BUILDERS:
         return BUILDERS[name][0](spark, sf_dir)
     if name in RELATIONS:
-        return run(spark, sf_dir, RELATIONS[name])
+        return run(spark, sf_dir, PLANNED.get(name, RELATIONS[name]))
     return table(spark, sf_dir, name)
 
 

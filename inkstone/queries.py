@@ -1,6 +1,6 @@
 """All registered queries and their oracle SQL (the llm package registers its own)."""
 
-from inkstone.functions import text  # noqa: F401  registers relations
+from inkstone.functions import signals, text  # noqa: F401  registers relations
 from inkstone.operators import components, custom, dedup, distance, evaluate, hygiene, judged, keyness, lexical, relational, resampling, sequence  # noqa: F401
 from inkstone.plans import catalogue
 from inkstone.streaming import events
