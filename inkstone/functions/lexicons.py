@@ -28,16 +28,35 @@ PRONOUN_SETS = {
     "hedge": "almost apparently arguably basically fairly generally kind likely maybe mostly perhaps possibly probably quite rather relatively seem seemed seeming seems somewhat sort tend tended tends".split(),
 }
 
+CONTRACTION = r"\b(?:[a-z]+(?:n't|'re|'ve|'ll|'d|'m)|(?:it|that|there|here|what|who|where|when|why|how|let)'s|(?:he|she|one|everyone|everybody|someone|somebody|anyone|anybody|nobody|nothing)'s|can't|cannot|won't|shan't)\b"
+
 CLUSTERS = {
+    "first_person_singular": "i me my mine myself".split(),
+    "first_person_plural": "we us our ours ourselves".split(),
+    "second_person": "you your yours yourself yourselves".split(),
+    "third_person_animate": "he him his himself she her hers herself".split(),
+    "third_person_neuter": "it its itself".split(),
+    "third_person_plural": "they them their theirs themselves".split(),
+    "reflexives": "myself yourself yourselves himself herself itself ourselves themselves".split(),
     "demonstratives": "this that these those".split(),
+    "place_deixis": "here there".split(),
+    "temporal_deixis": "now then once".split(),
+    "modals_epistemic": "could might would".split(),
+    "modals_deontic": "must should ought shall".split(),
     "be_forms": "am are be been being is was were".split(),
     "have_forms": "had has have having".split(),
     "do_forms": "did do does doing".split(),
+    "negations": "no nor not".split(),
     "articles": "a an the".split(),
+    "quantifiers": "all any both each few more most some".split(),
+    "intensifiers": "just only so too very".split(),
+    "prepositions_spatial": "above below between down in into off on out over through under up upon".split(),
+    "prepositions_temporal": "after before during from to until".split(),
     "prepositions_relational": "about against as at by for of with".split(),
     "coordinating_conjunctions": "and but or nor yet".split(),
     "subordinating_conjunctions": "because if when where while until".split(),
     "wh_interrogatives": "how what when where which who whom whose why".split(),
+    "comparison": "than such same other".split(),
 }
 
 #: signal, direction, threshold, weight, least words, family

@@ -8,7 +8,7 @@ WITH b AS (SELECT signal, avg(value) AS m, stddev_samp(value) AS sd FROM {signal
 SELECT s.doc_id, s.signal, round((s.value - b.m) / nullif(b.sd, 0), 4) AS z FROM {signals} s JOIN b ON b.signal = s.signal WHERE s.value IS NOT NULL""")
 query("feature_selection", """
 WITH f AS (SELECT w.word, sum(c) AS n FROM {doc_words} w JOIN {function_words} f ON f.word = w.word GROUP BY w.word)
-SELECT word, CAST(n AS BIGINT) AS n, k FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS k FROM f) x WHERE k <= 100""")
+SELECT word, CAST(n AS BIGINT) AS n FROM f ORDER BY n DESC, word LIMIT 100""")
 relation("function_rates", """
 SELECT d.source, f.word, coalesce(sum(w.c), 0) * 1.0 / max(d.n) AS rate FROM (SELECT source, sum(n) AS n FROM {doc_totals} GROUP BY source) d CROSS JOIN {function_words} f
 LEFT JOIN {doc_words} w ON w.source = d.source AND w.word = f.word GROUP BY d.source, f.word""")
@@ -19,14 +19,6 @@ query("delta_pairs", "SELECT a.source AS a, b.source AS b, round(avg(abs(a.z - b
 query("cosine_to_centroid", """
 WITH c AS (SELECT word, avg(rate) AS m FROM {function_rates} GROUP BY word)
 SELECT r.source, round(1 - sum(r.rate * c.m) / (sqrt(sum(r.rate * r.rate)) * sqrt(sum(c.m * c.m))), 6) AS distance FROM {function_rates} r JOIN c ON c.word = r.word GROUP BY r.source""")
-query("overall_delta", """
-WITH f AS (SELECT source, avg(abs(z)) AS d FROM {function_z} GROUP BY source)
-SELECT source, round(least(d, 5.0), 5) AS overall, CASE WHEN d < 0.75 THEN 'close' WHEN d < 1.25 THEN 'moderate' WHEN d < 2.0 THEN 'distant' ELSE 'very_distant' END AS band FROM f""")
-query("feature_clusters", """
-WITH x AS (SELECT z.source, c.cluster, count(*) AS n, avg(z) AS mean_z, greatest(count_if(z > 0), count_if(z < 0)) * 1.0 / count(*) AS consistency FROM {function_z} z JOIN {clusters} c ON c.word = z.word GROUP BY z.source, c.cluster)
-SELECT source, cluster, n, round(mean_z, 5) AS mean_z, round(consistency, 5) AS consistency, consistency >= 0.7 AS directed FROM x WHERE n >= 3""")
-query("top_deviations", """
-SELECT source, word, round(z, 5) AS z FROM (SELECT source, word, z, row_number() OVER (PARTITION BY source ORDER BY round(abs(z), 8) DESC, word) AS k FROM {function_z}) x WHERE k <= 25""")
 query("char_ngram_delta_by_lang", """
 WITH g AS (SELECT lang, gram, count(*) AS c FROM {trigrams} GROUP BY lang, gram), n AS (SELECT lang, sum(c) AS n FROM g GROUP BY lang),
 top AS (SELECT gram FROM (SELECT gram, row_number() OVER (ORDER BY sum(c) DESC, gram) AS k FROM g GROUP BY gram) x WHERE k <= 200),

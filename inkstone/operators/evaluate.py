@@ -35,7 +35,7 @@ s AS (SELECT signal, bin, score, sum(p) OVER w AS p, sum(n) OVER w AS n FROM c W
 SELECT s.signal, s.score, CAST(p_above + p AS DOUBLE) / p_all AS tpr, CAST(n_above - p_above + n AS DOUBLE) / (n_all - p_all) AS fpr FROM s JOIN {bin_counts} b ON b.signal = s.signal AND b.bin = s.bin""")
 query("threshold_at_fpr", """
 SELECT signal, round(min_by(score, k), 4) AS threshold, round(min_by(tpr, k), 6) AS tpr, round(min_by(fpr, k), 6) AS fpr FROM (SELECT signal, score, tpr, fpr, @ARR(-tpr;;fpr;;score)@ AS k FROM {operating_points} WHERE fpr <= 0.1) x GROUP BY signal""")
-query("confusion_counts", "SELECT s.signal, count_if(flagged AND label = 1) AS tp, count_if(flagged AND label = 0) AS fp, count_if(NOT flagged AND label = 1) AS fn, count_if(NOT flagged AND label = 0) AS tn FROM (SELECT x.signal, label, score > threshold AS flagged FROM {scored} x JOIN {thresholds} t ON t.signal = x.signal) s GROUP BY s.signal")
+query("confusion_counts", "SELECT s.signal, count_if(flagged AND label = 1) AS tp, count_if(flagged AND label = 0) AS fp, count_if(NOT flagged AND label = 1) AS fn, count_if(NOT flagged AND label = 0) AS tn FROM (SELECT x.signal, label, CASE WHEN direction = 'lt' THEN score < threshold ELSE score > threshold END AS flagged FROM {scored} x JOIN {thresholds} t ON t.signal = x.signal) s GROUP BY s.signal")
 _WILSON = "round(({p} + 1.9208 / n {s} 1.96 * sqrt({p} * (1 - {p}) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6)"
 query("wilson_rates_by_lang", f"""
 WITH r AS (SELECT d.lang, CAST(count(*) AS DOUBLE) AS n, avg(CAST(quality AS DOUBLE)) AS p FROM {{labels}} l JOIN {{documents}} d ON d.doc_id = l.doc_id GROUP BY d.lang)
@@ -93,12 +93,6 @@ WITH q AS (SELECT @PCT(n_chars;;0.25)@ AS a, @PCT(n_chars;;0.5)@ AS b, @PCT(n_ch
 SELECT CASE WHEN n_chars < a THEN 0 WHEN n_chars < b THEN 1 WHEN n_chars < c THEN 2 ELSE 3 END AS stratum, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most FROM {documents} CROSS JOIN q GROUP BY CASE WHEN n_chars < a THEN 0 WHEN n_chars < b THEN 1 WHEN n_chars < c THEN 2 ELSE 3 END""")
 query("midrank_percentile", "SELECT doc_id, signal, round((rk - 1 + 0.5 * ties) / n, 6) AS percentile FROM {value_ranks}")
 query("derived_seeds", "SELECT doc_id, @MOD32(concat('seed:', CAST(doc_id AS STRING));;1000003)@ AS seed FROM {documents}")
-query("imposters", """
-WITH f AS (SELECT word, row_number() OVER (ORDER BY word) AS fid FROM {function_words}), g AS (SELECT DISTINCT pos AS rnd FROM {tokens} WHERE pos < 10),
-o AS (SELECT rnd, word, row_number() OVER (PARTITION BY rnd ORDER BY md5(concat(CAST(rnd AS STRING), ':', word)), word) AS k FROM g CROSS JOIN f),
-v AS (SELECT o.rnd, r.source, sum(abs(r.rate - t.rate)) AS d FROM o JOIN {function_rates} r ON r.word = o.word JOIN {function_rates} t ON t.word = o.word AND t.source = 'src1' WHERE o.k <= 60 AND r.source <> 'src1' GROUP BY o.rnd, r.source),
-w AS (SELECT rnd, source, row_number() OVER (PARTITION BY rnd ORDER BY round(d, 10), source) AS k FROM v)
-SELECT source, count(*) AS wins FROM w WHERE k = 1 GROUP BY source""")
 query("winner_by_least_auc", "SELECT lang, round(min(CAST(greatest(auc, 1 - auc) AS DOUBLE)), 6) AS worst FROM {auc_by_lang} WHERE auc IS NOT NULL GROUP BY lang")
 query("polarity_verdict", "SELECT signal, count_if(auc > 0.55) AS up_n, count_if(auc < 0.45) AS down_n, CASE WHEN count_if(auc > 0.55) > 0 AND count_if(auc < 0.45) > 0 THEN 'mixed' WHEN count_if(auc > 0.55) > 0 THEN 'up' WHEN count_if(auc < 0.45) > 0 THEN 'down' ELSE 'flat' END AS verdict FROM {auc_by_lang} WHERE auc IS NOT NULL GROUP BY signal")
 query("robustness_card", """

@@ -9,17 +9,6 @@ query("page_domains", """
 WITH d AS (SELECT @SUB(@FIRST(url;;^[a-z]+://[^/]+)@;;^[a-z]+://;;)@ AS domain FROM {pages})
 SELECT domain, count(*) AS pages FROM d GROUP BY domain""")
 query("reference_ecology", "SELECT page_id, @COUNT(html;;https?://)@ AS urls, @COUNT(html;;\\[[0-9]+\\])@ AS notes, @COUNT(html;;10[.][0-9]+/)@ AS dois, @COUNT(html;;[(][A-Z][a-z]+,? (19|20)[0-9][0-9][)])@ AS citations FROM {pages}")
-query("aggressive_rules", "SELECT doc_id, @SUB(@SUB(@SUB(text;;!\\[[^\\]]*\\]\\([^)]*\\);;)@;;\\[([^\\]]*)\\]\\([^)]*\\);;$1)@;;(?m)^#+ .*$;;)@ AS text FROM {documents}")
-query("masking_rules", "SELECT doc_id, @SUB(@SUB(text;;(?m)^>.*$;;)@;;[“\"][^“”\"]*[”\"];;)@ AS text FROM {documents}")
-relation("stripped", """
-SELECT doc_id, 'html_tag' AS rule, @COUNT(text;;<[a-zA-Z/][^>]*>)@ AS n, @COUNT(text;;\\S+)@ AS tokens FROM {documents}
-UNION ALL SELECT doc_id, 'inline_code', @COUNT(text;;`[^`\\n]+`)@, @COUNT(text;;\\S+)@ FROM {documents}
-UNION ALL SELECT doc_id, 'table_cell', @COUNT(text;; [|] )@, @COUNT(text;;\\S+)@ FROM {documents}""")
-query("strip_rollup", "SELECT rule, CAST(sum(n) AS BIGINT) AS stripped, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(n) * 1.0 / nullif(sum(tokens), 0), 6) AS ratio, count_if(n > 0) AS files FROM {stripped} GROUP BY rule")
-query("hygiene_status", """
-WITH s AS (SELECT doc_id, sum(n) * 1.0 / nullif(max(tokens), 0) AS ratio, max_by(rule, n * 10 + length(rule)) AS rule FROM {stripped} GROUP BY doc_id),
-c AS (SELECT CASE WHEN ratio IS NULL OR ratio < 0.05 THEN 'clean' WHEN ratio < 0.25 THEN 'warning' ELSE 'fail' END AS status, rule FROM s)
-SELECT status, rule, count(*) AS n FROM c GROUP BY status, rule""")
 query("slug_and_hash", "SELECT doc_id, substr(@SUB(@SUB(lower(substr(text, 1, 60));;[^a-z0-9]+;;-)@;;^-|-$;;)@, 1, 40) AS slug, concat('sha256:', @SHA(text)@) AS content_hash FROM {documents}")
 query("era_bands", """
 SELECT o_orderkey, CASE WHEN o_orderdate IS NULL THEN 'undated' WHEN @DAYS(o_orderdate)@ < '2022-11-01' THEN 'pre_chatgpt' WHEN @DAYS(o_orderdate)@ < '2024-07-01' THEN 'pre_ai_widespread' ELSE 'post_ai_widespread' END AS era FROM {orders}""")

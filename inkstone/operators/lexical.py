@@ -34,11 +34,13 @@ query("passages", """
 SELECT doc_id, lnum AS ordinal, concat(CAST(doc_id AS STRING), '#p', lpad(CAST(lnum AS STRING), 4, '0')) AS passage_id,
   CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY lnum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start, length(line) AS n_chars
 FROM {lines}""")
+# runs of two function words or more; a content word ends a run, and so does a sentence
+relation("sent_tokens", "SELECT doc_id, snum, @NUMBERED(ws;;k;;word)@ FROM (SELECT doc_id, snum, @ALL(lower(sent);;[a-z']+)@ AS ws FROM {sents}) x")
 query("function_word_runs", """
-WITH t AS (SELECT t.doc_id, t.pos, CASE WHEN f.word IS NULL THEN 1 ELSE 0 END AS content FROM {tokens} t LEFT JOIN {function_words} f ON f.word = t.word),
-g AS (SELECT doc_id, pos, content, sum(content) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM t),
-r AS (SELECT doc_id, island, count(*) AS n FROM g WHERE content = 0 GROUP BY doc_id, island)
-SELECT doc_id, count(*) AS runs, max(n) AS longest FROM r WHERE n >= 2 GROUP BY doc_id""")
+WITH t AS (SELECT t.doc_id, t.snum, t.k, CASE WHEN f.word IS NULL THEN 1 ELSE 0 END AS content FROM {sent_tokens} t LEFT JOIN {function_words} f ON f.word = t.word),
+g AS (SELECT doc_id, snum, content, sum(content) OVER (PARTITION BY doc_id, snum ORDER BY k) AS island FROM t),
+r AS (SELECT doc_id, snum, island, count(*) AS n FROM g WHERE content = 0 GROUP BY doc_id, snum, island)
+SELECT doc_id, count(*) AS runs, max(n) AS longest, CAST(sum(n) AS BIGINT) AS words FROM r WHERE n >= 2 GROUP BY doc_id""")
 
 relation("sentence_stats", """
 SELECT doc_id, count(*) AS n, avg(w) AS mean, coalesce(stddev_samp(w), 0) AS sd, coalesce(var_samp(w), 0) AS variance, min(w) AS least, max(w) AS most FROM {sent_words} WHERE w > 0 GROUP BY doc_id""",
@@ -106,16 +108,13 @@ SELECT doc_id, count_if(nxt IS NOT NULL AND @FIRST(word;;^[b-df-hj-np-tv-z]+)@ <
 query("kicker_density", """
 WITH s AS (SELECT l.doc_id, l.lnum, @FIRST(trim(line);;[^.!?]+[.!?]$)@ AS last_sentence FROM {lines} l WHERE @MATCH(line;;\\S)@)
 SELECT doc_id, count(*) AS paragraphs, count_if(@COUNT(lower(last_sentence);;[a-z']+)@ BETWEEN 1 AND 15 AND @MATCH(last_sentence;;[.]$)@ AND NOT @MATCH(last_sentence;;[0-9])@ AND NOT @MATCH(trim(last_sentence);; [A-Z])@) AS kickers FROM s GROUP BY doc_id""")
-query("anaphoric_runs", """
-WITH h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY snum) AS k, @FIRST(lower(sent);;[a-z']+ +[a-z']+)@ AS head FROM {sents}),
-b AS (SELECT doc_id, k, head, CASE WHEN head = lag(head) OVER (PARTITION BY doc_id ORDER BY k) THEN 0 ELSE 1 END AS new_run FROM h WHERE head <> ''),
-r AS (SELECT doc_id, head, sum(new_run) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM b),
-c AS (SELECT doc_id, run, max(head) AS head, count(*) AS n FROM r GROUP BY doc_id, run)
-SELECT doc_id, head, n FROM c WHERE n >= 2""")
 query("aux_profile", """
 SELECT doc_id, round(1000.0 * @COUNT(text;;[.,;:!?'"()-])@ / nullif(length(text), 0), 3) AS punctuation_per_1k, round(CAST(@COUNT(text;;[^\\x00-\\x7F])@ AS DOUBLE) / nullif(@COUNT(text;;\\p{L})@, 0), 4) AS non_ascii_ratio,
   round(CAST(@COUNT(text;;\\p{Lu})@ AS DOUBLE) / nullif(@COUNT(text;;\\p{L})@, 0), 4) AS uppercase_ratio, round(CAST(@COUNT(text;;\\s)@ AS DOUBLE) / nullif(length(text), 0), 4) AS whitespace_ratio FROM {documents}""")
-query("code_switching", "SELECT doc_id, @COUNT(text;;\\p{L})@ AS letters, @COUNT(text;;\\p{L})@ >= 40 AND @COUNT(text;;[^\\x00-\\x7F])@ * 100 >= @COUNT(text;;\\p{L})@ * 5 AS switched FROM {documents}")
+# at least five letters beyond ASCII, and at least 0.5 % of all letters
+query("code_switching", """
+WITH c AS (SELECT doc_id, @COUNT(text;;\\p{L})@ AS letters, @COUNT(text;;\\p{L})@ - @COUNT(text;;[A-Za-z])@ AS beyond FROM {documents})
+SELECT doc_id, letters, beyond, beyond >= 5 AND beyond * 1000 >= letters * 5 AS switched FROM c""")
 query("agency_densities", """
 SELECT doc_id, round(1000.0 * count_if(@MATCH(word;;(tion|ment|ness|ity)s?$)@) / count(*), 6) AS nominalisation, round(1000.0 * count_if(@MATCH(word;;(ed|en)$)@) / count(*), 6) AS participles FROM {tokens} GROUP BY doc_id""")
 query("stance_markers", """

@@ -15,11 +15,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkstone.plans.shared import written
 from inkstone.sources.tables import TABLES, table
 
 BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 RELATIONS: dict[str, str] = {}
 PLANNED: dict[str, str] = {}  # bodies that Spark plans in place of a relation's SQL
+WRITTEN: set[str] = set()
 BODIES: dict[str, str] = {}
 _NAMES = itertools.count()
 _READS = re.compile(r"\{([a-z]\w*)\}")
@@ -39,6 +41,16 @@ _SPARK = {
     "SUB": lambda e, p, r: f"regexp_replace({e}, {_spark_text(p)}, {_spark_text(r)})",
     "MATCH": lambda e, p: f"({e} RLIKE {_spark_text(p)})",
     "FIRST": lambda e, p: f"regexp_extract({e}, {_spark_text(p)}, 0)",
+    "GROUP": lambda e, p: f"regexp_extract({e}, {_spark_text(p)}, 1)",
+    "ALL": lambda e, p: f"regexp_extract_all({e}, {_spark_text(p)}, 0)",
+    "PARTS": lambda e, mark: f"split({e}, '{mark}', -1)",
+    "NUMBERED": lambda a, k, x: f"posexplode({a}) AS ({k}, {x})",
+    "UNNEST": lambda a, b: f"explode(sequence({a}, {b}))",
+    "COUNTIN": lambda a, p: f"CAST(size(filter({a}, x -> x RLIKE {_spark_text(p)})) AS BIGINT)",
+    "JOINED": lambda a: f"array_join({a}, ' ')",
+    "DISTINCT": lambda a: f"array_distinct({a})",
+    "SHARED": lambda a, b: f"CAST(size(array_intersect({a}, {b})) AS BIGINT)",
+    "SIZE": lambda a: f"CAST(size({a}) AS BIGINT)",
     "PCT": lambda x, q: f"percentile({x}, {q})",
     "ARR": lambda *xs: f"array({', '.join(xs)})",
     "PAIR": lambda a, b: f"struct({a}, {b})",
@@ -54,6 +66,16 @@ _DUCK = {
     "SUB": lambda e, p, r: f"regexp_replace({e}, {_duck_text(p)}, {_duck_text(re.sub(r'[$]([0-9])', lambda m: chr(92) + m[1], r))}, 'g')",
     "MATCH": lambda e, p: f"regexp_matches({e}, {_duck_text(p)})",
     "FIRST": lambda e, p: f"regexp_extract({e}, {_duck_text(p)})",
+    "GROUP": lambda e, p: f"regexp_extract({e}, {_duck_text(p)}, 1)",
+    "ALL": lambda e, p: f"regexp_extract_all({e}, {_duck_text(p)})",
+    "PARTS": lambda e, mark: f"string_split({e}, '{mark}')",
+    "NUMBERED": lambda a, k, x: f"unnest(range(len({a}))) AS {k}, unnest({a}) AS {x}",
+    "UNNEST": lambda a, b: f"unnest(range({a}, {b} + 1))",
+    "COUNTIN": lambda a, p: f"CAST(len(list_filter({a}, lambda x: regexp_matches(x, {_duck_text(p)}))) AS BIGINT)",
+    "JOINED": lambda a: f"coalesce(list_aggregate({a}, 'string_agg', ' '), '')",
+    "DISTINCT": lambda a: f"list_distinct({a})",
+    "SHARED": lambda a, b: f"CAST(len(list_intersect({a}, {b})) AS BIGINT)",
+    "SIZE": lambda a: f"CAST(len({a}) AS BIGINT)",
     "PCT": lambda x, q: f"quantile_cont({x}, {q})",
     "ARR": lambda *xs: f"[{', '.join(xs)}]",
     "PAIR": lambda a, b: f"{{{repr(a)}: {a}, {repr(b)}: {b}}}",
@@ -107,9 +129,12 @@ def builder(name: str, duck: str):
     return keep
 
 
-def relation(name: str, body: str, spark: str | None = None) -> None:
-    """spark: another body for the same rows, where Spark has a better plan; the oracle keeps the SQL, so that each checks the other."""
+def relation(name: str, body: str, spark: str | None = None, written: bool = False) -> None:
+    """spark: another body for the same rows, where Spark has a better plan; the oracle keeps the SQL, so that each checks the other.
+    written: what reads the relation several times reads a table in the shared folder, so that it is worked out once."""
     RELATIONS[name] = body
+    if written:
+        WRITTEN.add(name)
     if spark is not None:
         PLANNED[name] = spark
 
@@ -122,7 +147,8 @@ def _frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BUILDERS:
         return BUILDERS[name][0](spark, sf_dir)
     if name in RELATIONS:
-        return run(spark, sf_dir, PLANNED.get(name, RELATIONS[name]))
+        rows = run(spark, sf_dir, PLANNED.get(name, RELATIONS[name]))
+        return written(rows) if name in WRITTEN else rows
     return table(spark, sf_dir, name)
 
 
