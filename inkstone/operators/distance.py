@@ -21,7 +21,7 @@ WITH c AS (SELECT word, avg(rate) AS m FROM {function_rates} GROUP BY word)
 SELECT r.source, round(1 - sum(r.rate * c.m) / (sqrt(sum(r.rate * r.rate)) * sqrt(sum(c.m * c.m))), 6) AS distance FROM {function_rates} r JOIN c ON c.word = r.word GROUP BY r.source""")
 query("char_ngram_delta_by_lang", """
 WITH g AS (SELECT lang, gram, count(*) AS c FROM {trigrams} GROUP BY lang, gram), n AS (SELECT lang, sum(c) AS n FROM g GROUP BY lang),
-top AS (SELECT gram FROM (SELECT gram, row_number() OVER (ORDER BY sum(c) DESC, gram) AS k FROM g GROUP BY gram) x WHERE k <= 200),
+top AS (SELECT gram FROM (SELECT gram, sum(c) AS c FROM g GROUP BY gram) x ORDER BY c DESC, gram LIMIT 200),
 r AS (SELECT n.lang, t.gram, coalesce(g.c, 0) * 1.0 / n.n AS rate FROM n CROSS JOIN top t LEFT JOIN g ON g.lang = n.lang AND g.gram = t.gram),
 b AS (SELECT gram, avg(rate) AS m, stddev_pop(rate) AS sd FROM r GROUP BY gram)
 SELECT r.lang, round(avg(abs((r.rate - m) / nullif(sd, 0))), 5) AS delta FROM r JOIN b ON b.gram = r.gram GROUP BY r.lang""")
@@ -29,11 +29,12 @@ relation("bigram_counts", """
 WITH t AS (SELECT lang, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM {tokens}) SELECT lang, concat(t.word, ' ', nxt) AS bigram, count(*) AS c FROM t JOIN {function_words} f ON f.word = t.word WHERE nxt IS NOT NULL GROUP BY lang, concat(t.word, ' ', nxt)""")
 _PAIR = """
 WITH u AS (SELECT coalesce(a.bigram, b.bigram) AS bigram, coalesce(a.c, 0) + 1 AS ca, coalesce(b.c, 0) + 1 AS cb FROM (SELECT * FROM {bigram_counts} WHERE lang = 'en') a FULL OUTER JOIN (SELECT * FROM {bigram_counts} WHERE lang <> 'en' AND lang = 'de') b ON a.bigram = b.bigram),
-p AS (SELECT bigram, ca * 1.0 / sum(ca) OVER () AS p, cb * 1.0 / sum(cb) OVER () AS q FROM u)"""
+s AS (SELECT sum(ca) AS ta, sum(cb) AS tb FROM u),
+p AS (SELECT bigram, CAST(ca AS DOUBLE) / ta AS p, CAST(cb AS DOUBLE) / tb AS q FROM u CROSS JOIN s)"""
 query("bigram_kl", _PAIR + """
 SELECT 'en|de' AS pair, count(*) AS bigrams, round(sum(p * log2(p / q)), 6) AS kl, round(sum(0.5 * p * log2(2 * p / (p + q)) + 0.5 * q * log2(2 * q / (p + q))), 6) AS js FROM p""")
 query("bigram_kl_contributions", _PAIR + """
-SELECT bigram, round(x, 7) AS contribution FROM (SELECT bigram, p * log2(p / q) AS x, row_number() OVER (ORDER BY round(abs(p * log2(p / q)), 9) DESC, bigram) AS k FROM p) y WHERE k <= 50""")
+SELECT bigram, round(p * log2(p / q), 7) AS contribution FROM p ORDER BY round(abs(p * log2(p / q)), 9) DESC, bigram LIMIT 50""")
 relation("ranked_words", "SELECT lang, word, c, rank() OVER (PARTITION BY lang ORDER BY c DESC) AS r FROM (SELECT t.lang, t.word, count(*) AS c FROM {tokens} t JOIN {function_words} f ON f.word = t.word WHERE lang IN ('en', 'fr') GROUP BY t.lang, t.word) x")
 query("rank_turbulence", """
 WITH a AS (SELECT word, r FROM {ranked_words} WHERE lang = 'en'), b AS (SELECT word, r FROM {ranked_words} WHERE lang = 'fr'),
@@ -74,8 +75,8 @@ query("controls_triangulation", """
 WITH d AS (SELECT a.source, sum(abs(a.rate - b.rate)) AS l1 FROM {function_rates} a JOIN {function_rates} b ON a.word = b.word AND b.source = 'src1' GROUP BY a.source)
 SELECT source, round(l1, 6) AS l1, CASE WHEN l1 < 0.02 THEN 'near' WHEN l1 < 0.1 THEN 'between' ELSE 'far' END AS position FROM d""")
 query("effect_sizes", """
-WITH x AS (SELECT s.signal, s.value, CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END AS g FROM {signals} s JOIN {documents} d ON d.doc_id = s.doc_id WHERE value IS NOT NULL),
-r AS (SELECT signal, g, value, rank() OVER (PARTITION BY signal ORDER BY round(value, 9)) + (count(*) OVER (PARTITION BY signal, round(value, 9)) - 1) / 2.0 AS rk FROM x),
+WITH x AS (SELECT s.doc_id, s.signal, s.value, CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END AS g FROM {signals} s JOIN {documents} d ON d.doc_id = s.doc_id WHERE value IS NOT NULL),
+r AS (SELECT x.signal, g, value, v.rk + (v.ties - 1) / 2.0 AS rk FROM x JOIN {value_ranks} v ON v.doc_id = x.doc_id AND v.signal = x.signal),
 a AS (SELECT signal, count_if(g = 1) AS n1, count_if(g = 0) AS n0, sum(CASE WHEN g = 1 THEN rk ELSE 0 END) AS r1, avg(CASE WHEN g = 1 THEN value END) AS m1, avg(CASE WHEN g = 0 THEN value END) AS m0, var_samp(CASE WHEN g = 1 THEN value END) AS v1, var_samp(CASE WHEN g = 0 THEN value END) AS v0 FROM r GROUP BY signal)
 SELECT signal, round(CAST(2 * (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0) - 1 AS DOUBLE), 5) AS cliffs_delta, round((m1 - m0) / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 0), 5) AS cohens_d,
   round((1 - 3.0 / (4 * (n1 + n0) - 9)) * (m1 - m0) / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 0), 5) AS hedges_g FROM a""")

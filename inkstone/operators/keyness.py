@@ -4,8 +4,9 @@ from inkstone.plans.catalogue import query, relation
 
 relation("key_counts", """
 WITH a AS (SELECT word, count(*) AS a FROM {tokens} WHERE source = 'src0' GROUP BY word), b AS (SELECT word, count(*) AS b FROM {tokens} WHERE source <> 'src0' GROUP BY word),
-u AS (SELECT coalesce(a.word, b.word) AS word, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL OUTER JOIN b ON a.word = b.word)
-SELECT word, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(sum(a) OVER () AS DOUBLE) AS ta, CAST(sum(b) OVER () AS DOUBLE) AS tb FROM u""")
+u AS (SELECT coalesce(a.word, b.word) AS word, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL OUTER JOIN b ON a.word = b.word),
+t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM u)
+SELECT word, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(ta AS DOUBLE) AS ta, CAST(tb AS DOUBLE) AS tb FROM u CROSS JOIN t""")
 _E = {"e1": "(a + b) * ta / (ta + tb)", "e2": "(a + b) * tb / (ta + tb)", "e3": "(ta + tb - a - b) * ta / (ta + tb)", "e4": "(ta + tb - a - b) * tb / (ta + tb)"}
 _O = {"e1": "a", "e2": "b", "e3": "(ta - a)", "e4": "(tb - b)"}
 _G2 = " + ".join(f"CASE WHEN {_O[k]} > 0 THEN {_O[k]} * ln({_O[k]} / ({_E[k]})) ELSE 0 END" for k in _E)
@@ -22,10 +23,17 @@ WITH s AS (SELECT word, length(word) AS n, 2 * ({_G2}) AS g2 FROM {{key_counts}}
 r AS (SELECT word, CASE WHEN n <= 3 THEN 1 WHEN n <= 6 THEN 2 ELSE 3 END AS grp, round(g2, 4) AS g2 FROM s),
 k AS (SELECT word, grp, g2, row_number() OVER (PARTITION BY grp ORDER BY g2 DESC, word) AS k FROM r)
 SELECT grp, word, g2, k FROM k WHERE k <= CASE grp WHEN 3 THEN 10 ELSE 20 END""")
-query("collocations_pmi", """
-WITH t AS (SELECT word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM {tokens}), b AS (SELECT word, nxt, count(*) AS c FROM t WHERE nxt IS NOT NULL GROUP BY word, nxt HAVING count(*) >= 5),
-u AS (SELECT word, count(*) AS c FROM {tokens} GROUP BY word), n AS (SELECT count(*) AS n FROM {tokens})
-SELECT b.word, b.nxt, b.c AS n, round(log2(b.c * 1.0 * n.n / (x.c * 1.0 * y.c)), 6) AS pmi FROM b JOIN u x ON x.word = b.word JOIN u y ON y.word = b.nxt CROSS JOIN n""")
+# a pair counts from five on; one pass over tokens gives pairs, and words are counted per document before
+relation("word_pairs", """
+WITH t AS (SELECT word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM {tokens}) SELECT word, nxt, count(*) AS c FROM t WHERE nxt IS NOT NULL GROUP BY word, nxt HAVING count(*) >= 5""")
+relation("word_totals", "SELECT word, CAST(sum(c) AS BIGINT) AS c FROM {doc_words} GROUP BY word")
+relation("pair_counts", """
+SELECT b.word, b.nxt, b.c, x.c AS cx, y.c AS cy, n.n FROM {word_pairs} b JOIN {word_totals} x ON x.word = b.word JOIN {word_totals} y ON y.word = b.nxt CROSS JOIN (SELECT CAST(sum(c) AS BIGINT) AS n FROM {word_totals}) n""")
+query("collocations_pmi", "SELECT word, nxt, c AS n, round(log2(CAST(c AS DOUBLE) * n / (CAST(cx AS DOUBLE) * cy)), 6) AS pmi FROM {pair_counts}")
+_ll = lambda k, n, x: f"({k} * ln(CASE WHEN {x} > 0 THEN {x} ELSE 1 END) + ({n} - {k}) * ln(CASE WHEN {x} < 1 THEN 1 - {x} ELSE 1 END))"
+query("collocations_lr", f"""
+WITH p AS (SELECT word, nxt, CAST(c AS DOUBLE) AS k1, CAST(cx AS DOUBLE) AS n1, CAST(cy - c AS DOUBLE) AS k2, CAST(n - cx AS DOUBLE) AS n2, CAST(cy AS DOUBLE) / n AS p, CAST(c AS DOUBLE) / cx AS p1, CAST(cy - c AS DOUBLE) / (n - cx) AS p2 FROM {{pair_counts}} WHERE n > cx)
+SELECT word, nxt, CAST(k1 AS BIGINT) AS n, round(2 * ({_ll('k1', 'n1', 'p1')} + {_ll('k2', 'n2', 'p2')} - {_ll('k1', 'n1', 'p')} - {_ll('k2', 'n2', 'p')}), 4) AS likelihood_ratio FROM p""")
 query("overrepresented_words", """
 WITH base AS (SELECT word, sum(c) AS c FROM {doc_words} GROUP BY word), n AS (SELECT sum(c) AS n FROM {doc_words}),
 x AS (SELECT w.doc_id, w.word, w.c, 1000.0 * w.c / t.n AS rate, greatest(1000.0 * base.c / n.n, 0.05) AS base FROM {doc_words} w JOIN {doc_totals} t ON t.doc_id = w.doc_id JOIN base ON base.word = w.word CROSS JOIN n LEFT JOIN {function_words} f ON f.word = w.word WHERE f.word IS NULL AND length(w.word) >= 4 AND w.c >= 3)

@@ -17,17 +17,33 @@ query("token_windows", """
 WITH n AS (SELECT doc_id, count(*) AS n FROM {tokens} GROUP BY doc_id),
 w AS (SELECT t.doc_id, CAST(floor(t.pos / 100) AS BIGINT) AS win, t.word FROM {tokens} t JOIN n ON n.doc_id = t.doc_id WHERE n.n >= 100)
 SELECT doc_id, win, count(*) AS n_tokens, round(count(DISTINCT word) / count(*), 6) AS ttr FROM w GROUP BY doc_id, win""")
+# windows of 100 words every 50, and the last 100 of a text; a shorter text is one window
+query("overlapping_windows", """
+WITH n AS (SELECT doc_id, CAST(n AS BIGINT) AS n FROM {doc_totals}),
+w AS (SELECT doc_id, n, @UNNEST(CAST(0 AS BIGINT);;greatest(CAST(floor((n - 100) / 50.0) AS BIGINT), CAST(0 AS BIGINT)))@ AS k FROM n),
+t AS (SELECT doc_id, n, k * 50 AS a FROM w UNION SELECT doc_id, n, greatest(n - 100, 0) FROM n),
+r AS (SELECT t.doc_id, t.a, least(t.a + 100, t.n) AS z, t.n FROM t)
+SELECT r.doc_id, r.a AS start_word, r.z AS end_word, r.z = r.n AS pinned FROM r""")
+# deterministic places for slices of 50 words: eight a text, by a hash of text and number; shorter texts have none
+query("length_matched_slices", """
+WITH n AS (SELECT doc_id, CAST(n AS BIGINT) AS n FROM {doc_totals} WHERE n >= 50), k AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS v(i))
+SELECT doc_id, i, CAST((@MOD32(concat('slice:', CAST(doc_id AS STRING), ':', CAST(i AS STRING));;4294967296)@) % (n - 49) AS BIGINT) AS start_word FROM n CROSS JOIN k""")
+# chapters begin at heading lines; what stands before the first one is chapter 0
+query("chapter_split", """
+WITH m AS (SELECT doc_id, lnum, line, CASE WHEN @MATCH(line;;^(#+ |(?i:chapter|part) [0-9IVXLC]+))@ THEN 1 ELSE 0 END AS marks FROM {lines}),
+c AS (SELECT doc_id, lnum, line, sum(marks) OVER (PARTITION BY doc_id ORDER BY lnum) AS chapter FROM m)
+SELECT doc_id, CAST(chapter AS BIGINT) AS chapter, min(lnum) AS first_line, count(*) AS n_lines, CAST(sum(@COUNT(lower(line);;[a-z']+)@) AS BIGINT) AS n_words FROM c GROUP BY doc_id, chapter""")
 query("sentence_windows", """
 WITH s AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY snum) - 1 AS k FROM {sent_words}),
 f AS (SELECT doc_id, k, sum(w) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS words, count(*) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS n FROM s)
 SELECT doc_id, k AS first_sentence, CAST(words AS BIGINT) AS words FROM f WHERE n = 5 AND k % 2 = 0""")
 query("prompt_window_placement", """
-WITH n AS (SELECT doc_id, count(*) AS n FROM {tokens} GROUP BY doc_id),
-k AS (SELECT DISTINCT pos AS i FROM {tokens} WHERE pos < 4)
+WITH n AS (SELECT doc_id, CAST(n AS BIGINT) AS n FROM {doc_totals}),
+k AS (SELECT * FROM (VALUES (0), (1), (2), (3)) AS v(i))
 SELECT doc_id, i, CAST(floor((n - 60) * i / 3.0) AS BIGINT) AS start_word, CAST(floor((n - 60) * i / 3.0) AS BIGINT) + 60 AS end_word FROM n CROSS JOIN k WHERE n >= 120""")
 query("prompt_window_overlaps", """
-WITH n AS (SELECT doc_id, count(*) AS n FROM {tokens} GROUP BY doc_id),
-k AS (SELECT DISTINCT pos AS i FROM {tokens} WHERE pos < 4),
+WITH n AS (SELECT doc_id, CAST(n AS BIGINT) AS n FROM {doc_totals}),
+k AS (SELECT * FROM (VALUES (0), (1), (2), (3)) AS v(i)),
 w AS (SELECT doc_id, i, CAST(floor((n - 60) * i / 3.0) AS BIGINT) AS a FROM n CROSS JOIN k WHERE n >= 120)
 SELECT x.doc_id, x.i AS i, y.i AS j, least(x.a, y.a) + 60 - greatest(x.a, y.a) AS shared FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.i < y.i AND x.a < y.a + 60 AND y.a < x.a + 60""")
 query("passages", """
@@ -42,6 +58,14 @@ g AS (SELECT doc_id, snum, content, sum(content) OVER (PARTITION BY doc_id, snum
 r AS (SELECT doc_id, snum, island, count(*) AS n FROM g WHERE content = 0 GROUP BY doc_id, snum, island)
 SELECT doc_id, count(*) AS runs, max(n) AS longest, CAST(sum(n) AS BIGINT) AS words FROM r WHERE n >= 2 GROUP BY doc_id""")
 
+# quoted spans, and who said them by a tag after ("..." said Ann) or before (Ann said, "..."); tags are a few verbs
+relation("quote_parts", """
+SELECT doc_id, @ALL(text;;([A-Z][a-z]+ (?:said|asked|replied|cried|answered|whispered),? )?["“][^"”\\n]+["”](?:,? (?:said|asked|replied|cried|answered|whispered) [A-Z][a-z]+|,? [A-Z][a-z]+ (?:said|asked|replied|cried|answered|whispered))?)@ AS turns FROM {documents} WHERE text IS NOT NULL""")
+query("dialogue_turns", """
+WITH t AS (SELECT doc_id, @NUMBERED(turns;;k;;turn)@ FROM {quote_parts}),
+s AS (SELECT doc_id, k, turn, @COUNT(lower(@FIRST(turn;;["“][^"”]+["”])@);;[a-z']+)@ AS words, @GROUP(turn;;^([A-Z][a-z]+) )@ AS before, @GROUP(turn;;["”],? (?:[a-z]+ )?([A-Z][a-z]+)(?: [a-z]+)?$)@ AS after FROM t)
+SELECT doc_id, k, words, CASE WHEN after <> '' THEN after WHEN before <> '' THEN before END AS speaker FROM s""")
+
 relation("sentence_stats", """
 SELECT doc_id, count(*) AS n, avg(w) AS mean, coalesce(stddev_samp(w), 0) AS sd, coalesce(var_samp(w), 0) AS variance, min(w) AS least, max(w) AS most FROM {sent_words} WHERE w > 0 GROUP BY doc_id""",
     spark="SELECT doc_id, s_n AS n, s_mean AS mean, coalesce(sqrt(s_var), 0) AS sd, coalesce(s_var, 0) AS variance, s_min AS least, s_max AS most FROM {measures} WHERE s_n > 0")
