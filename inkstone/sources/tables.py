@@ -36,7 +36,7 @@ def wide_frequencies(spark: SparkSession, path: str) -> DataFrame:
     """A wide frequency table (doc_id, then a column per feature) as doc_id, feature, value."""
     wide = spark.read.csv(path, header=True, inferSchema=True)
     rest = [c for c in wide.columns if c != "doc_id"]
-    return wide.select("doc_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in rest]).unpivot("doc_id", rest, "feature", "value")
+    return wide.select("doc_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in rest]).unpivot("doc_id", [F.col(f"`{c}`") for c in rest], "feature", "value")
 
 
 def bundled_feed(spark: SparkSession, path: str, row_tag: str = "entry") -> DataFrame:
