@@ -55,3 +55,48 @@ def test_stages(spark, tmp_path):
     for d, ids in zip(before, library(before.values()), strict=True):
         assert [i for s in sorted(got[d]) for i in got[d][s]] == ids
     assert sorted((r.doc_id, r.start, r.length) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r.doc_id, r.start, r.length) for r in pieces)
+
+
+def written(spark, folder, rows, more=()):
+    """A folder with documents (and further columns), labels and benchmark."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in more:
+        docs = docs.selectExpr("*", f"'x' AS {c}")
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"bench{i}" for i in range(20))), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+GOOD, BAD = "the quiet river ran on and on past the old mill number", "BUY NOW $$$ ### WIN"
+
+
+def test_cases_of_all_stages(spark, tmp_path):
+    """Null and repeated ids, unlike texts of one id, empty and null texts, repeated rows, clashing columns, a long text."""
+    unlike = [f"{GOOD} {k} " + " ".join(f"{GOOD.split()[j % 11]}{k}x{j}" for j in range(30)) for k in range(6)]
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(i, f"{GOOD} {i}" if i % 2 else f"{BAD} {i}", "en", "s", 1) for i in range(20)]
+    rows += [(None, unlike[0], "en", "s", 1), (None, unlike[1], "en", "s", 1), (70, unlike[2], "en", "s", 1), (70, unlike[3], "en", "s", 1), (71, unlike[4], "en", "s", 1), (71, unlike[4], "en", "s", 1), (72, None, None, None, None), (73, "", "en", "s", 0), (74, long, "en", "s", 1)]
+    sf = written(spark, tmp_path, rows, ("did", "th", "gone", "_keep", "_score", "_removed", "node", "row", "text_", "own", "_hits_of_parts", "label", "bands"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == names, name
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        texts = {r.text for r in docs.collect()}
+        assert set(unlike[:5]) <= texts, name  # none of the unlike texts is lost, whatever its id
+        assert long in texts
+    assert {c for r in docs.select("_keep", "did", "_score").collect() for c in r} == {"x"}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_empty_tables(spark, tmp_path):
+    sf = written(spark, tmp_path, [])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0, name
+    assert corpus_pipeline.run(spark, sf).count() == 0
