@@ -98,3 +98,29 @@ query("polarity_verdict", "SELECT signal, count_if(auc > 0.55) AS up_n, count_if
 query("robustness_card", """
 WITH a AS (SELECT signal, avg(CASE WHEN lang = 'en' THEN score END) AS base, avg(CASE WHEN lang = 'fr' THEN score END) AS moved FROM {scored} GROUP BY signal)
 SELECT signal, round(moved / nullif(base, 0) - 1, 5) AS rel, CASE WHEN base IS NULL OR moved IS NULL THEN 'unknown' WHEN base * moved < 0 THEN 'inverted' WHEN abs(moved - base) <= 0.1 * abs(base) THEN 'stable' WHEN abs(moved - base) <= 0.3 * abs(base) THEN 'moderate' ELSE 'fragile' END AS class FROM a""")
+
+# orientation of a signal, from twenty texts of each class on
+query("signal_polarity", """
+SELECT signal, p, n, CASE WHEN p < 20 OR n < 20 THEN 'too_few' WHEN auc > 0.55 THEN 'up' WHEN auc < 0.45 THEN 'down' ELSE 'flat' END AS polarity, CASE WHEN p >= 20 AND n >= 20 THEN round(CAST(greatest(auc, 1 - auc) AS DOUBLE), 6) END AS oriented FROM {auc_by_signal}""")
+# the best share of positives found at three budgets of false positives
+query("tpr_at_budgets", """
+WITH b AS (SELECT * FROM (VALUES (0.01), (0.05), (0.1)) AS v(budget))
+SELECT o.signal, CAST(b.budget AS DOUBLE) AS budget, round(max(CASE WHEN o.fpr <= b.budget THEN o.tpr ELSE 0 END), 6) AS tpr FROM {operating_points} o CROSS JOIN b GROUP BY o.signal, b.budget""")
+# pairs of (source, language) groups by function-word distance: does a small distance tell one source? ties count half
+relation("group_rates", "SELECT d.source, d.lang, f.word, coalesce(sum(w.c), 0) * 1.0 / max(d.n) AS rate FROM (SELECT source, lang, sum(n) AS n FROM {doc_totals} GROUP BY source, lang) d CROSS JOIN {function_words} f LEFT JOIN {doc_words} w ON w.source = d.source AND w.lang = d.lang AND w.word = f.word GROUP BY d.source, d.lang, f.word")
+relation("group_pairs", "SELECT CASE WHEN a.source = b.source THEN 1 ELSE 0 END AS same, round(CAST(sum(abs(a.rate - b.rate)) AS DOUBLE), 9) AS l1 FROM {group_rates} a JOIN {group_rates} b ON b.word = a.word AND (a.source < b.source OR (a.source = b.source AND a.lang < b.lang)) GROUP BY a.source, a.lang, b.source, b.lang")
+query("voice_pair_auc", """
+WITH c AS (SELECT l1, count_if(same = 1) AS p, count_if(same = 0) AS n FROM {group_pairs} GROUP BY l1),
+w AS (SELECT p, n, sum(n) OVER (ORDER BY l1 DESC) - n AS above FROM c)
+SELECT CAST(sum(p) AS BIGINT) AS same_pairs, CAST(sum(n) AS BIGINT) AS other_pairs, round(CAST(sum(p * (above + n / 2.0)) AS DOUBLE) / nullif(CAST(sum(p) AS DOUBLE) * sum(n), 0), 6) AS auc FROM w""")
+# each signal by each other one, by least squares
+query("signal_regressions", """
+WITH m AS (SELECT a.signal AS target, b.signal AS feature, count(*) AS n, avg(a.value) AS ma, avg(b.value) AS mb, covar_pop(a.value, b.value) AS cab, var_pop(a.value) AS va, var_pop(b.value) AS vb
+  FROM {signals} a JOIN {signals} b ON b.doc_id = a.doc_id AND b.signal <> a.signal WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.signal, b.signal)
+SELECT target, feature, n, round(cab / nullif(vb, 0), 4) AS slope, round(ma - cab / nullif(vb, 0) * mb, 3) AS intercept, round(cab * cab / nullif(va * vb, 0), 5) AS r2 FROM m""")
+# whole texts against their windows of 100 words: agreement of two measures of variety, from three windows on
+query("segment_agreement", """
+WITH w AS (SELECT doc_id, CAST(floor(pos / 100) AS BIGINT) AS win, count(DISTINCT word) AS kinds, count(*) AS n FROM {tokens} GROUP BY doc_id, CAST(floor(pos / 100) AS BIGINT)),
+s AS (SELECT doc_id, count(*) AS windows, avg(CAST(kinds AS DOUBLE) / n) AS ttr FROM w WHERE n = 100 GROUP BY doc_id HAVING count(*) >= 3),
+j AS (SELECT s.ttr, m.mattr FROM s JOIN {mattr} m ON m.doc_id = s.doc_id)
+SELECT count(*) AS texts, round(corr(ttr, mattr), 5) AS pearson, round(avg(abs(ttr - mattr)), 5) AS mean_difference FROM j""")

@@ -59,3 +59,24 @@ query("paraphrase_decay", """
 WITH b AS (SELECT conv_id, turn, length(text) AS v, first_value(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS base FROM {conversations}),
 r AS (SELECT conv_id, turn, abs(v - base) * 1.0 / nullif(base, 0) AS rel FROM b), m AS (SELECT conv_id, rel, lag(rel) OVER (PARTITION BY conv_id ORDER BY turn) AS before_rel FROM r)
 SELECT conv_id, bool_and(before_rel IS NULL OR rel >= before_rel - 1e-12) AS monotone, round(max(rel), 5) AS most FROM m GROUP BY conv_id""")
+
+# drafts of one conversation in order: each turn with every earlier one by the words that they share; its best earlier turn, and how many tie
+relation("turn_words", "SELECT DISTINCT conv_id, turn, word FROM {chat_tokens}")
+relation("turn_sizes", "SELECT conv_id, turn, count(*) AS n FROM {turn_words} GROUP BY conv_id, turn")
+query("draft_best_pairs", """
+WITH s AS (SELECT a.conv_id, a.turn AS earlier, b.turn AS later, count(*) AS common FROM {turn_words} a JOIN {turn_words} b ON b.conv_id = a.conv_id AND b.word = a.word AND a.turn < b.turn GROUP BY a.conv_id, a.turn, b.turn),
+j AS (SELECT s.conv_id, s.earlier, s.later, round(CAST(common AS DOUBLE) / (x.n + y.n - common), 9) AS jaccard FROM s JOIN {turn_sizes} x ON x.conv_id = s.conv_id AND x.turn = s.earlier JOIN {turn_sizes} y ON y.conv_id = s.conv_id AND y.turn = s.later),
+r AS (SELECT conv_id, later, earlier, jaccard, rank() OVER (PARTITION BY conv_id, later ORDER BY jaccard DESC) AS k FROM j)
+SELECT conv_id, later, min(earlier) AS best, round(max(jaccard), 6) AS jaccard, count(*) AS ties FROM r WHERE k = 1 GROUP BY conv_id, later""")
+# a turn against the one before: what has changed
+query("turn_deltas", """
+WITH m AS (SELECT conv_id, turn, count(*) AS words, count(DISTINCT word) AS kinds FROM {chat_tokens} GROUP BY conv_id, turn)
+SELECT b.conv_id, b.turn, b.words - a.words AS d_words, b.kinds - a.kinds AS d_kinds, round(CAST(b.kinds AS DOUBLE) / b.words - CAST(a.kinds AS DOUBLE) / a.words, 6) AS d_ratio FROM m a JOIN m b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
+# the arc of a work over its ordered labels (events stand for paragraphs): where it opens, how often a label follows itself, how much one label holds
+query("label_arcs", """
+WITH o AS (SELECT user_id AS work, event_type AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM {events})
+SELECT work, min(CASE WHEN k = 1 THEN label END) AS opening, count(*) AS labels, count(DISTINCT label) AS kinds, count_if(nxt IS NOT NULL) AS steps, round(CAST(count_if(nxt = label) AS DOUBLE) / nullif(count_if(nxt IS NOT NULL), 0), 6) AS stay_rate FROM o GROUP BY work""")
+query("label_transitions", """
+WITH o AS (SELECT user_id, event_type AS label, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM {events}),
+c AS (SELECT label, nxt, count(*) AS n FROM o WHERE nxt IS NOT NULL GROUP BY label, nxt), t AS (SELECT label, sum(n) AS n FROM c GROUP BY label)
+SELECT c.label, c.nxt AS next_label, c.n, round(CAST(c.n AS DOUBLE) / t.n, 6) AS rate FROM c JOIN t ON t.label = c.label""")

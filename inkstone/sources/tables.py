@@ -42,3 +42,12 @@ def wide_frequencies(spark: SparkSession, path: str) -> DataFrame:
 def bundled_feed(spark: SparkSession, path: str, row_tag: str = "entry") -> DataFrame:
     """Entries of an Atom export."""
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
+
+
+def pool(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """entries (with text, text_path or both) with the text of a file where they hold none; files: path, text. Paths match by their ends."""
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path").alias("found"), F.col("text").alias("of_file"))
+    wanted = entries.withColumn("name", F.element_at(F.split("text_path", "/"), -1))
+    near = F.endswith(F.col("found"), F.concat(F.lit("/"), F.ltrim(F.col("text_path"), F.lit("./"))))
+    joined = wanted.join(named, (wanted["name"] == named["name"]) & near, "left")
+    return joined.select(*[F.coalesce("text", "of_file").alias("text") if c == "text" else F.col(c) for c in entries.columns])

@@ -115,3 +115,24 @@ def test_sinks(spark, tmp_path):
     assert out[0]["schema_version"] == "1.0" and out[0]["task_surface"] == "s" and json.loads(out[0]["results"])["v"] == 1.0
     with pytest.raises(Exception, match="non-finite"):
         sinks.envelope(rows.withColumn("v", F.lit(float("nan"))), "s").collect()
+
+
+def test_publication_ledgers_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    sinks.publish(rows, str(tmp_path / "out"))
+    with pytest.raises(FileExistsError):
+        sinks.publish(rows, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    ledger, more = str(tmp_path / "ledger"), spark.createDataFrame([("b", 3), ("c", 4)], rows.schema)
+    sinks.append_ledger(rows, ledger, "k")
+    with pytest.raises(ValueError):
+        sinks.append_ledger(more, ledger, "k")
+    assert sorted(map(tuple, sinks.append_ledger(more, ledger, "k", replace=True).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    text = sinks.markdown_report(spark.createDataFrame([("x|y", None), ("z", 1.5)], "a string, b double").orderBy("a"), "T", 1)
+    assert text.split("\n")[:5] == ["# T", "", "| a | b |", "|---|---|", "| x\\|y |  |"] and "first 1 of 2" in text
+
+
+def test_pool(spark):
+    entries = spark.createDataFrame([(1, "inline", None), (2, None, "texts/a.txt"), (3, None, "./b.txt"), (4, None, "gone.txt")], "id int, text string, text_path string")
+    files = spark.createDataFrame([("file:/x/texts/a.txt", "A"), ("file:/x/other/a.txt", "no"), ("file:/x/b.txt", "B")], "path string, text string")
+    assert {r.id: r.text for r in tables.pool(entries, files).collect()} == {1: "inline", 2: "A", 3: "B", 4: None}
