@@ -117,7 +117,7 @@ SELECT CAST(sum(p) AS BIGINT) AS same_pairs, CAST(sum(n) AS BIGINT) AS other_pai
 query("signal_regressions", """
 WITH m AS (SELECT a.signal AS target, b.signal AS feature, count(*) AS n, avg(a.value) AS ma, avg(b.value) AS mb, covar_pop(a.value, b.value) AS cab, var_pop(a.value) AS va, var_pop(b.value) AS vb
   FROM {signals} a JOIN {signals} b ON b.doc_id = a.doc_id AND b.signal <> a.signal WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.signal, b.signal)
-SELECT target, feature, n, round(cab / nullif(vb, 0), 4) AS slope, round(ma - cab / nullif(vb, 0) * mb, 3) AS intercept, round(cab * cab / nullif(va * vb, 0), 5) AS r2 FROM m""")
+SELECT target, feature, n, round(cab / nullif(vb, 0), 4) + 0.0 AS slope, round(ma - cab / nullif(vb, 0) * mb, 3) + 0.0 AS intercept, round(cab * cab / nullif(va * vb, 0), 5) AS r2 FROM m""")
 # whole texts against their windows of 100 words: agreement of two measures of variety, from three windows on
 query("segment_agreement", """
 WITH w AS (SELECT doc_id, CAST(floor(pos / 100) AS BIGINT) AS win, count(DISTINCT word) AS kinds, count(*) AS n FROM {tokens} GROUP BY doc_id, CAST(floor(pos / 100) AS BIGINT)),
