@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import blobs, cut_table, partitions, text_groups
+from inkstone.llm.common import blobs, cut_table, packed_texts, partitions, text_groups, whole_texts
 from inkstone.llm.grouping import suffix_array
 from inkstone.llm.kernels import U, spread
 
@@ -38,6 +38,7 @@ GRAM = 16
 MOST = 64  # strings in a segment
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U)
 SEGMENT_GROUP = 1 << 19  # bytes of text at a time: temporaries stay in the cache
+BUCKET_BYTES = 256 << 20  # of text in a bucket, at most
 FLUSH = 1 << 20  # segments that a task gathers before it deals them out
 
 
@@ -236,10 +237,9 @@ CONTEXTS = "bucket int, doc long, th long, at long, size int, key long, bytes bi
 
 def _fetch(buckets: int, span: int):
     def run(batches):
-        for batch in batches:
+        for batch in whole_texts(batches):
             out = {c: [] for c in ("bucket", "doc", "th", "at", "size", "key", "bytes")}
-            for doc, th, text, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = text.encode()
+            for doc, th, raw, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 own = np.frombuffer(blob, _SPANS)
                 n = len(own)
                 out["doc"] += [doc] * n
@@ -353,7 +353,7 @@ def _group(span: int, buckets: int):
 
 def _finish(span: int):
     def run(batches):
-        for texts in text_groups(batches):
+        for texts in text_groups(whole_texts(batches)):
             n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
             spans = texts.rows.column("spans").to_pylist()
             for i, blob in enumerate(spans):
@@ -382,18 +382,20 @@ def _finish(span: int):
 def deduplicate(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     spark = docs.sparkSession
-    n = partitions(spark)  # also the number of buckets: keys and documents are dealt evenly, by partition number
+    n = partitions(spark)  # at least so many buckets: keys and documents are dealt evenly, by partition number
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("th", F.xxhash64("text").bitwiseAND(0xFFFFFFFF))  # tells rows of one doc_id apart
+    n = max(n, -(-(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))  # buckets grow with the input
+    small = base.mapInArrow(packed_texts, "doc_id long, text binary, th long")
     packed = base.where("doc_id is not null").mapInArrow(_segmenter(n, span), PACKED)
     dealt = cut_table(packed.repartitionById(n, F.col("bucket")).mapInArrow(_settle(n), PACKED))
     of_doc = lambda rows, names: rows.repartitionById(n, F.col("bucket")).mapInArrow(_per_document(names), PER_DOC)
     opened = of_doc(dealt.where("open is not null").select("bucket", F.col("open").alias("spans")), OPEN)
-    with_open = base.join(opened, (F.col("doc_id") == F.col("doc")) & (base["th"] == opened["th"])).select("doc_id", base["th"], "text", "spans")
+    with_open = small.join(opened, (F.col("doc_id") == F.col("doc")) & (small["th"] == opened["th"])).select("doc_id", small["th"], "text", "spans")
     contexts = with_open.mapInArrow(_fetch(n, span), CONTEXTS)
     found = contexts.repartitionById(n, F.col("bucket")).mapInArrow(_group(span, n), SPANS)
     gone = of_doc(dealt.where("settled is not null").select("bucket", F.col("settled").alias("spans")).unionByName(found), SETTLED)
-    last = base.join(gone, (F.col("doc_id") == F.col("doc")) & (base["th"] == gone["th"]), "left").select("doc_id", "text", "spans")
+    last = small.join(gone, (F.col("doc_id") == F.col("doc")) & (small["th"] == gone["th"]), "left").select("doc_id", "text", "spans")
     return last.mapInArrow(_finish(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
