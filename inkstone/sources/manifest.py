@@ -32,11 +32,11 @@ RULES: tuple[tuple[str, str, str, str], ...] = (
     ("error", "use", "validation_in_baseline_split", f"{_has('validation')} AND split = 'baseline'"),
     ("warning", "use", "baseline_outside_its_split", f"{_has('baseline')} AND split IN ('train', 'test', 'holdout')"),
     ("error", "use", "profile_only_register", f"register IN {_in(R.PROFILE_ONLY_REGISTERS)} AND {_has('baseline')}"),
-    ("warning", "privacy", "voiceprint_not_private", f"{_has('voice_profile', 'idiolect')} AND coalesce(privacy, '') <> 'private'"),
+    ("warning", "privacy", "voice_not_private", f"{_has('voice_profile', 'idiolect')} AND coalesce(privacy, '') <> 'private'"),
     ("warning", "ai_status", "coauthored_human", "ai_status = 'pre_ai_human' AND editing_status = 'coauthored'"),
     ("warning", "ai_status", "mixed_without_states", "ai_status = 'mixed' AND coalesce(composite_states, 0) = 0"),
     ("warning", "language_status", "learner_baseline", f"language_status IN ('non_native_advanced', 'non_native_intermediate', 'learner') AND {_has('baseline')}"),
-    ("warning", "language_status", "learner_voiceprint", f"language_status IN ('non_native_advanced', 'non_native_intermediate', 'learner') AND {_has('voice_profile', 'idiolect')}"),
+    ("warning", "language_status", "learner_voice", f"language_status IN ('non_native_advanced', 'non_native_intermediate', 'learner') AND {_has('voice_profile', 'idiolect')}"),
     ("error", "word_count", "negative", "word_count < 0"),
     *(("error", f, "impostor_without", f"corpus_role = 'impostor' AND {_void(f)}") for f in ("register_match", "topic_match", "consent_status", "era", "acquired_via")),
     ("error", "impostor_for", "impostor_without", "corpus_role = 'impostor' AND coalesce(n_impostor_for, 0) = 0"),

@@ -23,7 +23,7 @@ CASES = [
     ({"used": ["validation"]}, [("error", "use", "validation_in_baseline_split")]),
     ({"split": "test"}, [("warning", "use", "baseline_outside_its_split")]),
     ({"register": "message.imessage"}, [("error", "use", "profile_only_register")]),
-    ({"used": ["idiolect"]}, [("warning", "privacy", "voiceprint_not_private")]),
+    ({"used": ["idiolect"]}, [("warning", "privacy", "voice_not_private")]),
     ({"used": ["idiolect"], "privacy": "private"}, []),
     ({"editing_status": "coauthored"}, [("warning", "ai_status", "coauthored_human")]),
     ({"ai_status": "mixed"}, [("warning", "ai_status", "mixed_without_states")]),
