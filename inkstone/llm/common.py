@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,24 +87,6 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
     give_back()
 
 
-def packed_texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The column's texts compressed each for itself, as binary: they travel in some two thirds of what a shuffle's own compression leaves."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        at = batch.schema.get_field_index(column)
-        texts = pa.array([None if t is None else pack(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
-        yield batch.set_column(at, pa.field(column, pa.binary()), texts)
-
-
-def whole_texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """What packed_texts() packed, as UTF-8 bytes."""
-    whole = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        at = batch.schema.get_field_index(column)
-        texts = pa.array([None if t is None else whole(t) for t in batch.column(at).to_pylist()], pa.binary())
-        yield batch.set_column(at, pa.field(column, pa.binary()), texts)
-
-
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column: row i takes the next counts[i] values."""
     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
