@@ -264,6 +264,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _verifier(threshold: float):
     def run(batches):
+        # rows of a unit come by node, so that units of one dense group tie it to the same few least nodes
         for rows, edges in whole_units(batches, ("h", "i", "j")):
             own, i, j, sizes = (rows.column(c).to_numpy() for c in ("block", "i", "j", "size"))
             prints, nodes = rows.column("print").to_pylist(), rows.column("node").to_pylist()
@@ -287,32 +288,50 @@ def _verifier(threshold: float):
     return run
 
 
-def band_keys(bands: int, samples: int) -> list:
-    """Columns of keys of a print (hexadecimal digits in `digits`): level, band and sampled notes of two octaves below the level."""
+def band_keys(notes: np.ndarray, sizes: np.ndarray, bands: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of each print in each band: level, band and sampled notes of two octaves below the level."""
     rng = np.random.default_rng(5)
     picks = [sorted(rng.choice(2 * SAMPLES, samples, replace=False).tolist()) for _ in range(bands)]
-    octaves = F.ceil(F.col("size") / SAMPLES).cast("int")
-    filled = F.col("size") - (octaves - 1) * SAMPLES  # samples of the last octave
-    keys = []
+    octaves = -(-sizes // SAMPLES)
+    filled = sizes - (octaves - 1) * SAMPLES  # samples of the last octave
+    wide = np.concatenate((notes, np.full((len(notes), 2 * SAMPLES), ABSENT, np.uint8)), axis=1)
+    rows, keys = [], []
     for back in (1, 2):
-        level = F.greatest(octaves - back, F.lit(0))
-        part = F.substring(F.col("digits"), F.greatest((level - 2) * SAMPLES, F.lit(0)) + 1, F.lit(2 * SAMPLES))
-        own = [F.xxhash64(level, F.lit(b), *[F.substring(part, p + 1, 1) for p in pick]) for b, pick in enumerate(picks)]
-        keys += own if back == 1 else [F.when(filled <= SAMPLES * 0.4, k) for k in own]
-    return keys
+        own = np.arange(len(sizes)) if back == 1 else np.flatnonzero((octaves >= 2) & (filled <= SAMPLES * 0.4))
+        level = np.maximum(octaves[own] - back, 0)
+        start = np.maximum((level - 2) * SAMPLES, 0)
+        for b, pick in enumerate(picks):
+            key = spread(level.astype(U) * U(64) + U(b))
+            for p in pick:
+                key = spread(key ^ (wide[own, np.minimum(start + p, wide.shape[1] - 1)].astype(U) + U(1)))
+            rows.append(own)
+            keys.append(key)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _keyer(bands: int, samples: int):
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(2).to_numpy().astype(np.int64)
+            for at in range(0, len(sizes), 2000):
+                own = slice(at, at + 2000)
+                notes = unpacked(batch.column(1)[own].to_pylist(), sizes[own].tolist())
+                row, key = band_keys(notes, sizes[own], bands, samples)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[own].take(pa.array(row)), pa.array(key.view(np.int64))], ["nid", "h"])
+
+    return run
 
 
 def class_of(prints: DataFrame, threshold: float = 0.8, bands: int = BANDS, samples: int = BAND_SAMPLES, block: int = BLOCK) -> DataFrame:
     """node, class_id (the least doc_id of the class), shared, for prints (node, doc_id, print, size) that are not alone."""
     n = partitions(prints.sparkSession)
     own = cut_table(prints.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("print").alias("print"), F.first("size").alias("size")))
-    keys = F.array_distinct(F.array_compact(F.array(*band_keys(bands, samples))))
-    keyed = own.where("size > 0").withColumn("digits", F.lower(F.hex("print"))).select(F.xxhash64("node").alias("nid"), F.explode(keys).alias("h"))
+    keyed = own.where("size > 0").select(F.xxhash64("node").alias("nid"), "print", "size").mapInArrow(_keyer(bands, samples), "nid long, h long")
     buckets = cut_table(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     dealt = keyed.join(buckets, "h").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid")
     with_prints = units.join(own.select(F.xxhash64("node").alias("nid"), "node", "print", "size"), "nid")  # two nodes of one nid only share a unit
-    ties = cut_table(with_prints.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_verifier(threshold), "a binary, b binary"))
+    ties = cut_table(with_prints.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j", "node").mapInArrow(_verifier(threshold), "a binary, b binary"))
     rooted = own.select("node", "copies", "rep").join(components(ties), "node", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
     return rooted.join(named, "root").select("node", "class_id", F.lit(True).alias("shared"))
