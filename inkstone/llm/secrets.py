@@ -2,14 +2,18 @@
 
 Every version of a document is content-addressed by the SHA-256 of its text: versions() is the table of what stood where.
 The ledger is a table in the shared folder with, per blob, the rules (kind@version) under which it was scanned and what
-they found. A run takes the distinct blobs of all versions, asks the ledger which rules each has not been scanned under,
-scans those pairs alone, appends what it found, and joins the ledger's findings under the present rules back to every
-path. A rule that gets a new version is run again by itself over all blobs; the others are not.
-
-Cases: a null text is an empty one; an empty text has no finding; equal texts are one blob and scanned once, however many
-rows hold them (copies collapse before the shuffle); a null doc_id is a path like any other; repeated rows give a row
-each; spans that start together come in the order of KINDS; a very long text is scanned whole; an empty table gives no
-row; a ledger that does not exist yet is empty; extra columns of any name are ignored.
+they found. A run takes the blobs of all versions, asks the ledger which rules each has not been scanned under, scans
+those pairs alone, appends what it found, and joins the ledger's findings under the present rules back to every path. A
+rule that gets a new version is run again by itself over all blobs; the others are not. Where there is no ledger yet,
+every pair is to be scanned and texts are read where they lie: only blobs and findings travel. A kept ledger meets the
+texts in a join over blobs, for which each distinct text travels once.
+
+Cases: a null text is an empty one; an empty text has no finding; equal texts are one blob with one row in the ledger,
+however many rows hold them; a task passes over copies of what it has scanned, and with a kept ledger copies collapse
+before the shuffle, but without one a text that stands in several tasks (or MOST_BLOBS other texts apart in one) is
+scanned in each and its findings, which are the same, are kept once; a null doc_id is a path like any other; repeated
+rows give a row each; spans that start together come in the order of KINDS; a very long text is scanned whole; an empty
+table gives no row; a ledger that does not exist yet is empty; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ BASE = KINDS[:3]
 RULES = {"assign": "1", "access": "1", "hex": "1", "pem": "1", "url": "1"}
 LEDGER = "blob binary, rules array<string>, hits array<struct<rule: string, start: int, end: int>>"
 
+#: A task remembers so many blobs as scanned, some 130 bytes each, before it begins anew.
+MOST_BLOBS = 1 << 18
+
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _WORDS = ("passw", "secret", "token", "api_key", "apikey")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -60,8 +67,16 @@ _HITS = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int32()), ("end"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done: set[bytes] = set()
     for batch in batches:
-        hits = []
+        hits, new = [], []
+        for i, blob in enumerate(batch.column(0).to_pylist()):
+            if blob not in done:
+                if len(done) >= MOST_BLOBS:
+                    done.clear()
+                done.add(blob)
+                new.append(i)
+        batch = batch.take(pa.array(new, pa.int64())) if len(new) < batch.num_rows else batch
         for text, rules in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
             named = {r.split("@")[0]: r for r in rules}
             hits.append([{"rule": named[k], "start": a, "end": b} for k, a, b in find(text.as_py() or "", named)])
@@ -90,18 +105,26 @@ def unseen(docs: DataFrame, ledger: DataFrame, rules: dict[str, str] = RULES) ->
     return texts.join(seen, "blob", "left").select("blob", "text", missing.alias("rules")).where(F.size("rules") > 0)
 
 
+def is_kept(docs: DataFrame, path: str) -> bool:
+    spark = docs.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def ledger_at(docs: DataFrame, path: str) -> DataFrame:
     """The ledger kept at path; empty where there is none yet."""
     spark = docs.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(path)
+    return spark.read.schema(LEDGER).parquet(path) if is_kept(docs, path) else spark.createDataFrame([], LEDGER)
 
 
 def scan_into(docs: DataFrame, path: str, rules: dict[str, str] = RULES) -> DataFrame:
     """Scans what the ledger at path lacks, appends it, and returns the ledger. Rows of an append that was broken off are not committed and are scanned again."""
-    unseen(docs, ledger_at(docs, path), rules).mapInArrow(_scan, LEDGER).write.mode("append").parquet(path)
+    if is_kept(docs, path):
+        pairs = unseen(docs, ledger_at(docs, path), rules)
+    else:  # all pairs, and no exchange of texts
+        pairs = docs.select(blob_of().alias("blob"), F.coalesce("text", F.lit("")).alias("text"), F.array(*[F.lit(r) for r in present(rules)]).alias("rules"))
+    files = docs.sparkSession.sparkContext.defaultParallelism  # of an append
+    pairs.mapInArrow(_scan, LEDGER).repartition("blob").dropDuplicates(["blob"]).coalesce(files).write.mode("append").parquet(path)
     return ledger_at(docs, path)
 
 

@@ -218,6 +218,39 @@ def test_secrets_ledger_is_incremental(spark, tmp_path, monkeypatch):
     assert key(secrets.findings(more, path, rules)) == key(secrets.findings(more))
 
 
+def test_secrets_are_scanned_where_texts_lie(spark, tmp_path):
+    """A new ledger moves blobs and findings, not texts; its rows are one a blob, though copies stand in many tasks."""
+    rng = np.random.default_rng(6)
+    texts = ["token = abcdef1 " + rng.bytes(250_000).hex() for _ in range(12)]
+    frame(spark, texts * 2 + SECRETS).repartition(9).write.parquet(str(tmp_path / "docs"))
+    docs, sc = spark.read.parquet(str(tmp_path / "docs")), spark.sparkContext
+
+    def moved():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = moved()
+    ledger = secrets.scan_into(docs, str(tmp_path / "ledger"))
+    assert sum(n for k, n in moved().items() if k not in before) < 200_000  # the texts are 6 MB
+    assert ledger.count() == ledger.select("blob").distinct().count() == len({t or "" for t in texts + SECRETS})
+    out = {r.doc_id: r for r in secrets.findings(docs, str(tmp_path / "ledger")).collect()}
+    for i, t in enumerate(texts * 2 + SECRETS):
+        assert out[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(t or "")).encode()).hexdigest()
+
+
+def test_a_task_scans_copies_once(monkeypatch):
+    batch = lambda texts: secrets.pa.RecordBatch.from_pydict({"blob": [hashlib.sha256(t.encode()).digest() for t in texts], "text": texts, "rules": [["hex@1", "access@1"]] * len(texts)})
+    batches = [batch(["f" * 24, "a", "f" * 24]), batch(["a", "a"]), batch(["b", "f" * 24, "AKIA" + "A" * 16])]
+    scanned = lambda: [(r["blob"], [h["rule"] for h in r["hits"]]) for b in secrets._scan(iter(batches)) for r in b.to_pylist()]
+    key = lambda t: hashlib.sha256(t.encode()).digest()
+    want = [(key("f" * 24), ["hex@1"]), (key("a"), []), (key("b"), []), (key("AKIA" + "A" * 16), ["access@1"])]
+    assert scanned() == want
+    monkeypatch.setattr(secrets, "MOST_BLOBS", 2)  # what is forgotten is scanned again, nothing is left out
+    again = scanned()
+    assert len(again) > 4 and all(x in want for x in again) and all(x in again for x in want)
+
+
 def test_secrets_of_all_versions(spark, tmp_path):
     rows = [(1, 1, "token = abcdef1"), (1, 2, "nothing"), (2, 1, "token = abcdef1"), (None, 1, None)]
     docs = spark.createDataFrame(rows, "doc_id long, v int, text string")
