@@ -19,12 +19,13 @@ query("delta_pairs", "SELECT a.source AS a, b.source AS b, round(avg(abs(a.z - b
 query("cosine_to_centroid", """
 WITH c AS (SELECT word, avg(rate) AS m FROM {function_rates} GROUP BY word)
 SELECT r.source, round(1 - sum(r.rate * c.m) / (sqrt(sum(r.rate * r.rate)) * sqrt(sum(c.m * c.m))), 6) AS distance FROM {function_rates} r JOIN c ON c.word = r.word GROUP BY r.source""")
-query("char_ngram_delta_by_lang", """
-WITH g AS (SELECT lang, gram, count(*) AS c FROM {trigrams} GROUP BY lang, gram), n AS (SELECT lang, sum(c) AS n FROM g GROUP BY lang),
+_LANG_DELTA = """, n AS (SELECT lang, sum(c) AS n FROM g GROUP BY lang),
 top AS (SELECT gram FROM (SELECT gram, sum(c) AS c FROM g GROUP BY gram) x ORDER BY c DESC, gram LIMIT 200),
 r AS (SELECT n.lang, t.gram, coalesce(g.c, 0) * 1.0 / n.n AS rate FROM n CROSS JOIN top t LEFT JOIN g ON g.lang = n.lang AND g.gram = t.gram),
 b AS (SELECT gram, avg(rate) AS m, stddev_pop(rate) AS sd FROM r GROUP BY gram)
-SELECT r.lang, round(avg(abs((r.rate - m) / nullif(sd, 0))), 5) AS delta FROM r JOIN b ON b.gram = r.gram GROUP BY r.lang""")
+SELECT r.lang, round(avg(abs((r.rate - m) / nullif(sd, 0))), 5) AS delta FROM r JOIN b ON b.gram = r.gram GROUP BY r.lang"""
+query("char_ngram_delta_by_lang", """
+WITH g AS (SELECT lang, gram, count(*) AS c FROM {trigrams} GROUP BY lang, gram)""" + _LANG_DELTA, spark="\nWITH g AS (SELECT lang, gram, c FROM {trigram_counts})" + _LANG_DELTA)
 relation("bigram_counts", """
 WITH t AS (SELECT lang, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM {tokens}) SELECT lang, concat(t.word, ' ', nxt) AS bigram, count(*) AS c FROM t JOIN {function_words} f ON f.word = t.word WHERE nxt IS NOT NULL GROUP BY lang, concat(t.word, ' ', nxt)""")
 _PAIR = """
