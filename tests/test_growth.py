@@ -1,10 +1,12 @@
 """Queries at size: what a task holds and what travels is bounded, with the results of plain loops."""
 
+import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from inkstone.functions import counts
+from inkstone.functions import counts, tiles
 from inkstone.queries import QUERIES
 
 
@@ -31,3 +33,33 @@ def test_trigrams_are_counted_in_tasks(spark, corpus):
     docs = spark.read.parquet(sf + "/documents.parquet")
     few = counts.counted(docs.selectExpr("lang", "lower(text)"), counts.runs(3), "gram", held=2)
     assert {(r.lang, r.gram): r.c for r in few.collect()} == want
+
+
+def test_pairs_of_vectors_by_tiles(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    vectors = [(i, i % 2, rng.normal(size=3 + i % 2).round(2).tolist()) for i in range(40)]
+    vectors += [(40 + i, 2, [1.0, 2.0]) for i in range(9)] + [(60, 3, [1.0]), (61, 3, []), (62, None, [1.0]), (63, 3, None)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    packed = tiles.blocks(spark, str(tmp_path), 4)
+    assert packed.where("label = 0").count() > 2
+    units = {i: (label, [x / math.hypot(*v) for x in v]) for i, label, v in vectors if v and label is not None}
+    dot = lambda i, j: sum(x * y for x, y in zip(units[i][1], units[j][1], strict=False))
+    pairs = {(i, j): dot(i, j) for i in units for j in units if i < j and units[i][0] == units[j][0]}
+    got = {(r.i, r.j): r.cosine for r in tiles.every_pair(packed).collect()}
+    assert got.keys() == pairs.keys() and all(math.isclose(got[k], pairs[k], abs_tol=1e-12) for k in pairs)
+    found = {}
+    for r in tiles.nearest(packed, 3).collect():
+        found.setdefault(r.i, []).append((-r.g, r.j))
+    for i, best in found.items():
+        want = sorted((-round(pairs[min(i, j), max(i, j)], 7), j) for j in units if j != i and units[j][0] == units[i][0])[:3]
+        assert [j for _, j in sorted(best)[:3]] == [j for _, j in want]
+    assert found.keys() == units.keys() - {60}
+    spread = {r.label: r for r in tiles.homogeneity(packed).collect()}
+    for label in (0, 1, 2):
+        values = [g for (i, _), g in pairs.items() if units[i][0] == label]
+        r, n = spread[label], sum(u[0] == label for u in units.values())
+        want = (n, np.mean(values), np.std(values, ddof=1), min(values), np.median(values), n * n / (n + 2 * sum(g * g for g in values)))
+        assert all(math.isclose(a, b, abs_tol=1e-7) for a, b in zip((r.n, r.mean, r.sd, r.least, r.p50, r.modes), want, strict=True))
+    assert (spread[3].n, spread[3].mean, spread[3].p50, spread[3].modes) == (1, None, None, 1.0)
+    for name in ("cosine_pairs", "embedding_neighbours", "embedding_homogeneity"):
+        assert "posexplode" not in plan(QUERIES[name](spark, str(tmp_path)))  # no row a value, which is joined for each pair
