@@ -54,14 +54,16 @@ query("novelty_distribution", "SELECT signal, round(min(value), 4) AS least, rou
 relation("unit_vectors", "SELECT v.vec_id, v.label, v.dim, v.x / n.norm AS x FROM {vector_values} v JOIN (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM {vector_values} GROUP BY vec_id) n ON n.vec_id = v.vec_id")
 query("embedding_homogeneity", """
 WITH p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, sum(a.x * b.x) AS g FROM {unit_vectors} a JOIN {unit_vectors} b ON a.label = b.label AND a.dim = b.dim GROUP BY a.label, a.vec_id, b.vec_id)
-SELECT label, count(DISTINCT i) AS n, round(avg(CASE WHEN i < j THEN g END), 5) AS mean_cosine, round(stddev_samp(CASE WHEN i < j THEN g END), 5) AS sd, round(min(CASE WHEN i < j THEN g END), 5) AS least, round(@PCT(CASE WHEN i < j THEN g END;;0.5)@, 5) AS p50, round(power(sum(CASE WHEN i = j THEN g ELSE 0 END), 2) / sum(g * g), 4) AS effective_modes FROM p GROUP BY label""")
+SELECT label, count(DISTINCT i) AS n, round(avg(CASE WHEN i < j THEN g END), 5) AS mean_cosine, round(stddev_samp(CASE WHEN i < j THEN g END), 5) AS sd, round(min(CASE WHEN i < j THEN g END), 5) AS least, round(@PCT(CASE WHEN i < j THEN g END;;0.5)@, 5) AS p50, round(power(sum(CASE WHEN i = j THEN g ELSE 0 END), 2) / sum(g * g), 4) AS effective_modes FROM p GROUP BY label""", spark="""
+SELECT label, n, round(mean, 5) AS mean_cosine, round(sd, 5) AS sd, round(least, 5) AS least, round(p50, 5) AS p50, round(modes, 4) AS effective_modes FROM {cosine_spread}""")
 query("centroid_proximity", """
 WITH c AS (SELECT label, dim, avg(x) AS x FROM {unit_vectors} GROUP BY label, dim)
 SELECT v.vec_id, round(sum(v.x * c.x) / sqrt(sum(c.x * c.x)), 5) AS cosine FROM {unit_vectors} v JOIN c ON c.label = v.label AND c.dim = v.dim GROUP BY v.vec_id""")
 query("embedding_neighbours", """
 WITH p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(sum(a.x * b.x), 7) AS g FROM {unit_vectors} a JOIN {unit_vectors} b ON a.label = b.label AND a.dim = b.dim AND a.vec_id <> b.vec_id GROUP BY a.label, a.vec_id, b.vec_id),
 r AS (SELECT label, i, j, g, row_number() OVER (PARTITION BY i ORDER BY g DESC, j) AS k FROM p)
-SELECT label, i, j, round(g, 5) AS cosine, k FROM r WHERE k <= 3""")
+SELECT label, i, j, round(g, 5) AS cosine, k FROM r WHERE k <= 3""", spark="""
+SELECT label, i, j, round(g, 5) AS cosine, k FROM (SELECT label, i, j, g, row_number() OVER (PARTITION BY i ORDER BY g DESC, j) AS k FROM {nearest_cosines}) r WHERE k <= 3""")
 query("distinct_clusters", """
 WITH p AS (SELECT label, dim, avg(x) AS m, stddev_pop(x) AS sd FROM {vector_values} GROUP BY label, dim)
 SELECT label, round(sqrt(sum(m * m)), 5) AS centroid_norm, round(avg(sd), 5) AS spread FROM p GROUP BY label""")
