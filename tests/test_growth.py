@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -79,3 +80,11 @@ def test_deletions_in_one_pass(spark, corpus):
             shares.append(len({words[p] for p in order[len(words) // 10 :]}) / len(set(words)))
         assert got.pop(doc_id) == (30, round(1 - sum(shares) / 30, 6))
     assert not got
+
+
+def test_kickers_take_time_of_the_line(spark, corpus):
+    long = "word " * 60_000  # no mark: each start in it was tried to its end
+    sf = corpus([(0, f"{long}\nOne. Two three.\nNo end\nAt 5.\nThe End.\n. . !\n\t.", "en", "s")])
+    start = time.time()
+    r = QUERIES["kicker_density"](spark, sf).collect()[0]
+    assert (r.paragraphs, r.kickers) == (7, 1) and time.time() - start < 30
