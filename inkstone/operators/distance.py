@@ -6,12 +6,15 @@ query("signal_baseline", "SELECT d.source, s.signal, count(*) AS n, round(avg(va
 query("source_zscores", """
 WITH b AS (SELECT signal, avg(value) AS m, stddev_samp(value) AS sd FROM {signals} WHERE value IS NOT NULL GROUP BY signal)
 SELECT s.doc_id, s.signal, round((s.value - b.m) / nullif(b.sd, 0), 4) AS z FROM {signals} s JOIN b ON b.signal = s.signal WHERE s.value IS NOT NULL""")
-query("feature_selection", """
+_MOST = """
 WITH f AS (SELECT w.word, sum(c) AS n FROM {doc_words} w JOIN {function_words} f ON f.word = w.word GROUP BY w.word)
-SELECT word, CAST(n AS BIGINT) AS n FROM f ORDER BY n DESC, word LIMIT 100""")
-relation("function_rates", """
+SELECT word, CAST(n AS BIGINT) AS n FROM f ORDER BY n DESC, word LIMIT 100"""
+query("feature_selection", _MOST, spark=_MOST.replace("{doc_words}", "{group_words}"))
+_RATES = """
 SELECT d.source, f.word, coalesce(sum(w.c), 0) * 1.0 / max(d.n) AS rate FROM (SELECT source, sum(n) AS n FROM {doc_totals} GROUP BY source) d CROSS JOIN {function_words} f
-LEFT JOIN {doc_words} w ON w.source = d.source AND w.word = f.word GROUP BY d.source, f.word""")
+LEFT JOIN {doc_words} w ON w.source = d.source AND w.word = f.word GROUP BY d.source, f.word"""
+# words are counted by source once, where the texts lie, however often the rates are read
+relation("function_rates", _RATES, spark=_RATES.replace("sum(n) AS n FROM {doc_totals}", "sum(c) AS n FROM {group_words}").replace("{doc_words}", "{group_words}"))
 relation("function_z", """
 SELECT r.source, r.word, (r.rate - b.m) / b.sd AS z FROM {function_rates} r JOIN (SELECT word, avg(rate) AS m, stddev_samp(rate) AS sd FROM {function_rates} GROUP BY word) b ON b.word = r.word WHERE b.sd > 1e-12""")
 query("burrows_delta_by_source", "SELECT source, round(avg(abs(z)), 5) AS delta, count(*) AS features FROM {function_z} GROUP BY source")

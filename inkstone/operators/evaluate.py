@@ -107,7 +107,8 @@ query("tpr_at_budgets", """
 WITH b AS (SELECT * FROM (VALUES (0.01), (0.05), (0.1)) AS v(budget))
 SELECT o.signal, CAST(b.budget AS DOUBLE) AS budget, round(max(CASE WHEN o.fpr <= b.budget THEN o.tpr ELSE 0 END), 6) AS tpr FROM {operating_points} o CROSS JOIN b GROUP BY o.signal, b.budget""")
 # pairs of (source, language) groups by function-word distance: does a small distance tell one source? ties count half
-relation("group_rates", "SELECT d.source, d.lang, f.word, coalesce(sum(w.c), 0) * 1.0 / max(d.n) AS rate FROM (SELECT source, lang, sum(n) AS n FROM {doc_totals} GROUP BY source, lang) d CROSS JOIN {function_words} f LEFT JOIN {doc_words} w ON w.source = d.source AND w.lang = d.lang AND w.word = f.word GROUP BY d.source, d.lang, f.word")
+_GROUP_RATES = "SELECT d.source, d.lang, f.word, coalesce(sum(w.c), 0) * 1.0 / max(d.n) AS rate FROM (SELECT source, lang, sum(n) AS n FROM {doc_totals} GROUP BY source, lang) d CROSS JOIN {function_words} f LEFT JOIN {doc_words} w ON w.source = d.source AND w.lang = d.lang AND w.word = f.word GROUP BY d.source, d.lang, f.word"
+relation("group_rates", _GROUP_RATES, spark=_GROUP_RATES.replace("sum(n) AS n FROM {doc_totals}", "sum(c) AS n FROM {group_words}").replace("{doc_words}", "{group_words}"))
 relation("group_pairs", "SELECT CASE WHEN a.source = b.source THEN 1 ELSE 0 END AS same, round(CAST(sum(abs(a.rate - b.rate)) AS DOUBLE), 9) AS l1 FROM {group_rates} a JOIN {group_rates} b ON b.word = a.word AND (a.source < b.source OR (a.source = b.source AND a.lang < b.lang)) GROUP BY a.source, a.lang, b.source, b.lang")
 query("voice_pair_auc", """
 WITH c AS (SELECT l1, count_if(same = 1) AS p, count_if(same = 0) AS n FROM {group_pairs} GROUP BY l1),

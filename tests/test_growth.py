@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkstone.functions import counts, tiles
@@ -88,3 +89,24 @@ def test_kickers_take_time_of_the_line(spark, corpus):
     start = time.time()
     r = QUERIES["kicker_density"](spark, sf).collect()[0]
     assert (r.paragraphs, r.kickers) == (7, 1) and time.time() - start < 30
+
+
+@pytest.mark.parametrize("name", ["delta_pairs", "controls_triangulation", "chapter_distinctiveness", "feature_clusters", "writer_profile", "overall_delta", "top_deviations", "imposters", "collocations_lr", "collocations_pmi"])
+def test_words_do_not_travel(spark, name):
+    """No row a token, which is shuffled or sorted, and no document measured again for each place that reads a count."""
+    text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "posexplode" not in text and not ("documents.parquet" in text and "Window" in text)
+
+
+def test_counters_are_sent_on(spark, corpus):
+    sf = corpus([(i, f"a b a b c{i % 3}", "en" if i % 2 else None, "s") for i in range(20)])
+    docs = spark.read.parquet(sf + "/documents.parquet")
+    want = Counter()
+    for i in range(20):
+        w = f"a b a b c{i % 3}".replace("0", "").replace("1", "").replace("2", "").split()
+        want.update((("en" if i % 2 else None), *p) for p in zip(w, w[1:], strict=False))
+    for held in (1, 1000):
+        got = counts.counted(docs.select("lang", "text"), counts.pairs, "word", "nxt", held=held)
+        assert {(r.lang, r.word, r.nxt): r.c for r in got.collect()} == want
+    sizes = [b.num_rows for b in counts.counter(counts.runs(5), ["gram", "c"], 0, 50)(iter([pa.RecordBatch.from_pydict({"text": [f"{i:09d}" for i in range(100)]})]))]
+    assert sum(sizes) > 50 and max(sizes) <= 55  # a task holds no more than that and one text's
