@@ -43,10 +43,11 @@ WITH c AS (SELECT doc_id, word, count(*) OVER (PARTITION BY doc_id, word ORDER B
 SELECT doc_id, word, max(n) AS densest FROM c GROUP BY doc_id, word HAVING max(n) >= 3""")
 query("repetition_rollup", """
 SELECT word, count(*) AS docs, CAST(sum(c) AS BIGINT) AS total, max(c) AS most, round(avg(c), 5) AS mean, round(median(c), 5) AS middle FROM {doc_words} WHERE c >= 3 AND length(word) >= 4 GROUP BY word""")
-query("chapter_distinctiveness", """
+_CHAPTERS = """
 WITH c AS (SELECT source, word, sum(c) AS c FROM {doc_words} GROUP BY source, word), n AS (SELECT source, sum(c) AS n FROM c GROUP BY source),
 t AS (SELECT word, sum(c) AS c FROM c GROUP BY word), z AS (SELECT sum(n) AS n FROM n)
-SELECT c.source, c.word, round((1000.0 * c.c / n.n) / greatest(1000.0 * (t.c - c.c) / (z.n - n.n), 0.05), 4) AS ratio FROM c JOIN n ON n.source = c.source JOIN t ON t.word = c.word CROSS JOIN z WHERE c.c >= 5 AND length(c.word) >= 4""")
+SELECT c.source, c.word, round((1000.0 * c.c / n.n) / greatest(1000.0 * (t.c - c.c) / (z.n - n.n), 0.05), 4) AS ratio FROM c JOIN n ON n.source = c.source JOIN t ON t.word = c.word CROSS JOIN z WHERE c.c >= 5 AND length(c.word) >= 4"""
+query("chapter_distinctiveness", _CHAPTERS, spark=_CHAPTERS.replace("{doc_words}", "{group_words}"))
 query("lexical_bundles", """
 WITH t AS (SELECT doc_id, word AS a, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS b, lead(word, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM {tokens})
 SELECT a, b, c, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE c IS NOT NULL GROUP BY a, b, c HAVING count(*) >= 10""")
