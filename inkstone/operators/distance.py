@@ -30,7 +30,8 @@ SELECT r.lang, round(avg(abs((r.rate - m) / nullif(sd, 0))), 5) AS delta FROM r
 query("char_ngram_delta_by_lang", """
 WITH g AS (SELECT lang, gram, count(*) AS c FROM {trigrams} GROUP BY lang, gram)""" + _LANG_DELTA, spark="\nWITH g AS (SELECT lang, gram, c FROM {trigram_counts})" + _LANG_DELTA)
 relation("bigram_counts", """
-WITH t AS (SELECT lang, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM {tokens}) SELECT lang, concat(t.word, ' ', nxt) AS bigram, count(*) AS c FROM t JOIN {function_words} f ON f.word = t.word WHERE nxt IS NOT NULL GROUP BY lang, concat(t.word, ' ', nxt)""")
+WITH t AS (SELECT lang, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM {tokens}) SELECT lang, concat(t.word, ' ', nxt) AS bigram, count(*) AS c FROM t JOIN {function_words} f ON f.word = t.word WHERE nxt IS NOT NULL GROUP BY lang, concat(t.word, ' ', nxt)""",
+    spark="SELECT lang, concat(p.word, ' ', nxt) AS bigram, sum(c) AS c FROM {lang_pairs} p JOIN {function_words} f ON f.word = p.word GROUP BY lang, concat(p.word, ' ', nxt)")
 _PAIR = """
 WITH u AS (SELECT coalesce(a.bigram, b.bigram) AS bigram, coalesce(a.c, 0) + 1 AS ca, coalesce(b.c, 0) + 1 AS cb FROM (SELECT * FROM {bigram_counts} WHERE lang = 'en') a FULL OUTER JOIN (SELECT * FROM {bigram_counts} WHERE lang <> 'en' AND lang = 'de') b ON a.bigram = b.bigram),
 s AS (SELECT sum(ca) AS ta, sum(cb) AS tb FROM u),

@@ -23,10 +23,11 @@ WITH s AS (SELECT word, length(word) AS n, 2 * ({_G2}) AS g2 FROM {{key_counts}}
 r AS (SELECT word, CASE WHEN n <= 3 THEN 1 WHEN n <= 6 THEN 2 ELSE 3 END AS grp, round(g2, 4) AS g2 FROM s),
 k AS (SELECT word, grp, g2, row_number() OVER (PARTITION BY grp ORDER BY g2 DESC, word) AS k FROM r)
 SELECT grp, word, g2, k FROM k WHERE k <= CASE grp WHEN 3 THEN 10 ELSE 20 END""")
-# a pair counts from five on; one pass over tokens gives pairs, and words are counted per document before
+# a pair counts from five on; Spark counts pairs and words where the texts lie, without moving tokens
 relation("word_pairs", """
-WITH t AS (SELECT word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM {tokens}) SELECT word, nxt, count(*) AS c FROM t WHERE nxt IS NOT NULL GROUP BY word, nxt HAVING count(*) >= 5""")
-relation("word_totals", "SELECT word, CAST(sum(c) AS BIGINT) AS c FROM {doc_words} GROUP BY word")
+WITH t AS (SELECT word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM {tokens}) SELECT word, nxt, count(*) AS c FROM t WHERE nxt IS NOT NULL GROUP BY word, nxt HAVING count(*) >= 5""",
+    spark="SELECT word, nxt, c FROM {all_pairs} WHERE c >= 5")
+relation("word_totals", "SELECT word, CAST(sum(c) AS BIGINT) AS c FROM {doc_words} GROUP BY word", spark="SELECT word, CAST(sum(c) AS BIGINT) AS c FROM {group_words} GROUP BY word")
 relation("pair_counts", """
 SELECT b.word, b.nxt, b.c, x.c AS cx, y.c AS cy, n.n FROM {word_pairs} b JOIN {word_totals} x ON x.word = b.word JOIN {word_totals} y ON y.word = b.nxt CROSS JOIN (SELECT CAST(sum(c) AS BIGINT) AS n FROM {word_totals}) n""")
 query("collocations_pmi", "SELECT word, nxt, c AS n, round(log2(CAST(c AS DOUBLE) * n / (CAST(cx AS DOUBLE) * cy)), 6) AS pmi FROM {pair_counts}")
