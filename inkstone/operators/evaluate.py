@@ -1,8 +1,13 @@
 """Evaluation of signals on labelled data, slices, sampling and gates."""
 
-from inkstone.plans.catalogue import query, relation
+from inkstone.operators import lexical  # noqa: F401  registers signals
+from inkstone.plans.catalogue import PLANNED, query, relation
 
-relation("scored", "SELECT s.doc_id, s.signal, round(s.value, 9) AS score, l.quality AS label, l.toxic, d.lang, d.source, CASE WHEN t.n < 200 THEN 's' WHEN t.n < 1000 THEN 'm' ELSE 'l' END AS bucket FROM {signals} s JOIN {labels} l ON l.doc_id = s.doc_id JOIN {documents} d ON d.doc_id = s.doc_id JOIN {doc_totals} t ON t.doc_id = s.doc_id WHERE s.value IS NOT NULL")
+# Spark measures each text once and keeps the rows that all parts of a query read
+relation("scored", "SELECT s.doc_id, s.signal, round(s.value, 9) AS score, l.quality AS label, l.toxic, d.lang, d.source, CASE WHEN t.n < 200 THEN 's' WHEN t.n < 1000 THEN 'm' ELSE 'l' END AS bucket FROM {signals} s JOIN {labels} l ON l.doc_id = s.doc_id JOIN {documents} d ON d.doc_id = s.doc_id JOIN {doc_totals} t ON t.doc_id = s.doc_id WHERE s.value IS NOT NULL",
+    spark=f"""
+SELECT x.doc_id, x.signal, round(x.value, 9) AS score, l.quality AS label, l.toxic, x.lang, x.source, CASE WHEN x.n < 200 THEN 's' WHEN x.n < 1000 THEN 'm' ELSE 'l' END AS bucket
+FROM ({PLANNED["signals"].replace("SELECT doc_id,", "SELECT doc_id, lang, source, n,")}) x JOIN {{labels}} l ON l.doc_id = x.doc_id WHERE x.value IS NOT NULL""", written=True)
 
 
 def score_bin(x: str) -> str:
@@ -23,6 +28,14 @@ SELECT {keys}, CAST(sum(p) AS BIGINT) AS p, CAST(sum(n) AS BIGINT) AS n, CAST(su
 relation("auc_by_signal", auc("signal"))
 query("roc_auc_by_signal", "SELECT signal, p, n, round(CAST(auc AS DOUBLE), 6) AS auc, round(CAST(greatest(auc, 1 - auc) AS DOUBLE), 6) AS oriented FROM {auc_by_signal}")
 relation("scored_bins", f"SELECT signal, doc_id, score, label, {score_bin('score')} AS bin FROM {{scored}}")
+# Spark alone reads it: the exact median of a signal, from the counts of its bins and the one or two bins that it lies in
+relation("score_medians", """
+WITH c AS (SELECT signal, bin, score, count(*) AS n FROM {scored_bins} WHERE score IS NOT NULL GROUP BY signal, bin, score),
+b AS (SELECT signal, bin, sum(n) AS n FROM c GROUP BY signal, bin),
+o AS (SELECT signal, bin, n, sum(n) OVER (PARTITION BY signal ORDER BY bin) - n AS under, sum(n) OVER (PARTITION BY signal) AS total FROM b),
+w AS (SELECT signal, bin, under, total FROM o WHERE under + n > (total - 1) div 2 AND under <= total div 2),
+r AS (SELECT c.signal, c.score, w.total, w.under + sum(c.n) OVER (PARTITION BY c.signal, c.bin ORDER BY c.score) AS upto FROM c JOIN w ON w.signal = c.signal AND w.bin = c.bin)
+SELECT signal, (min(CASE WHEN upto > (total - 1) div 2 THEN score END) + min(CASE WHEN upto > total div 2 THEN score END)) / 2 AS cutoff FROM r GROUP BY signal""")
 relation("bin_counts", """
 WITH b AS (SELECT signal, bin, count(*) AS n, sum(label) AS p FROM {scored_bins} GROUP BY signal, bin)
 SELECT signal, bin, sum(n) OVER (w) - n AS n_above, sum(p) OVER (w) - p AS p_above, sum(n) OVER (PARTITION BY signal) AS n_all, sum(p) OVER (PARTITION BY signal) AS p_all FROM b WINDOW w AS (PARTITION BY signal ORDER BY bin DESC)""")

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from inkstone.functions import counts, tiles
+from inkstone.plans import catalogue
 from inkstone.queries import QUERIES
 
 
@@ -110,3 +111,16 @@ def test_counters_are_sent_on(spark, corpus):
         assert {(r.lang, r.word, r.nxt): r.c for r in got.collect()} == want
     sizes = [b.num_rows for b in counts.counter(counts.runs(5), ["gram", "c"], 0, 50)(iter([pa.RecordBatch.from_pydict({"text": [f"{i:09d}" for i in range(100)]})]))]
     assert sum(sizes) > 50 and max(sizes) <= 55  # a task holds no more than that and one text's
+
+
+def test_median_from_bins(spark, corpus, tmp_path):
+    texts = [" ".join(f"w{chr(97 + (i * j) % 17)}" for j in range(5 + i)) + "." for i in range(31)]
+    sf = corpus([(i, t, "en", "s") for i, t in enumerate(texts)])
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(sf + "/labels.parquet")
+    scores = {}
+    for r in catalogue.run(spark, sf, "SELECT signal, score FROM {scored}").collect():
+        scores.setdefault(r.signal, []).append(r.score)
+    got = {r.signal: r.cutoff for r in catalogue.run(spark, sf, "SELECT signal, cutoff FROM {score_medians}").collect()}
+    assert got.keys() == scores.keys() and all(math.isclose(got[s], np.median(v), rel_tol=1e-12, abs_tol=1e-15) for s, v in scores.items())
+    text = plan(QUERIES["bootstrap_fixed_threshold"](spark, sf))
+    assert "percentile(score" not in text and "SortMergeJoin" not in text[text.index("draw") :]  # no map of a signal's values in a task, no draws dealt by signal
