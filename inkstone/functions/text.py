@@ -68,6 +68,13 @@ def shingles8(spark, sf_dir):
     return _shingles(spark, sf_dir, 8)
 
 
+@builder("shingle_hashes", "")
+def shingle_hashes(spark, sf_dir):
+    """shingles5 as 64-bit hashes, which travel in place of five words; Spark alone reads it."""
+    w = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text"), WIDE_WORD).alias("a")).where(F.size("a") >= 5)
+    return w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("a") - 4), lambda i: F.xxhash64(F.slice("a", i, 5))))).alias("h"))
+
+
 @builder("benchmark8", _shingled(8, "benchmark"))
 def benchmark8(spark, sf_dir):
     return _shingles(spark, sf_dir, 8, "benchmark")

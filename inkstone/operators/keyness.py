@@ -58,4 +58,6 @@ SELECT count(*) AS hapaxes, count(b.word) AS surviving, round(count(b.word) * 1.
 query("pattern_density", "SELECT source, CAST(sum(@COUNT(text;;!)@) AS BIGINT) AS hits, round(1000.0 * sum(@COUNT(text;;!)@) / nullif(sum(@COUNT(lower(text);;[a-z']+)@), 0), 6) AS per_1000 FROM {documents} GROUP BY source")
 query("phrase_survival", """
 WITH p AS (SELECT gram FROM {shingles5} GROUP BY gram HAVING count(*) >= 5)
-SELECT s.doc_id, count(*) AS phrases FROM {shingles5} s JOIN p ON p.gram = s.gram GROUP BY s.doc_id""")
+SELECT s.doc_id, count(*) AS phrases FROM {shingles5} s JOIN p ON p.gram = s.gram GROUP BY s.doc_id""", spark="""
+WITH p AS (SELECT h FROM {shingle_hashes} GROUP BY h HAVING count(*) >= 5)
+SELECT s.doc_id, count(*) AS phrases FROM {shingle_hashes} s LEFT SEMI JOIN p ON p.h = s.h GROUP BY s.doc_id""")
