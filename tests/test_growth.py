@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from inkstone.functions import counts, tiles
+from inkstone.operators import dedup
 from inkstone.plans import catalogue
 from inkstone.queries import QUERIES
 
@@ -124,3 +125,25 @@ def test_median_from_bins(spark, corpus, tmp_path):
     assert got.keys() == scores.keys() and all(math.isclose(got[s], np.median(v), rel_tol=1e-12, abs_tol=1e-15) for s, v in scores.items())
     text = plan(QUERIES["bootstrap_fixed_threshold"](spark, sf))
     assert "percentile(score" not in text and "SortMergeJoin" not in text[text.index("draw") :]  # no map of a signal's values in a task, no draws dealt by signal
+
+
+def test_phrases_travel_as_hashes(spark, corpus):
+    sf = corpus([(i, "one two three four five six", "en", "s") for i in range(4)] + [(4, "zero one two three four five", "en", "s"), (5, None, "en", "s")])
+    df = QUERIES["phrase_survival"](spark, sf)
+    assert "array_join" not in plan(df)
+    assert {r.doc_id: r.phrases for r in df.collect()} == dict.fromkeys(range(5), 1)
+
+
+def test_prefixes_meet_in_any_order_of_buckets(spark, corpus):
+    rng = np.random.default_rng(5)
+    for n in (1, 4, 5, 9, 10, 37):
+        sizes = rng.integers(0, 9, dedup.BUCKETS).astype(np.uint32)
+        for _ in range(40):
+            a = rng.choice(2**40, n, replace=False) - 2**39
+            b = np.concatenate([a[: n - n // 10], rng.choice(2**40, n // 10, replace=False) + 2**41])  # likeness 0.8 or more
+            assert set(dedup.prefix_of(a, sizes)) & set(dedup.prefix_of(b[rng.permutation(n)], sizes))
+    few = dedup.prefix_of(np.arange(10), np.where(np.arange(dedup.BUCKETS) < 5, 7, 0).astype(np.uint32))
+    assert few.tolist() == [5, 6, 7]  # common ones come last
+    sf = corpus([(i, " ".join(f"w{(i // 2) * 40 + j + (j > 30) * (i % 2)}" for j in range(40)), "en", "s") for i in range(6)])
+    df = QUERIES["near_dup_pairs"](spark, sf)
+    assert "Window" not in plan(df) and {(r.a, r.b) for r in df.collect()} <= {(0, 1), (2, 3), (4, 5)}
