@@ -178,18 +178,116 @@ def tree_length(points: np.ndarray) -> float:
     return total
 
 
+NEAR = 64
+ROWS = 256
+
+
+def distances(points: np.ndarray, some: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Squared distances of some rows to all, by one product; exact ones are taken by differences where an edge is told."""
+    d = points[some] @ points.T
+    d *= -2
+    d += squares
+    d += squares[some][:, None]
+    return d
+
+
+def apart(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = points[a] - points[b]
+    return np.sqrt(np.einsum("ij,ij->i", d, d))
+
+
+def nearest_of(points: np.ndarray, squares: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's k nearest others, in order, and their distances."""
+    ids, far = np.empty((len(points), k), np.int32), np.empty((len(points), k))
+    for low in range(0, len(points), ROWS):
+        some = np.arange(low, min(len(points), low + ROWS))
+        d = distances(points, some, squares)
+        d[np.arange(len(some)), some] = np.inf
+        found = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(points) - 1 else np.argsort(d, axis=1)[:, :k]
+        exact = apart(points, np.repeat(some, k), found.ravel()).reshape(found.shape)
+        order = np.argsort(exact, axis=1, kind="stable")
+        ids[some], far[some] = np.take_along_axis(found, order, 1), np.take_along_axis(exact, order, 1)
+    return ids, far
+
+
+def spanning_length(points: np.ndarray, squares: np.ndarray, chosen: np.ndarray, ids: np.ndarray, far: np.ndarray) -> float:
+    """tree_length of the chosen points, from the nearest neighbours in the whole cloud.
+
+    In each round every part but the largest takes its shortest edge outwards (Boruvka). What is not among a point's
+    neighbours is no nearer than the last of them, so that a point is held against all others only where that says too little.
+    """
+    m = len(chosen)
+    local = np.full(len(points), -1, np.int32)
+    local[chosen] = np.arange(m, dtype=np.int32)
+    own, cloud = points[chosen], squares[chosen]
+    near, far, reach = local[ids[chosen]], far[chosen], far[chosen][:, -1].copy()
+    if ids.shape[1] >= len(points) - 1:
+        reach[:] = np.inf  # all others are listed
+    part, total, edges = np.arange(m), 0.0, 0
+    live = np.arange(m)  # points whose list may still lead outwards
+    while edges < m - 1:
+        best, to = np.full(m, np.inf), np.full(m, -1)
+        out = (near[live] >= 0) & (part[near[live]] != part[live][:, None])
+        has, first = out.any(axis=1), out.argmax(axis=1)
+        live, first = live[has], first[has]
+        best[live], to[live] = far[live, first], near[live, first]
+        largest = np.bincount(part, minlength=m).argmax()
+        least = np.full(m, np.inf)
+        np.minimum.at(least, part, best)
+        unsure = np.isinf(best) & (part != largest)
+        rows = np.flatnonzero(unsure & (reach < least[part]))
+        for low in range(0, len(rows), ROWS):
+            some = rows[low : low + ROWS]
+            some = some[reach[some] < least[part[some]]]
+            if not len(some):
+                continue
+            d = distances(own, some, cloud)
+            d[part[some][:, None] == part[None, :]] = np.inf
+            at = d.argmin(axis=1)
+            best[some], to[some] = apart(own, some, at), at
+            reach[some] = best[some]
+            np.minimum.at(least, part[some], best[some])
+        order = np.lexsort((best, part))
+        heads = order[np.r_[True, part[order][1:] != part[order][:-1]]]
+        heads = heads[(part[heads] != largest) & np.isfinite(best[heads])]
+        if not len(heads):
+            return math.nan  # places that are no numbers
+        heads = heads[np.argsort(best[heads], kind="stable")]
+        up = {}
+
+        def top(x: int, up=up) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for a, b, d in zip(part[heads].tolist(), part[to[heads]].tolist(), best[heads].tolist(), strict=True):
+            x, y = top(a), top(b)
+            if x != y:
+                up[x] = y
+                total, edges = total + d, edges + 1
+        names = np.arange(m)
+        for x in list(up):
+            names[x] = top(x)
+        part = names[part]
+    return total
+
+
 def dimension(points: np.ndarray, shares=(0.25, 0.4, 0.55, 0.7, 0.85, 1.0), draws: int = 5) -> float | None:
     """1 / (1 - slope) of log mean tree length over log size, by `draws` seeded subsets a size.
 
     Null below 8 points, where the trees have no length, and where the slope is 1 or more (no finite dimension).
+    Neighbours are sought once, for the trees of all subsets.
     """
     sizes = sorted({int(len(points) * s) for s in shares})
     sizes = [n for n in sizes if n >= 2]
     if len(points) < 8 or len(sizes) < 3:
         return None
-    subset = lambda n, k: points[np.random.default_rng((n, k)).choice(len(points), n, replace=False)]
-    lengths = [float(np.mean([tree_length(subset(n, k)) for k in range(draws if n < len(points) else 1)])) for n in sizes]
-    if min(lengths) <= 0:
+    points = points - points.mean(axis=0)
+    squares = np.einsum("ij,ij->i", points, points)
+    ids, far = nearest_of(points, squares, min(NEAR, len(points) - 1))
+    subset = lambda n, k: np.random.default_rng((n, k)).choice(len(points), n, replace=False)
+    lengths = [float(np.mean([spanning_length(points, squares, subset(n, k), ids, far) for k in range(draws if n < len(points) else 1)])) for n in sizes]
+    if not min(lengths) > 0 or not all(map(math.isfinite, lengths)):
         return None
     slope = float(np.polyfit(np.log(sizes), np.log(lengths), 1)[0])
     return 1 / (1 - slope) if slope < 1 else None
@@ -198,7 +296,7 @@ def dimension(points: np.ndarray, shares=(0.25, 0.4, 0.55, 0.7, 0.85, 1.0), draw
 def persistent_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per label: dimension of all its vectors, whose subsets are drawn by their order by md5 of vec_id.
 
-    A label is one task, whose time grows with the square of its vectors.
+    A label is one task. Its memory grows with its vectors; one pass over all pairs, a product of matrices, grows with their square.
     """
     order = Window.partitionBy("label").orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id")
     every = table(spark, sf_dir, "embeddings").where("embedding is not null").select("label", "embedding", F.row_number().over(order).alias("k"))

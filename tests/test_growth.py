@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from inkstone.functions import counts, tiles
-from inkstone.operators import dedup
+from inkstone.operators import custom, dedup
 from inkstone.plans import catalogue
 from inkstone.queries import QUERIES
 
@@ -147,3 +147,21 @@ def test_prefixes_meet_in_any_order_of_buckets(spark, corpus):
     sf = corpus([(i, " ".join(f"w{(i // 2) * 40 + j + (j > 30) * (i % 2)}" for j in range(40)), "en", "s") for i in range(6)])
     df = QUERIES["near_dup_pairs"](spark, sf)
     assert "Window" not in plan(df) and {(r.a, r.b) for r in df.collect()} <= {(0, 1), (2, 3), (4, 5)}
+
+
+def test_spanning_trees_from_neighbours(monkeypatch):
+    rng = np.random.default_rng(11)
+    clouds = [rng.random((300, 12)), np.repeat(rng.random((30, 3)), 9, axis=0), np.concatenate([rng.normal(size=(90, 4)) * 0.01 + 5 * c for c in range(4)]), rng.integers(0, 4, (250, 3)).astype(float)]
+    calls = []
+    monkeypatch.setattr(custom, "tree_length", calls.append)
+    for k, cloud in enumerate(clouds):
+        monkeypatch.undo()
+        squares = (cloud * cloud).sum(axis=1)
+        for near in (3, 64):
+            ids, far = custom.nearest_of(cloud, squares, near)
+            for n in (20, 150, len(cloud)):
+                chosen = rng.choice(len(cloud), n, replace=False)
+                assert math.isclose(custom.spanning_length(cloud, squares, chosen, ids, far), custom.tree_length(cloud[chosen]), rel_tol=1e-9), (k, near, n)
+        monkeypatch.setattr(custom, "tree_length", calls.append)
+        assert custom.dimension(cloud) is not None and not calls  # no walk over all pairs for each of 26 trees
+    assert custom.dimension(np.full((20, 2), np.nan)) is None
