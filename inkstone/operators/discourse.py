@@ -4,7 +4,11 @@ Every count is local to a document or a sentence. Markers are read in texts whos
 that both engines see the same word ends. Texts without words have no row.
 """
 
+from re import _constants as sre
+from re._parser import parse as sre_parse
+
 from inkstone.functions import markers as M
+from inkstone.functions.moves import FOUND
 from inkstone.functions.text import MARK
 from inkstone.plans.catalogue import query, relation
 
@@ -20,9 +24,31 @@ def _per_1k(count: str, digits: int = 4) -> str:
     return f"round(CAST(1000 * ({count}) AS DOUBLE) / n_words, {digits})"
 
 
+def _letters(parsed) -> set[str]:
+    """Letters, lowered, with which a match of a parsed pattern may begin."""
+    for kind, value in parsed:
+        if kind is sre.AT:
+            continue
+        if kind is sre.SUBPATTERN:
+            return _letters(value[-1])
+        if kind is sre.BRANCH:
+            return set().union(*map(_letters, value[1]))
+        if kind is sre.IN and all(k is sre.LITERAL for k, _ in value):
+            return {chr(c).lower() for _, c in value}
+        if kind is sre.LITERAL:
+            return {chr(value).lower()}
+        break
+    raise ValueError(f"no letter to begin with: {parsed}")
+
+
+def _led(pattern: str) -> str:
+    """A pattern behind a look at one letter, which is cheap where no match begins; for patterns that hold for any case."""
+    return f"(?=[{''.join(sorted(_letters(sre_parse(pattern))))}]){pattern}"
+
+
 # moves
 _DENSITIES = ",\n  ".join(f"1000.0 * ({' + '.join(f'@COUNT(t;;(?i){p})@' for p in ps)}) / n_words AS {c}" for c, ps in M.MOVES.items())
-relation("move_densities", f"SELECT doc_id, n_words,\n  {_DENSITIES}\nFROM {{word_sized}}")
+relation("move_densities", f"SELECT doc_id, n_words,\n  {_DENSITIES}\nFROM {{word_sized}}", spark=f"SELECT doc_id, n_words, {', '.join(f'1000.0 * d_{c} / n_words AS {c}' for c in M.MOVES)} FROM {{move_counts}}")
 query("discourse_moves", f"SELECT doc_id, n_words, {', '.join(f'round({c}, 4) AS {c}' for c in M.MOVES)}, round({' + '.join(M.MOVES)}, 4) AS total FROM {{move_densities}}")
 _EVERY = _any(p for ps in M.MOVES.values() for p in ps)
 _FIRST = "CASE " + " ".join(f"WHEN @MATCH(tail;;^(?i)(?:{_any(ps)}))@ THEN '{c}'" for c, ps in M.MOVES.items()) + " END"
@@ -32,18 +58,27 @@ relation("move_sents", "SELECT doc_id, @NUMBERED(parts;;k;;sent)@ FROM {move_par
 relation("moves", f"""
 WITH s AS (SELECT doc_id, k, trim(sent) AS sent FROM {{move_sents}} WHERE @MATCH(sent;;\\S)@),
 f AS (SELECT doc_id, k, CASE WHEN @MATCH(sent;;(?i){_EVERY})@ THEN substr(sent, length(@GROUP(sent;;(?is)^(.*?)(?:{_EVERY}))@) + 1) END AS tail FROM s)
+SELECT doc_id, k, coalesce({_FIRST}, '_unmarked') AS move FROM f""", spark=f"""
+WITH s AS (SELECT doc_id, k, trim(sent) AS sent FROM {{move_sents}} WHERE @MATCH(sent;;\\S)@),
+f AS (SELECT doc_id, k, nullif(@FIRST(sent;;(?is)(?=[a-z])\\b(?:{_any(_led(p) for ps in M.MOVES.values() for p in ps)}).*)@, '') AS tail FROM s)
 SELECT doc_id, k, coalesce({_FIRST}, '_unmarked') AS move FROM f""")
 query("move_bigrams", """
 WITH b AS (SELECT doc_id, move, lead(move) OVER (PARTITION BY doc_id ORDER BY k) AS next_move FROM {moves})
 SELECT move, next_move, count(*) AS n, count(DISTINCT doc_id) AS docs FROM b WHERE next_move IS NOT NULL GROUP BY move, next_move""")
+_SEQUENCE = """f AS (SELECT e.doc_id, n, m, entropy, marked, CASE WHEN contrast + concession + consequence + elaboration + exemplification + sequencing + reframing + epistemic_stance + boosting + hedging + self_correction + metadiscourse >= 30 THEN 1 ELSE 0 END AS dense,
+  CASE WHEN round(marked, 9) <= 1.5 AND m >= 3 THEN 1 ELSE 0 END AS narrow, CASE WHEN concession >= 5 AND contrast >= 5 AND consequence >= 3 THEN 1 ELSE 0 END AS triad, CASE WHEN metadiscourse >= 3 THEN 1 ELSE 0 END AS meta, CASE WHEN hedging > 4 AND boosting > 4 THEN 1 ELSE 0 END AS swing FROM e JOIN {move_densities} d ON d.doc_id = e.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS sentences, CAST(m AS BIGINT) AS marked_sentences, round(entropy + 0.0, 5) AS entropy, round(marked + 0.0, 5) AS marked_entropy, dense, narrow, triad, meta, swing,
+  CASE WHEN dense + narrow + triad + meta + swing < 1 THEN 'light' WHEN dense + narrow + triad + meta + swing < 3 THEN 'moderate' ELSE 'heavy' END AS band FROM f"""
+_share = lambda c, n: f"CASE WHEN {c} > 0 THEN {c} / {n} * log2({c} / {n}) ELSE 0 END"
+# on Spark a text's sentences are counted by move where it lies
 query("move_sequence", """
 WITH c AS (SELECT doc_id, move, count(*) AS c FROM {moves} GROUP BY doc_id, move),
 n AS (SELECT doc_id, sum(c) AS n, sum(CASE WHEN move <> '_unmarked' THEN c ELSE 0 END) AS m FROM c GROUP BY doc_id),
 e AS (SELECT c.doc_id, max(n.n) AS n, max(n.m) AS m, 0.0 - sum(c.c / n.n * log2(c.c / n.n)) AS entropy, 0.0 - sum(CASE WHEN move <> '_unmarked' THEN c.c / n.m * log2(c.c / n.m) ELSE 0 END) AS marked FROM c JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id),
-f AS (SELECT e.doc_id, n, m, entropy, marked, CASE WHEN contrast + concession + consequence + elaboration + exemplification + sequencing + reframing + epistemic_stance + boosting + hedging + self_correction + metadiscourse >= 30 THEN 1 ELSE 0 END AS dense,
-  CASE WHEN round(marked, 9) <= 1.5 AND m >= 3 THEN 1 ELSE 0 END AS narrow, CASE WHEN concession >= 5 AND contrast >= 5 AND consequence >= 3 THEN 1 ELSE 0 END AS triad, CASE WHEN metadiscourse >= 3 THEN 1 ELSE 0 END AS meta, CASE WHEN hedging > 4 AND boosting > 4 THEN 1 ELSE 0 END AS swing FROM e JOIN {move_densities} d ON d.doc_id = e.doc_id)
-SELECT doc_id, CAST(n AS BIGINT) AS sentences, CAST(m AS BIGINT) AS marked_sentences, round(entropy + 0.0, 5) AS entropy, round(marked + 0.0, 5) AS marked_entropy, dense, narrow, triad, meta, swing,
-  CASE WHEN dense + narrow + triad + meta + swing < 1 THEN 'light' WHEN dense + narrow + triad + meta + swing < 3 THEN 'moderate' ELSE 'heavy' END AS band FROM f""")
+""" + _SEQUENCE, spark=f"""
+WITH c AS (SELECT *, {' + '.join(f'c_{m}' for m in M.MOVES)} AS m, {' + '.join(f'c_{m}' for m in FOUND)} AS n FROM {{move_counts}}),
+e AS (SELECT doc_id, n, m, 0.0 - ({' + '.join(_share(f'c_{x}', 'n') for x in FOUND)}) AS entropy, 0.0 - ({' + '.join(_share(f'c_{x}', 'm') for x in M.MOVES)}) AS marked, {', '.join(f'1000.0 * d_{x} / n_words AS {x}' for x in M.MOVES)} FROM c),
+""" + _SEQUENCE.replace("FROM e JOIN {move_densities} d ON d.doc_id = e.doc_id", "FROM e"))
 
 # explicit relations: one pass over all forms, longest first
 _FORMS = sorted((f for fs in M.RELATION_FORMS.values() for f in fs), key=lambda f: (-len(f), f))

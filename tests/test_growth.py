@@ -165,3 +165,13 @@ def test_spanning_trees_from_neighbours(monkeypatch):
         monkeypatch.setattr(custom, "tree_length", calls.append)
         assert custom.dimension(cloud) is not None and not calls  # no walk over all pairs for each of 26 trees
     assert custom.dimension(np.full((20, 2), np.nan)) is None
+
+
+def test_moves_are_counted_where_texts_lie(spark, corpus):
+    sf = corpus([(0, "However, it rained. It was for example wet. But first, we ran! Ébut nothing.", "en", "s"), (1, " . ", "en", "s"), (2, None, "en", "s")])
+    df = QUERIES["move_sequence"](spark, sf)
+    assert "Exchange" not in plan(df) and "RLIKE" not in plan(df)  # no regular expression that is tried at each place for each marker
+    r = df.collect()[0]
+    assert (r.doc_id, r.sentences, r.marked_sentences, round(r.entropy, 4)) == (0, 3, 3, 0.9183)  # contrast twice, exemplification; no sentence begins at a letter beyond A-Z
+    d = QUERIES["discourse_moves"](spark, sf).collect()
+    assert len(d) == 1 and (d[0].n_words, d[0].contrast, d[0].sequencing) == (14, round(2000 / 14, 4), round(1000 / 14, 4))
